@@ -1,6 +1,6 @@
 """Every operator as a query over the given tables, with an SQL counterpart where one exists."""
 
-from newsweft.catalog import text_queries, source_queries  # noqa: F401
+from newsweft.catalog import select_queries, source_queries, store_queries, text_queries  # noqa: F401
 from newsweft.catalog.core import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -537,5 +537,5 @@ def s0(t):
     rss = landed(t, rss_payload()).withColumn("kind", F.lit("substack_feed"))
     atom = landed(t, atom_payload()).withColumn("kind", F.lit("arxiv_feed"))
     parsed = registry.parse_landed(rss.unionByName(atom), ["substack_feed", "arxiv_feed"])
-    kind = F.when(F.col("url").startswith("http://x/"), "a").otherwise("b")
+    kind = F.when(F.col("url").startswith("http://x/"), F.lit("a")).otherwise(F.lit("b"))
     return parsed.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -70,3 +70,43 @@ def pairs_within(
         .filter(F.col("a") < F.col("b"))
         .drop("__i", "__j")
     )
+
+
+LARGE_GROUP = 1_000_000
+
+
+def number_rows(
+    df: DataFrame, keys: list[str], order: list[Column], name: str, *, large: int = LARGE_GROUP
+) -> DataFrame:
+    """Number the rows of every group 1..n in ``order``.
+
+    One window while the largest group is small. Beyond that the rows are range-partitioned by key
+    and order and written once; each range is numbered on its own and shifted by the rows that
+    earlier ranges hold of the same key.
+    """
+    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= large:
+        return df.withColumn(
+            name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int")
+        )
+    from newsweft.lineage import Scratch
+
+    ranged = (
+        df.repartitionByRange(*[F.col(k) for k in keys], *order)
+        .withColumn("__part", F.spark_partition_id())
+    )
+    stored = Scratch(df.sparkSession, "numbering").put(ranged)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (
+        stored.groupBy(*keys, "__part")
+        .count()
+        .withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        .drop("count")
+    )
+    local = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return (
+        stored.withColumn("__local", local)
+        .join(shift, [*keys, "__part"])
+        .withColumn(name, (F.col("__local") + F.col("__before")).cast("int"))
+        .drop("__part", "__local", "__before")
+    )

@@ -31,7 +31,6 @@ _ENTRY = (
     "`group` struct<description string>>>"
 )
 _ATOM = f"entry {_ENTRY}"
-_EMPTY_NULL = F.lit(None).cast("int")
 
 # Item pages and address forms of the services the payloads come from.
 STORY_PAGE = "https://news.ycombinator.com/item?id="

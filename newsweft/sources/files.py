@@ -12,9 +12,8 @@ from newsweft.schemas import EDGES, NODES
 def read_briefings(spark: SparkSession, path: str) -> DataFrame:
     """Every Markdown file of a folder, dated by its name."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.md")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.md")
+        .text(path, wholetext=True)
         .select(
             F.regexp_replace(F.col("_metadata.file_name"), r"\.md\z", "").alias("stem"),
             F.col("value").alias("md"),
