@@ -591,7 +591,7 @@ def g6(t):
     "G7_suggest_explorations",
     "RECURSIVE" + _SYM + _BRIDGE
     + ", deg AS (SELECT v AS concept, count(*) AS degree FROM sym GROUP BY v), n AS (SELECT * FROM sparse_nodes JOIN deg USING (concept)), "
-    "hub AS (SELECT concept, degree, first_seen, encounter_count, 1 AS rule, NULL AS other FROM n WHERE degree>=2 AND familiarity<0.3), "
+    "hub AS (SELECT concept, degree, first_seen, encounter_count, 1 AS rule, NULL::VARCHAR AS other FROM n WHERE degree>=2 AND familiarity<0.3), "
     "fin AS (SELECT v AS concept, min(w) AS other FROM (SELECT a AS v, b AS w FROM bridge UNION ALL SELECT b, a FROM bridge) GROUP BY v), "
     "allx AS (SELECT * FROM hub UNION ALL SELECT concept, degree, first_seen, encounter_count, 2, other FROM n JOIN fin USING (concept) "
     "WHERE encounter_count<=2 AND concept NOT IN (SELECT concept FROM hub)), "
