@@ -229,20 +229,15 @@ def m1(t):
         F.concat(F.lit("u"), "user_id").alias("url"), "ts", F.col("event_id").alias("seq"), F.lit("entry").alias("kind")
     )
     stream, root = replay(t, rows, "visits")
-    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", visits.STATE_STORE)
-    try:
-        q = (
-            visits.stream_filter_new(stream, Params())
-            .writeStream.format("parquet")
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .option("path", f"{root}/out")
-            .trigger(availableNow=True)
-            .start()
-        )
-        q.awaitTermination()
-    finally:
-        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    q = (
+        visits.stream_filter_new(stream, Params())
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .option("path", f"{root}/out")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination(120)
     return t.spark.read.schema("url string, ts timestamp, seq bigint").parquet(f"{root}/out").select("url", "seq")
 
 
@@ -260,7 +255,7 @@ def m2(t):
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination()
+    q.awaitTermination(120)
     return table.read().select("url", "phase", "error_type", "retry_count")
 
 

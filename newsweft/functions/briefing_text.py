@@ -195,22 +195,19 @@ def parse_feedback(md: Column) -> Column:
     """Records of the feedback form; the last line of a number counts."""
 
     def form(ls: Column) -> Column:
-        is_head = lambda x: strip(x) == FEEDBACK_HEADING
-        start = F.get(
-            F.filter(F.transform(ls, lambda x, i: F.when(is_head(x), i)), lambda i: i.isNotNull()),
-            F.lit(0),
-        )
-        end = F.get(
-            F.filter(
-                F.transform(
-                    ls,
-                    lambda x, i: F.when((i > start) & x.startswith("## ") & ~is_head(x), i),
-                ),
-                lambda i: i.isNotNull(),
-            ),
-            F.lit(0),
-        )
-        body = F.slice(ls, start + 2, F.coalesce(end, F.size(ls)) - start - 1)
+        heads = F.transform(ls, lambda x: strip(x) == FEEDBACK_HEADING)
+        start = F.array_position(heads, F.lit(True))
+
+        def to_end(s: Column) -> Column:
+            rest = F.slice(s["ls"], s["start"].cast("int") + 1, F.size(s["ls"]))
+            stops = F.transform(
+                rest, lambda x: x.startswith("## ") & (strip(x) != FEEDBACK_HEADING)
+            )
+            end = F.array_position(stops, F.lit(True)).cast("int")
+            return F.when(end > 0, F.slice(rest, 1, end - 1)).otherwise(rest)
+
+        none = F.array().cast("array<string>")
+        body = F.when(start > 0, let(F.struct(ls.alias("ls"), start.alias("start")), to_end)).otherwise(none)
         parsed = F.filter(
             F.transform(body, lambda x: parse_feedback_line(strip(x))), lambda f: f.isNotNull()
         )

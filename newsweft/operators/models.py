@@ -278,7 +278,7 @@ def register_table_functions(spark: SparkSession) -> None:
         r"""
         CREATE OR REPLACE TEMPORARY FUNCTION nw_chunk_text(body STRING, max_tokens INT)
         RETURNS TABLE (pos INT, chunk STRING)
-        RETURN SELECT s.pos, array_join(slice(p, s.at + 1, coalesce(get(at, s.pos + 1), size(p)) - s.at), '\n\n')
+        RETURN SELECT s.pos, array_join(slice(p, s.`from` + 1, coalesce(get(starts, s.pos + 1), size(p)) - s.`from`), '\n\n')
         FROM (SELECT p, CASE WHEN length(body) div 4 <= max_tokens THEN array(0) ELSE
                 aggregate(p, struct(array(0) AS at, 0 AS n, 0 AS i),
                   (acc, x) -> struct(
@@ -286,19 +286,19 @@ def register_table_functions(spark: SparkSession) -> None:
                        concat(acc.at, array(acc.i)), acc.at) AS at,
                     IF(acc.n + length(x) > max_tokens * 4 AND acc.i > element_at(acc.at, -1),
                        length(x), acc.n + length(x)) AS n,
-                    acc.i + 1 AS i)).at END AS at
+                    acc.i + 1 AS i)).at END AS starts
               FROM (SELECT split(body, '\n\n') AS p)) t
-        LATERAL VIEW posexplode(at) s AS pos, at
+        LATERAL VIEW posexplode(starts) s AS pos, `from`
         """
     )
     spark.sql(
         r"""
         CREATE OR REPLACE TEMPORARY FUNCTION nw_html_links(html STRING)
         RETURNS TABLE (pos INT, href STRING, title STRING)
-        RETURN SELECT e.pos, trim(e.link.href), trim(regexp_replace(e.link.inner, '<[^>]+>', ''))
-        FROM (SELECT arrays_zip(
-                regexp_extract_all(html, r'(?is)<a\s[^>]*href=["\x27]([^"\x27]+)["\x27][^>]*>(.*?)</a>', 1) AS href,
-                regexp_extract_all(html, r'(?is)<a\s[^>]*href=["\x27]([^"\x27]+)["\x27][^>]*>(.*?)</a>', 2) AS inner) AS links) t
-        LATERAL VIEW posexplode(links) e AS pos, link
+        RETURN SELECT e.pos, trim(get(hrefs, e.pos)), trim(regexp_replace(e.inner_html, '<[^>]+>', ''))
+        FROM (SELECT
+                regexp_extract_all(html, r'(?is)<a\s[^>]*href=["\x27]([^"\x27]+)["\x27][^>]*>(.*?)</a>', 1) AS hrefs,
+                regexp_extract_all(html, r'(?is)<a\s[^>]*href=["\x27]([^"\x27]+)["\x27][^>]*>(.*?)</a>', 2) AS inners) t
+        LATERAL VIEW posexplode(inners) e AS pos, inner_html
         """
     )

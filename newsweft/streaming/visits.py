@@ -7,41 +7,47 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import (
+    BooleanType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from newsweft.operators.upsert import upsert_failures
 from newsweft.params import Params
 from newsweft.schemas import FAILURES
 
 DAY_MS = 86_400_000
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_OUT = "url string, ts timestamp, seq bigint"
+_WINDOW = StructType(
+    [StructField("first_seen", TimestampType()), StructField("was_briefed", BooleanType())]
+)
+_OUT = StructType(
+    [
+        StructField("url", StringType()),
+        StructField("ts", TimestampType()),
+        StructField("seq", LongType()),
+    ]
+)
 
 
-class VisitWindows(StatefulProcessor):
-    """Per url: when its window began and whether it was briefed since.
+def visit_windows(params: Params):
+    """State function per url: when its window began and whether it was briefed since.
 
     Within one micro-batch every entry of a url sees the state the batch started with, as a batch
     run would. ``kind`` is ``entry`` for candidates and ``briefed`` for urls put into a briefing.
     """
-
-    def __init__(self, params: Params) -> None:
-        self.days = params.dedup_days
-        self.briefed_days = params.briefed_dedup_days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        longest = max(self.days, self.briefed_days) * DAY_MS
-        self.window = handle.getValueState(
-            "window", StructType.fromDDL("first_seen timestamp, was_briefed boolean"), longest
-        )
-
-    def handleInputRows(
-        self, key, rows: Iterator[pd.DataFrame], timerValues
-    ) -> Iterator[pd.DataFrame]:
-        state = self.window.get() if self.window.exists() else None
-        began, briefed = (state[0], bool(state[1])) if state else (None, False)
-        span = pd.Timedelta(days=self.briefed_days if briefed else self.days)
+    days, briefed_days = params.dedup_days, params.briefed_dedup_days
+
+    def fold(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        began, briefed = state.get if state.exists else (None, False)
+        span = pd.Timedelta(days=briefed_days if briefed else days)
         restart, marked = None, None
         for pdf in rows:
             entries = pdf[pdf["kind"] == "entry"]
@@ -58,24 +64,17 @@ class VisitWindows(StatefulProcessor):
             began, briefed = restart.to_pydatetime(), False
         if marked is not None and began is not None and marked >= pd.Timestamp(began):
             briefed = True
-        if restart is not None or marked is not None:
-            if began is not None:
-                self.window.update((began, briefed))
+        if began is not None:
+            state.update((began, briefed))
+            state.setTimeoutDuration(max(days, briefed_days) * DAY_MS)
 
-    def close(self) -> None:
-        pass
+    return fold
 
 
 def stream_filter_new(rows: DataFrame, params: Params) -> DataFrame:
-    """Entries of a stream ``(url, ts, seq, kind)`` that are outside their url's window.
-
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
-    """
-    return rows.groupBy("url").transformWithStateInPandas(
-        statefulProcessor=VisitWindows(params),
-        outputStructType=StructType.fromDDL(_OUT),
-        outputMode="Append",
-        timeMode="ProcessingTime",
+    """Entries of a stream ``(url, ts, seq, kind)`` that are outside their url's window."""
+    return rows.groupBy("url").applyInPandasWithState(
+        visit_windows(params), _OUT, _WINDOW, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
