@@ -41,6 +41,7 @@ def visit_windows(params: Params):
     run would. ``kind`` is ``entry`` for candidates and ``briefed`` for urls put into a briefing.
     """
     days, briefed_days = params.dedup_days, params.briefed_dedup_days
+    longest = max(days, briefed_days)
 
     def fold(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -66,15 +67,24 @@ def visit_windows(params: Params):
             briefed = True
         if began is not None:
             state.update((began, briefed))
-            state.setTimeoutDuration(max(days, briefed_days) * DAY_MS)
+            ends = int(pd.Timestamp(began).timestamp() * 1000) + longest * DAY_MS
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
 
     return fold
 
 
 def stream_filter_new(rows: DataFrame, params: Params) -> DataFrame:
-    """Entries of a stream ``(url, ts, seq, kind)`` that are outside their url's window."""
-    return rows.groupBy("url").applyInPandasWithState(
-        visit_windows(params), _OUT, _WINDOW, "append", GroupStateTimeout.ProcessingTimeTimeout
+    """Entries of a stream ``(url, ts, seq, kind)`` that are outside their url's window.
+
+    State goes when the event time has passed the longer window; only rows that late are dropped.
+    """
+    longest = max(params.dedup_days, params.briefed_dedup_days)
+    return (
+        rows.withWatermark("ts", f"{longest} days")
+        .groupBy("url")
+        .applyInPandasWithState(
+            visit_windows(params), _OUT, _WINDOW, "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
 
 
