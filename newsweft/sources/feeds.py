@@ -85,11 +85,13 @@ def cut(c: Column, n: int) -> Column:
 
 def keep_first_url(items: Column) -> Column:
     """Drop later elements that repeat an earlier element's url."""
-    urls = F.transform(items, lambda e: e["url"])
     return let(
-        F.struct(items.alias("items"), urls.alias("urls")),
-        lambda s: F.filter(
-            s["items"], lambda e, i: F.array_position(s["urls"], e["url"]) == i.cast("long") + 1
+        items,
+        lambda every: let(
+            F.transform(every, lambda e: e["url"]),
+            lambda urls: F.filter(
+                every, lambda e, i: F.array_position(urls, e["url"]) == i.cast("long") + 1
+            ),
         ),
     )
 
@@ -327,13 +329,21 @@ def toot_links(df: DataFrame) -> DataFrame:
 
     def one(t: Column) -> Column:
         content = F.coalesce(t["content"], F.lit(""))
-        plain = strip(strip_tags(content))
-        hrefs = F.regexp_extract_all(content, F.lit(HREF), F.lit(1))
+        return let(
+            F.struct(
+                t["card"].alias("card"),
+                strip(strip_tags(content)).alias("plain"),
+                F.regexp_extract_all(content, F.lit(HREF), F.lit(1)).alias("hrefs"),
+            ),
+            pick,
+        )
+
+    def pick(t: Column) -> Column:
+        card, plain, hrefs = t["card"], t["plain"], t["hrefs"]
         urls = F.when(F.size(hrefs) > 0, hrefs).otherwise(
             F.regexp_extract_all(plain, F.lit(PLAIN_URL), F.lit(0))
         )
         external = F.filter(urls, lambda u: ~u.startswith(instance))
-        card = t["card"]
         carded = F.coalesce(card["url"] != "", F.lit(False))
         title = F.when(carded, F.coalesce(blank_to_null(card["title"]), F.substring(plain, 1, 120)))
         about = F.when(
