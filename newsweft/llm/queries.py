@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from newsweft.llm import exact_dedup, url_filter
+from pyspark.sql import functions as F
+
+from newsweft.llm import exact_dedup, packing, topk, toxicity, url_filter
 from newsweft.llm.store import table
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_exact_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -15,10 +29,14 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_exact_topk": op4_exact_topk,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filters": op7_url_filters,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE = {
+    "op4_exact_topk": topk.SQL,
     "op7_url_filters": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
