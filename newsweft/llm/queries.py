@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweft.llm import exact_dedup, packing, topk, toxicity, url_filter
+from newsweft.llm import exact_dedup, near_dedup, packing, topk, toxicity, url_filter
 from newsweft.llm.store import table
 
 
@@ -24,6 +24,10 @@ def op7_url_filters(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filters": op7_url_filters,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE = {

@@ -30,8 +30,9 @@ SAMPLE = 20_000  # labelled documents to fit on, at most
 MIN_COUNT = 3
 MAX_FEATURES = 1 << 18  # weights a model can have, at most
 SHARDS = 8
-PASSES = 6
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.2, 1e-3
+PASSES = 8
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 1e-3
+TOXIC_WEIGHT = 12  # of a toxic document's step: one clear word must outweigh the many clean documents
 THRESHOLD = 0.7
 STRIPPED = ".,;:!?\"'()[]{}<>|*#%&-_/\\=+~`"
 
@@ -136,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_count: int
             for toxic, blob in shard.sort_values("h")[["toxic", "ids"]].itertuples(index=False):
                 at = np.append(np.frombuffer(blob, dtype=np.int32), len(z) - 1)
                 w = _weights(z[at], n[at])
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - (toxic > 0)
+                p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
+                g = TOXIC_WEIGHT * (p - 1) if toxic > 0 else p
                 z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
                 n[at] += g * g
             z, n = z - state.value[0], n - state.value[1]
