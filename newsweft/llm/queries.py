@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweft.llm import exact_dedup, near_dedup, packing, topk, toxicity, url_filter
+from newsweft.llm import exact_dedup, near_dedup, packing, suffix_dedup, topk, toxicity, url_filter
 from newsweft.llm.store import table
 
 
@@ -16,6 +16,10 @@ def op4_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_exact_topk": op4_exact_topk,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filters": op7_url_filters,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
