@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweft.llm import exact_dedup, near_dedup, packing, suffix_dedup, topk, toxicity, url_filter
+from newsweft.llm import exact_dedup, mixing, near_dedup, packing, suffix_dedup, topk, toxicity, url_filter
 from newsweft.llm.store import table
 
 
@@ -32,6 +32,10 @@ def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark, sf_dir):
+    return mixing.selected(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,10 +47,12 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filters": op7_url_filters,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE = {
     "op4_exact_topk": topk.SQL,
     "op7_url_filters": url_filter.SQL,
+    "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
