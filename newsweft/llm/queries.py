@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweft.llm import exact_dedup, mixing, near_dedup, packing, suffix_dedup, topk, toxicity, url_filter
+from newsweft.llm import exact_dedup, mixing, near_dedup, packing, suffix_dedup, token_counts, topk, toxicity, url_filter
 from newsweft.llm.store import table
 
 
+def op1_token_counts(spark, sf_dir):
+    return token_counts.recount(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op4_exact_topk": op4_exact_topk,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
