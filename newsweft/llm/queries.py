@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweft.llm import exact_dedup, mixing, near_dedup, packing, suffix_dedup, token_counts, topk, toxicity, url_filter
+from newsweft.llm import exact_dedup, mixing, near_dedup, packing, suffix_dedup, surrogates, token_counts, topk, toxicity, url_filter
 from newsweft.llm.store import table
 
 
@@ -16,6 +16,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii_surrogates(spark, sf_dir):
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -47,6 +51,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_exact_topk": op4_exact_topk,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
