@@ -1,23 +1,51 @@
-"""The corpus pipeline: stages over documents, each one's rows written and read again for the next."""
+"""The corpus pipeline: stages over documents, each one's rows written and read again for the next.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of ``documents``; the last returns a row for each packed piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweft.llm import exact_dedup
+from newsweft.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from newsweft.llm.store import saved, table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it is fitted on labels of documents it may learn from."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest doc_id stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the budgets of their domain, language and source select, each at most once."""
+    return mixing.keep_mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row for each piece of a document."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
-ORACLE_SQL = None  # the stages that learn or estimate cannot be said in SQL; tests/llm holds them against brute force
+ORACLE_SQL = None  # a fitted model and a tokenizer cannot be said in SQL; tests/llm holds run() against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
