@@ -11,8 +11,11 @@ are linked when ``100 * intersection >= 75 * union``, and a component's smallest
    and are skipped; they count in full signatures only.
 3. Posting lists are joined as stars: each list's most central member (whose values recur most) against
    the others. Pairs that agree often enough are confirmed on full sets, and components contracted.
-4. Pairs of a list whose members are still in different components are compared too, so no link
-   between components is lost; members of one component need no further proof.
+4. Lists whose members are still in different components may hide further links. A large group of
+   texts that resemble each other just too little would give every pair here, so these members meet
+   again on the rarest of their shingles: two linked sets share one of the first 25 per cent (of the
+   larger) and 14 per cent (of the smaller) in the order of rarity, and late meetings are skipped when
+   too few shingles follow. Members of one component need no further proof.
 
 Whether a true link is seen depends on chance only through step 2: at a similarity of exactly 0.75 the
 number of agreeing coordinates has mean 48 and deviation 3.5, so fewer than ``MATCHES`` = 36 occur about
@@ -191,22 +194,63 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(named, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
 
 
-def _stars(lists: DataFrame, among: DataFrame) -> DataFrame:
-    """token, hub, hub_root: the most central of ``among``, for lists that lie in several components."""
-    best = among.groupBy("token").agg(F.max(F.struct("central", (-F.col("doc")).alias("minus"), "root")).alias("s"))
-    return _mixed(lists).join(best, "token").select("token", (-F.col("s.minus")).alias("hub"), F.col("s.root").alias("hub_root"))
-
-
-def _mixed(lists: DataFrame) -> DataFrame:
+def _open(lists: DataFrame) -> DataFrame:
+    """Tokens whose lists lie in several components."""
     spread = lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return spread.where("low <> high").select("token")
 
 
-def _against(stars: DataFrame, lists: DataFrame) -> DataFrame:
-    return lists.join(stars, "token").where("root <> hub_root").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): every posting against the most central member of its list."""
+    hub = lists.groupBy("token").agg(F.max(F.struct("central", (-F.col("doc")).alias("minus"))).alias("s"), F.count(F.lit(1)).alias("n"))
+    hub = hub.where("n > 1").select("token", (-F.col("s.minus")).alias("a"))
+    return lists.join(hub, "token").where("a <> doc").select("a", F.col("doc").alias("b"))
+
+
+def rare_shingle_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of ``members`` (doc, root) in different components that share one of their rarest shingles.
+
+    For sets x, y with x no larger than y, a link needs 3/7 of the sum of their sizes in common, so at
+    least 6/7 of x and 3/4 of y: the order of rarity cannot postpone the first common one any further.
+    """
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 500):
+                part = frame.iloc[at : at + 500]
+                sets = [shingles(t) for t in part["text"]]
+                sizes = [len(s) for s in sets]
+                yield pd.DataFrame(
+                    {
+                        "doc": np.repeat(part["doc"].to_numpy(), sizes),
+                        "root": np.repeat(part["root"].to_numpy(), sizes),
+                        "size": np.repeat(np.array(sizes, dtype=np.int32), sizes),
+                        "shingle": np.concatenate(sets).view(np.int64),
+                    }
+                )
+
+    every = texts.join(members, "doc").select("doc", "root", "text").mapInPandas(rows, "doc long, root long, size int, shingle long")
+    every = saved(every, "shingles")
+    shared = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # no more than the shingles of one text; those of no other member come first and are only counted
+    ranked = every.join(shared, "shingle").groupBy("doc", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    first = F.col("size") - F.size("s")
+    length = F.col("size") - F.ceil(F.col("size") * 3 / 4) + 1 - first
+    posted = ranked.where(length > 0).select("doc", "root", "size", first.alias("first"), F.posexplode(F.slice("s", 1, length.cast("int"))).alias("i", "s"))
+    posted = posted.select("doc", "root", "size", (F.col("first") + F.col("i") + 1).alias("place"), F.col("s.shingle").alias("shingle"))
+    posted = saved(posted, "rare")
+    x = posted.where("7 * (place - 1) <= size").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("doc", "root", "size", "place")])
+    y = posted.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("doc", "root", "size", "place")])
+    fit = (
+        (F.struct("size_x", "doc_x") < F.struct("size_y", "doc_y"))
+        & (F.col("root_x") != F.col("root_y"))
+        & (F.col("size_x") * 100 >= F.col("size_y") * 75)
+        & (7 * (1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))) >= 3 * (F.col("size_x") + F.col("size_y")))
+    )
+    return x.join(y, "shingle").where(fit).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
-def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) over the classes, for those that are linked."""
     lists = saved(postings(classes), "postings")
     met = lists.select("doc").distinct()
@@ -217,21 +261,10 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
         likely = saved(_agree(pairs.distinct(), classes), "likely")
         return saved(confirmed(likely, texts), "confirmed")
 
-    def opened(roots: DataFrame) -> DataFrame:
-        named = _with_roots(lists, roots)
-        return saved(named.join(_mixed(named), "token", "left_semi"), "open")
-
-    open_ = lists.withColumn("root", F.col("doc"))
-    links = linked(_against(_stars(open_, open_), open_))
-    # the second star of a list is the most central one outside the component of the first
-    open_ = opened(components(links))
-    outside = open_.join(_stars(open_, open_), "token").where("root <> hub_root").drop("hub", "hub_root")
-    links = links.unionByName(linked(_against(_stars(open_, outside), open_)))
-    open_ = opened(components(links))
-    left = open_.select("token", F.col("doc").alias("a"), F.col("root").alias("p"))
-    right = open_.select("token", F.col("doc").alias("b"), F.col("root").alias("q"))
-    rest = left.join(right, "token").where("a < b and p <> q").select("a", "b")
-    return components(links.unionByName(linked(rest)))
+    links = linked(star_pairs(lists))
+    named = _with_roots(lists.select("token", "doc"), components(links))
+    members = saved(named.join(_open(named), "token", "left_semi").select("doc", "root").distinct(), "open")
+    return components(links.unionByName(linked(rare_shingle_pairs(members, texts))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
