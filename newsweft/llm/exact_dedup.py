@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsweft.llm.store import saved
+from newsweft.llm.store import saved, unused
 
 SUPPORT = 0.002  # the summary holds at most 1 / SUPPORT = 500 digests, which bounds what is broadcast
 
@@ -67,13 +67,15 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The rows of ``docs`` that stay, one for each kept ``doc_id`` (its longest text), columns as they were."""
-    kept = exact_dedup(docs, support).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
+    kept = exact_dedup(docs, support).where("kept").select(F.col("doc_id").alias("stays")).distinct().alias("k")
     one = Window.partitionBy("doc_id").orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), "text")
+    nth = unused(docs, "nth")
     return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-        .withColumn("_nth", F.row_number().over(one))
-        .where("_nth = 1")
-        .drop("_nth")
+        docs.alias("d")
+        .join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.stays")), "left_semi")
+        .withColumn(nth, F.row_number().over(one))
+        .where(F.col(nth) == 1)
+        .drop(nth)
     )
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsweft.llm.store import saved
+from newsweft.llm.store import saved, unused
 
 SHARE = (3, 5)  # of the corpus's tokens
 SEED = 7
@@ -133,7 +133,10 @@ def selected(docs: DataFrame, max_epochs: int = 2) -> DataFrame:
 
 def keep_mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are selected, each at most once, columns as they were."""
-    return mix(docs, max_epochs=1).drop(*NAMES, "_n", "_epoch")
+    added = (*NAMES, "_n", "_epoch", "_epochs", "_cut", "_times")
+    aside = {c: unused(docs, f"{c}_own") for c in docs.columns if c.lower() in added}
+    rows = mix(docs.withColumnsRenamed(aside), max_epochs=1).drop(*added)
+    return rows.withColumnsRenamed({own: c for c, own in aside.items()}).select(*docs.columns)
 
 
 def _case(name: str, of: dict[str, int]) -> str:

@@ -283,5 +283,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, columns as they were."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct().alias("k")
+    return docs.alias("d").join(kept, F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.stays")), "left_semi")
