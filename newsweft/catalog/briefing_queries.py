@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from newsweft.catalog.core import VIEW_SQL, _DEPENDS, query, sql_strip
-from newsweft.catalog.graph_queries import _DEGREE, edges0, nodes0, occ_of
+from newsweft.catalog.graph_queries import _DEGREE, edges as whole_edges, nodes as whole_nodes, pairs as whole_pairs
 from newsweft.catalog.text_queries import sql_category
 from newsweft.functions import briefing_text
 from newsweft.functions.concepts import assign_category
@@ -23,7 +23,7 @@ def briefing_articles(t):
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("source").alias("source_name"),
         F.concat(F.lit("http://d/"), d).alias("url"),
-        F.substring(flat, 1, 200).alias("summary"),
+        flat.alias("summary"),
         F.when(d % 4 > 0, F.concat(F.lit("insight "), F.col("n_chars"))).otherwise("").alias("novel_insights"),
         F.array("lang", F.concat(F.lit("Topic "), F.col("n_chars") % 50), F.col("source"), F.lit("x")).alias("key_concepts"),
         F.when(d % 3 > 0, F.array("lang", F.lit("news"))).otherwise(F.array().cast("array<string>")).alias("related_topics"),
@@ -77,7 +77,7 @@ def rendered(t):
 
 VIEW_SQL["art8"] = (
     "SELECT CAST(DATE '1950-01-01' + CAST(doc_id//8 AS INTEGER) AS DATE) AS d, doc_id, split_part(text,chr(10),1) AS title, source, lang, "
-    "'http://d/'||doc_id AS url, substring(replace(text,chr(10),' '),1,200) AS summary, CASE WHEN doc_id%4>0 THEN 'insight '||n_chars ELSE '' END AS ins, "
+    "'http://d/'||doc_id AS url, replace(text,chr(10),' ') AS summary, CASE WHEN doc_id%4>0 THEN 'insight '||n_chars ELSE '' END AS ins, "
     "[lang,'Topic '||(n_chars%50),source,'x'] AS kc, CASE WHEN doc_id%3>0 THEN lang||', news' ELSE '' END AS rel, (doc_id*7919)%11 AS rs, "
     "CAST(trunc((doc_id*71%101)/100.0::DOUBLE*100) AS INTEGER) AS pct, (doc_id*37%101)/100.0::DOUBLE AS g FROM documents"
 )
@@ -327,9 +327,9 @@ _CAT = sql_category("concept")
 
 @query(
     "D5_render_concept_notes",
-    f", {_DEGREE}, adj AS (SELECT a AS c, b AS n FROM edges0 UNION SELECT b, a FROM edges0), "
+    f", {_DEGREE}, adj AS (SELECT a AS c, b AS n FROM edges UNION SELECT b, a FROM edges), "
     "l AS (SELECT c, string_agg('- [['||n||'|'||n||']]', chr(10) ORDER BY n) AS l FROM adj GROUP BY c), "
-    "r AS (SELECT concept, url, min(seq) AS seq FROM (SELECT a AS concept, url, seq FROM pair0 UNION ALL SELECT b, url, seq FROM pair0) GROUP BY concept, url "
+    "r AS (SELECT concept, url, min(seq) AS seq FROM (SELECT a AS concept, url, seq FROM pairs UNION ALL SELECT b, url, seq FROM pairs) GROUP BY concept, url "
     "QUALIFY row_number() OVER (PARTITION BY concept ORDER BY min(seq), url) <= 20), "
     "u AS (SELECT concept, string_agg('- '||url, chr(10) ORDER BY seq, url) AS u FROM r GROUP BY concept), "
     f"x AS (SELECT *, CASE WHEN encounter_count>1 THEN {_CAT} ELSE 'Uncategorized' END AS cat FROM deg LEFT JOIN l ON c=concept LEFT JOIN u USING (concept)) "
@@ -337,13 +337,13 @@ _CAT = sql_category("concept")
     "'familiarity: '||format('{:.2f}', familiarity)||chr(10)||'encounters: '||encounter_count||chr(10)||'connections: '||degree||chr(10)||'first_seen: '||strftime(first_seen,'%Y-%m-%d')||chr(10)||"
     "'last_seen: '||strftime(first_seen,'%Y-%m-%d')||chr(10)||'---'||chr(10)||chr(10)||'# '||concept||chr(10)||chr(10)||'**Familiarity**: '||format('{:.0f}', familiarity*100)||'% | **Encounters**: '||encounter_count||"
     "' | **Connections**: '||degree||chr(10)||coalesce(chr(10)||'## Related Concepts'||chr(10)||chr(10)||l||chr(10),'')||coalesce(chr(10)||'## Source Articles'||chr(10)||chr(10)||u||chr(10),'')) AS content FROM x",
-    ["nodes0", "edges0", "pair0"],
+    ["nodes", "edges", "pairs"],
 )
 def d5(t):
     category = F.when(F.col("encounter_count") > 1, assign_category(F.col("concept")))
-    nodes = nodes0(t).withColumns({"category": category, "last_seen": F.col("first_seen")})
-    sources = graph.article_pairs(occ_of(t, True), None)
-    out = notes.render_concept_notes(nodes, edges0(t), sources)
+    nodes = whole_nodes(t).withColumns({"category": category, "last_seen": F.col("first_seen")})
+    sources = whole_pairs(t)
+    out = notes.render_concept_notes(nodes, whole_edges(t), sources)
     return out.select("path", F.md5("content").alias("content"))
 
 
@@ -352,11 +352,11 @@ def d5(t):
     "SELECT 'Concepts/'||c||'/_Category.md' AS path, md5('---'||chr(10)||'tags:'||chr(10)||'  - newsweft/category'||chr(10)||'category: \"'||c||'\"'||chr(10)||'color: \"'||"
     "CASE c WHEN 'AI Models' THEN '#0A84FF' ELSE '#8E8E93' END||'\"'||chr(10)||'node_count: '||count(*)||chr(10)||'---'||chr(10)||chr(10)||'# '||c||chr(10)||chr(10)||count(*)||' concepts in this domain.'||chr(10)||chr(10)||"
     "'## Concepts'||chr(10)||chr(10)||string_agg('- [['||concept||'|'||concept||']] (familiarity: '||format('{:.0f}', familiarity*100)||'%, '||encounter_count||' encounters)', chr(10) ORDER BY concept)||chr(10)) AS content "
-    "FROM (SELECT *, CASE WHEN encounter_count>1 THEN 'AI Models' ELSE 'Uncategorized' END AS c FROM nodes0) GROUP BY c",
-    ["nodes0"],
+    "FROM (SELECT *, CASE WHEN encounter_count>1 THEN 'AI Models' ELSE 'Uncategorized' END AS c FROM nodes) GROUP BY c",
+    ["nodes"],
 )
 def d6(t):
-    nodes = nodes0(t).withColumn("category", F.when(F.col("encounter_count") > 1, "AI Models"))
+    nodes = whole_nodes(t).withColumn("category", F.when(F.col("encounter_count") > 1, "AI Models"))
     return notes.render_category_pages(nodes).select("path", F.md5("content").alias("content"))
 
 
@@ -365,13 +365,13 @@ _PCT = "format('{:.0f}', familiarity*100)||'%'"
 
 @query(
     "D6_render_index",
-    f", {_DEGREE}, s AS (SELECT (SELECT count(*) FROM nodes0) AS n, (SELECT count(*) FROM edges0) AS m), "
-    "dom AS (SELECT 'Uncategorized' AS c, count(*) AS k, arg_min(concept, (-familiarity, concept)) AS top, max(familiarity) AS familiarity FROM nodes0), "
+    f", {_DEGREE}, s AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m), "
+    "dom AS (SELECT 'Uncategorized' AS c, count(*) AS k, arg_min(concept, (-familiarity, concept)) AS top, max(familiarity) AS familiarity FROM nodes), "
     f"f AS (SELECT string_agg('| [['||concept||'\\|'||concept||']] | '||{_PCT}||' | '||encounter_count||' | '||degree||' |', chr(10) ORDER BY familiarity DESC, first_seen, concept) AS t FROM "
     "(SELECT * FROM deg ORDER BY familiarity DESC, first_seen, concept LIMIT 20)), "
     f"g AS (SELECT string_agg('| [['||concept||'\\|'||concept||']] | '||degree||' | '||{_PCT}||' |', chr(10) ORDER BY degree DESC, first_seen, concept) AS t FROM "
     "(SELECT * FROM deg ORDER BY degree DESC, first_seen, concept LIMIT 20)), "
-    "a AS (SELECT concept, encounter_count, (row_number() OVER (ORDER BY concept)-1)//5000 AS page FROM nodes0), "
+    "a AS (SELECT concept, encounter_count, (row_number() OVER (ORDER BY concept)-1)//5000 AS page FROM nodes), "
     "p AS (SELECT page, string_agg('- [['||concept||'|'||concept||']] ('||encounter_count||' encounters)', chr(10) ORDER BY concept) AS t FROM a GROUP BY page) "
     "SELECT CASE WHEN page=0 THEN 'Knowledge Graph.md' ELSE 'Knowledge Graph ('||(page+1)||').md' END AS path, md5(CASE WHEN page=0 THEN '---'||chr(10)||'tags:'||chr(10)||'  - newsweft/index'||chr(10)||'updated: 2024-01-31'||chr(10)||"
     "'total_nodes: '||n||chr(10)||'total_edges: '||m||chr(10)||'---'||chr(10)||chr(10)||'# Knowledge Graph'||chr(10)||chr(10)||'**'||n||' concepts** · **'||m||' connections**'||chr(10)||chr(10)||'## Concepts by Domain'||chr(10)||chr(10)||"
@@ -380,9 +380,9 @@ _PCT = "format('{:.0f}', familiarity*100)||'%'"
     + "||') |'||chr(10)||chr(10)||'## Top Concepts by Familiarity'||chr(10)||chr(10)||'| Concept | Familiarity | Encounters | Connections |'||chr(10)||'|---------|------------|------------|-------------|'||chr(10)||f.t||chr(10)||chr(10)||"
     "'## Top Concepts by Connections'||chr(10)||chr(10)||'| Concept | Connections | Familiarity |'||chr(10)||'|---------|------------|------------|'||chr(10)||g.t||chr(10)||chr(10)||'## All Concepts'||chr(10)||chr(10) ELSE '' END||p.t||chr(10)) AS content "
     "FROM p, s, dom, f, g",
-    ["nodes0", "edges0"],
+    ["nodes", "edges"],
 )
 def d6_index(t):
-    return notes.render_index(nodes0(t), edges0(t), "2024-01-31").select(
+    return notes.render_index(whole_nodes(t), whole_edges(t), "2024-01-31", page_size=5000).select(
         "path", F.md5("content").alias("content")
     )

@@ -68,7 +68,7 @@ class Tables:
             F.col("doc_id").alias("seq"),
             F.concat(F.lit("doc:"), "doc_id").alias("url"),
             F.substring_index("text", "\n", 1).alias("title"),
-            F.substring("text", 1, 400).alias("snippet"),
+            F.col("text").alias("snippet"),
             F.col("source").alias("source_name"),
             F.col("doc_id").alias("feed_pos"),
         )
@@ -130,7 +130,7 @@ class Tables:
             F.substring_index("text", "\n", 1).alias("title"),
             F.col("source").alias("source_name"),
             F.concat(F.lit("doc:"), d).alias("url"),
-            F.substring("text", 1, 200).alias("summary"),
+            F.col("text").alias("summary"),
             F.concat(F.lit("insight "), F.col("n_chars")).alias("novel_insights"),
             F.array(
                 "lang", F.concat(F.lit("Topic "), F.col("n_chars") % 50), F.col("source")
@@ -224,15 +224,14 @@ class Tables:
 
     @cached_property
     def sparse_rows(self):
-        return (
-            self.read("lineitem")
-            .filter((F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.1))
-            .select(
-                F.concat(F.lit("p"), "l_partkey").alias("a"),
-                F.concat(F.lit("s"), "l_suppkey").alias("b"),
-                F.col("l_shipdate").alias("seen_at"),
-                F.col("l_orderkey").alias("ord"),
-            )
+        """Every order line as an edge; lines of one tag meet on few ends, so there are cycles,
+        bridges and several components to a tag."""
+        tag = F.col("l_orderkey") % 997
+        return self.read("lineitem").select(
+            F.concat(F.lit("p"), tag, F.lit("n"), F.col("l_partkey") % 23).alias("a"),
+            F.concat(F.lit("s"), tag, F.lit("n"), F.col("l_suppkey") % 19).alias("b"),
+            F.col("l_shipdate").alias("seen_at"),
+            F.col("l_orderkey").alias("ord"),
         )
 
     @cached_property
@@ -273,7 +272,7 @@ VIEW_SQL = {
     "ev": "SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events",
     "entry": (
         "SELECT doc_id AS seq, 'doc:'||doc_id AS url, split_part(text, chr(10), 1) AS title, "
-        "substring(text, 1, 400) AS snippet, source AS source_name, doc_id AS feed_pos, text "
+        "text AS snippet, source AS source_name, doc_id AS feed_pos, text "
         "FROM documents"
     ),
     "scored": "SELECT *, CAST((seq*7919)%11 AS INTEGER) AS score FROM entry",
@@ -294,7 +293,7 @@ VIEW_SQL = {
     "articles": (
         "SELECT CAST(DATE '2024-01-01' + CAST(doc_id%30 AS INTEGER) AS DATE) AS briefing_date, "
         "CAST(doc_id//30+1 AS INTEGER) AS article_number, split_part(text,chr(10),1) AS title, "
-        "source AS source_name, 'doc:'||doc_id AS url, substring(text,1,200) AS summary, "
+        "source AS source_name, 'doc:'||doc_id AS url, text AS summary, "
         "'insight '||n_chars AS novel_insights, [lang, 'Topic '||(n_chars%50), source] AS key_concepts, "
         "[lang,'news'] AS related_topics, CAST((doc_id*7919)%11 AS INTEGER) AS relevance_score, "
         "(doc_id*71%101)/100.0::DOUBLE AS novelty_score, (doc_id*37%101)/100.0::DOUBLE AS graph_novelty, "
@@ -332,8 +331,8 @@ VIEW_SQL = {
         "FROM lineitem JOIN part ON l_partkey=p_partkey"
     ),
     "sparse_rows": (
-        "SELECT 'p'||l_partkey AS a, 's'||l_suppkey AS b, l_shipdate AS seen_at, l_orderkey AS ord "
-        "FROM lineitem WHERE l_quantity>=50 AND l_discount>=0.1"
+        "SELECT 'p'||(l_orderkey%997)||'n'||(l_partkey%23) AS a, 's'||(l_orderkey%997)||'n'||(l_suppkey%19) AS b, "
+        "l_shipdate AS seen_at, l_orderkey AS ord FROM lineitem"
     ),
     "sparse_edges": "SELECT a, b, min(seen_at) AS first_seen FROM sparse_rows GROUP BY a, b",
     "sparse_nodes": (

@@ -145,8 +145,11 @@ VIEW_SQL["rel1"] = (
     "SELECT x.url, least(x.concept,y.concept) AS a, greatest(x.concept,y.concept) AS b, max(CASE WHEN y.flag='R' THEN 'uses' ELSE 'extends' END) AS type "
     "FROM inc x JOIN inc y ON x.url=y.url AND y.pos=x.pos+1 WHERE x.flag='A' GROUP BY ALL"
 )
+VIEW_SQL["nodes"] = VIEW_SQL["nodes0"].replace(" WHERE history", "")
+VIEW_SQL["pairs"] = VIEW_SQL["pair0"].replace("WHERE x.history AND y.history ", "").replace(" WHERE history", "")
+VIEW_SQL["edges"] = "SELECT a, b FROM pairs GROUP BY a, b"
 for _v, _d in (
-    ("nodes0", ["concept_occ"]), ("pair0", ["concept_occ"]), ("edges0", ["pair0"]), ("inc", ["concept_occ"]),
+    ("nodes", ["concept_occ"]), ("pairs", ["concept_occ"]), ("edges", ["pairs"]), ("nodes0", ["concept_occ"]), ("pair0", ["concept_occ"]), ("edges0", ["pair0"]), ("inc", ["concept_occ"]),
     ("pair1", ["concept_occ"]), ("rel1", ["inc"]),
 ):
     _DEPENDS[_v] = _d
@@ -157,7 +160,16 @@ def occ_of(t, history):
 
 
 def nodes0(t):
-    return occ_of(t, True).groupBy("concept").agg(
+    return _as_nodes(occ_of(t, True))
+
+
+def nodes(t):
+    """The graph of all order lines."""
+    return _as_nodes(t.concept_occ)
+
+
+def _as_nodes(occ):
+    return occ.groupBy("concept").agg(
         F.min("seen_at").alias("first_seen"),
         F.max("seen_at").alias("last_seen"),
         F.count(F.lit(1)).alias("encounter_count"),
@@ -177,6 +189,14 @@ def edges0(t):
     return graph.update_edges(no_edges(t), pairs, F.lit(GRAPH_NOW).cast("timestamp"))
 
 
+def pairs(t):
+    return graph.article_pairs(t.concept_occ.withColumn("title", F.col("raw_concept")), None)
+
+
+def edges(t):
+    return graph.update_edges(no_edges(t), pairs(t), F.lit(GRAPH_NOW).cast("timestamp"))
+
+
 def relationships1(t):
     inc = occ_of(t, False)
     x = inc.filter("flag = 'A'").select("url", (F.col("pos") + 1).alias("pos"), F.col("concept").alias("x"))
@@ -248,32 +268,32 @@ def a9(t):
 
 
 _DEGREE = (
-    "deg AS (SELECT n.concept, n.first_seen, n.encounter_count, n.familiarity, coalesce(d.degree, 0) AS degree FROM nodes0 n LEFT JOIN "
-    "(SELECT concept, count(*) AS degree FROM (SELECT a AS concept FROM edges0 UNION ALL SELECT b FROM edges0) GROUP BY concept) d USING (concept))"
+    "deg AS (SELECT n.concept, n.first_seen, n.encounter_count, n.familiarity, coalesce(d.degree, 0) AS degree FROM nodes n LEFT JOIN "
+    "(SELECT concept, count(*) AS degree FROM (SELECT a AS concept FROM edges UNION ALL SELECT b FROM edges) GROUP BY concept) d USING (concept))"
 )
 
 
-@query("A5_degree", f", {_DEGREE} SELECT concept, degree FROM deg", ["nodes0", "edges0"])
+@query("A5_degree", f", {_DEGREE} SELECT concept, degree FROM deg", ["nodes", "edges"])
 def a5(t):
-    return graph.degree(nodes0(t), edges0(t)).select("concept", "degree")
+    return graph.degree(nodes(t), edges(t)).select("concept", "degree")
 
 
 @query(
     "A5_most_connected",
     f", {_DEGREE} SELECT concept, degree FROM deg ORDER BY degree DESC, first_seen, concept LIMIT 1",
-    ["nodes0", "edges0"],
+    ["nodes", "edges"],
 )
 def a5b(t):
-    return graph.most_connected(nodes0(t), edges0(t))
+    return graph.most_connected(nodes(t), edges(t))
 
 
 @query(
     "A6_graph_size",
-    "SELECT (SELECT count(*) FROM nodes0) AS nodes, (SELECT count(*) FROM edges0) AS edges",
-    ["nodes0", "edges0"],
+    "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges",
+    ["nodes", "edges"],
 )
 def a6(t):
-    return graph.graph_size(nodes0(t), edges0(t))
+    return graph.graph_size(nodes(t), edges(t))
 
 
 _ALL = (
@@ -300,24 +320,24 @@ def a10(t):
 
 @query(
     "A4_category_summary",
-    f"SELECT coalesce(CASE WHEN encounter_count>1 THEN {sql_category('concept')} END, 'Uncategorized') AS category, count(*) AS nodes FROM nodes0 GROUP BY 1",
-    ["nodes0"],
+    f"SELECT coalesce(CASE WHEN encounter_count>1 THEN {sql_category('concept')} END, 'Uncategorized') AS category, count(*) AS nodes FROM nodes GROUP BY 1",
+    ["nodes"],
 )
 def a4(t):
     known = F.when(F.col("encounter_count") > 1, graph.assign_category(F.col("concept")))
-    return stats.category_summary(nodes0(t).withColumn("category", known))
+    return stats.category_summary(nodes(t).withColumn("category", known))
 
 
 @query(
     "A15_kb_stats",
     f", {_DEGREE} SELECT (SELECT count(*) FROM visited) AS urls_visited, (SELECT count(*) FROM visited WHERE passed_relevance) AS urls_passed_relevance, "
     "(SELECT count(DISTINCT source_name) FROM visited) AS sources_seen, (SELECT count(*) FROM embeddings) AS article_embeddings, "
-    "(SELECT count(*) FROM nodes0) AS graph_nodes, (SELECT count(*) FROM edges0) AS graph_edges, concept AS most_connected_topic, degree AS most_connected_edges "
+    "(SELECT count(*) FROM nodes) AS graph_nodes, (SELECT count(*) FROM edges) AS graph_edges, concept AS most_connected_topic, degree AS most_connected_edges "
     "FROM deg ORDER BY degree DESC, first_seen, concept LIMIT 1",
-    ["nodes0", "edges0", "visited"],
+    ["nodes", "edges", "visited"],
 )
 def a15(t):
-    n, e = nodes0(t), edges0(t)
+    n, e = nodes(t), edges(t)
     return stats.kb_stats(
         t.visited, t.embeddings, graph.graph_size(n, e), graph.most_connected(n, e)
     )
@@ -325,23 +345,23 @@ def a15(t):
 
 @query(
     "A16_node_sources",
-    ", r AS (SELECT concept, url, min(seq) AS seq FROM (SELECT a AS concept, url, seq FROM pair0 UNION ALL SELECT b, url, seq FROM pair0) GROUP BY concept, url) "
+    ", r AS (SELECT concept, url, min(seq) AS seq FROM (SELECT a AS concept, url, seq FROM pairs UNION ALL SELECT b, url, seq FROM pairs) GROUP BY concept, url) "
     "SELECT concept, url FROM r QUALIFY row_number() OVER (PARTITION BY concept ORDER BY seq, url) <= 20",
-    ["pair0"],
+    ["pairs"],
 )
 def a16(t):
-    sources = graph.article_pairs(occ_of(t, True), None)
+    sources = pairs(t)
     return graph.node_sources(sources, 20).select("concept", "url")
 
 
 @query(
     "A17_domain_table",
-    f"SELECT {sql_category('concept')} AS category, count(*) AS concepts, arg_min(concept, (-familiarity, concept)) AS top_concept, max(familiarity) AS top_familiarity FROM nodes0 GROUP BY 1",
-    ["nodes0"],
+    f"SELECT {sql_category('concept')} AS category, count(*) AS concepts, arg_min(concept, (-familiarity, concept)) AS top_concept, max(familiarity) AS top_familiarity FROM nodes GROUP BY 1",
+    ["nodes"],
 )
 def a17(t):
     return stats.domain_table(
-        nodes0(t).withColumn("category", graph.assign_category(F.col("concept")))
+        nodes(t).withColumn("category", graph.assign_category(F.col("concept")))
     )
 
 
@@ -356,11 +376,11 @@ def j5(t):
 
 @query(
     "J6_induced_subgraph",
-    "SELECT a, b FROM edges0 WHERE a IN (SELECT concept FROM nodes0 WHERE encounter_count>2) AND b IN (SELECT concept FROM nodes0 WHERE encounter_count>2)",
-    ["nodes0", "edges0"],
+    "SELECT a, b FROM edges WHERE a IN (SELECT concept FROM nodes WHERE encounter_count>2) AND b IN (SELECT concept FROM nodes WHERE encounter_count>2)",
+    ["nodes", "edges"],
 )
 def j6(t):
-    return graph.induced_subgraph(edges0(t), nodes0(t).filter("encounter_count > 2")).select("a", "b")
+    return graph.induced_subgraph(edges(t), nodes(t).filter("encounter_count > 2")).select("a", "b")
 
 
 def questions(t):
@@ -373,37 +393,37 @@ VIEW_SQL["questions"] = (
 )
 VIEW_SQL["matched"] = (
     "SELECT DISTINCT question_id, concept FROM (SELECT question_id, lower(unnest(string_split(question, ' '))) AS w FROM questions) q "
-    "JOIN nodes0 ON length(w) > 3 AND (contains(concept, w) OR contains(w, concept))"
+    "JOIN nodes ON length(w) > 3 AND (contains(concept, w) OR contains(w, concept))"
 )
-_DEPENDS["matched"] = ["questions", "nodes0"]
+_DEPENDS["matched"] = ["questions", "nodes"]
 
 
 @query("J7_match_concepts", "SELECT * FROM matched", ["matched"])
 def j7(t):
-    return graph.match_concepts(questions(t), nodes0(t))
+    return graph.match_concepts(questions(t), nodes(t))
 
 
-_ADJ = "adj AS (SELECT a AS c, b AS n FROM edges0 UNION SELECT b, a FROM edges0)"
+_ADJ = "adj AS (SELECT a AS c, b AS n FROM edges UNION SELECT b, a FROM edges)"
 
 
 @query(
     "J8_expand_neighbors",
     f", {_ADJ}, r AS (SELECT question_id, concept FROM matched UNION SELECT question_id, n FROM matched JOIN adj ON c=concept) "
     "SELECT question_id, concept FROM r QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY concept) <= 15",
-    ["matched", "edges0"],
+    ["matched", "edges"],
 )
 def j8(t):
-    return graph.related_concepts(questions(t), nodes0(t), edges0(t))
+    return graph.related_concepts(questions(t), nodes(t), edges(t))
 
 
 @query(
     "J13_neighbors_of",
-    f", {_ADJ}, r AS (SELECT c, n, first_seen, row_number() OVER (PARTITION BY c ORDER BY first_seen, n) AS rn FROM adj JOIN nodes0 ON concept=n) "
+    f", {_ADJ}, r AS (SELECT c, n, first_seen, row_number() OVER (PARTITION BY c ORDER BY first_seen, n) AS rn FROM adj JOIN nodes ON concept=n) "
     "SELECT c AS concept, string_agg(n, ', ' ORDER BY first_seen, n) AS neighbours FROM r WHERE rn <= 5 GROUP BY c",
-    ["nodes0", "edges0"],
+    ["nodes", "edges"],
 )
 def j13(t):
-    return graph.neighbours_of(nodes0(t), edges0(t), 5).select(
+    return graph.neighbours_of(nodes(t), edges(t), 5).select(
         "concept", F.array_join("neighbours", ", ").alias("neighbours")
     )
 
@@ -412,10 +432,10 @@ def j13(t):
     "R8_top_concepts",
     f", {_DEGREE} (SELECT 'familiarity' AS by, concept FROM deg ORDER BY familiarity DESC, first_seen, concept LIMIT 20) UNION ALL "
     "(SELECT 'degree', concept FROM deg ORDER BY degree DESC, first_seen, concept LIMIT 15)",
-    ["nodes0", "edges0"],
+    ["nodes", "edges"],
 )
 def r8(t):
-    n, e = nodes0(t), edges0(t)
+    n, e = nodes(t), edges(t)
     pick = lambda by, k: graph.top_concepts(n, e, by, k).select(F.lit(by).alias("by"), "concept")
     return pick("familiarity", 20).unionByName(pick("degree", 15))
 
@@ -423,29 +443,29 @@ def r8(t):
 @query(
     "R9_graph_view",
     f", {_DEGREE}, top AS (SELECT concept FROM deg ORDER BY degree DESC, first_seen, concept LIMIT 50) "
-    "SELECT a, b FROM edges0 WHERE a IN (SELECT concept FROM top) AND b IN (SELECT concept FROM top)",
-    ["nodes0", "edges0"],
+    "SELECT a, b FROM edges WHERE a IN (SELECT concept FROM top) AND b IN (SELECT concept FROM top)",
+    ["nodes", "edges"],
 )
 def r9(t):
-    return graph.graph_view(nodes0(t), edges0(t), 50)[1].select("a", "b")
+    return graph.graph_view(nodes(t), edges(t), 50)[1].select("a", "b")
 
 
-@query("R12_concept_index", "SELECT concept, encounter_count FROM nodes0", ["nodes0"])
+@query("R12_concept_index", "SELECT concept, encounter_count FROM nodes", ["nodes"])
 def r12(t):
-    return graph.concept_index(nodes0(t))
+    return graph.concept_index(nodes(t))
 
 
 @query(
     "W11_write_graph",
-    "SELECT concept, encounter_count FROM nodes0 UNION ALL SELECT a||'-'||b, NULL FROM edges0",
-    ["nodes0", "edges0"],
+    "SELECT concept, encounter_count FROM nodes UNION ALL SELECT a||'-'||b, NULL FROM edges",
+    ["nodes", "edges"],
 )
 def w11(t):
     from newsweft.lineage import Scratch
     from newsweft.sources.files import read_graph, write_graph
 
     root = Scratch(t.spark, "stored-graph").root
-    write_graph(nodes0(t), edges0(t), root)
+    write_graph(nodes(t), edges(t), root)
     n, e = read_graph(t.spark, root)
     none = F.lit(None).cast("long").alias("encounter_count")
     return n.select("concept", "encounter_count").unionByName(
@@ -468,17 +488,16 @@ def g1(t):
 
 
 def sparse_occ(t):
-    """Articles name the part and supplier of an order's lines."""
+    """Articles name two ends for each line of an order: some unknown, some of the next tag."""
+    part = F.concat(F.lit("p"), F.col("l_orderkey") % 997, F.lit("n"), F.col("l_partkey") % 29)
+    supplier = F.concat(F.lit("s"), (F.col("l_orderkey") + F.col("l_linenumber")) % 997, F.lit("n"), F.col("l_suppkey") % 19)
     return t.read("lineitem").select(
-        F.concat(F.lit("order:"), "l_orderkey").alias("url"),
-        F.explode(
-            F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"))
-        ).alias("concept"),
+        F.concat(F.lit("order:"), "l_orderkey").alias("url"), F.explode(F.array(part, supplier)).alias("concept")
     )
 
 
 _OCC = (
-    ", occ AS (SELECT 'order:'||l_orderkey AS url, unnest(['p'||l_partkey, 's'||l_suppkey]) AS concept FROM lineitem), "
+    ", occ AS (SELECT 'order:'||l_orderkey AS url, unnest(['p'||(l_orderkey%997)||'n'||(l_partkey%29), 's'||((l_orderkey+l_linenumber)%997)||'n'||(l_suppkey%19)]) AS concept FROM lineitem), "
     "k AS (SELECT url, count(*) AS total, count(c.concept) AS known, count(c.concept)>=2 AND min(component)<>max(component) AS tie "
     "FROM occ LEFT JOIN cc c USING (concept) GROUP BY url) "
 )
@@ -608,13 +627,13 @@ def g7(t):
 
 @query(
     "G8_graph_context",
-    f", {_ADJ}, m AS (SELECT question_id, concept, first_seen, encounter_count, familiarity FROM matched JOIN nodes0 USING (concept) "
+    f", {_ADJ}, m AS (SELECT question_id, concept, first_seen, encounter_count, familiarity FROM matched JOIN nodes USING (concept) "
     "QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY first_seen, concept) <= 8), "
-    "r AS (SELECT c, n, first_seen FROM adj JOIN nodes0 ON concept=n QUALIFY row_number() OVER (PARTITION BY c ORDER BY first_seen, n) <= 5), "
+    "r AS (SELECT c, n, first_seen FROM adj JOIN nodes ON concept=n QUALIFY row_number() OVER (PARTITION BY c ORDER BY first_seen, n) <= 5), "
     "l AS (SELECT c, string_agg(n, ', ' ORDER BY first_seen, n) AS l FROM r GROUP BY c) "
     "SELECT question_id, string_agg('- '||concept||': encountered '||encounter_count||' time(s), familiarity '||format('{:.1f}', familiarity)||', connected to ['||coalesce(l,'none')||']', "
     "chr(10) ORDER BY first_seen, concept) AS graph_context FROM m LEFT JOIN l ON c=concept GROUP BY question_id",
-    ["matched", "edges0"],
+    ["matched", "edges"],
 )
 def g8(t):
-    return graph.graph_context(questions(t), nodes0(t), edges0(t))
+    return graph.graph_context(questions(t), nodes(t), edges(t))

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from newsweft.catalog.core import VIEW_SQL, _DEPENDS, now, query, sql_strip, stamp
-from newsweft.catalog.graph_queries import _ADJ, edges0, nodes0, questions
+from newsweft.catalog.graph_queries import _ADJ, edges, nodes, questions
 from newsweft.catalog.store_queries import visit_in
 from newsweft.lineage import Scratch
 from newsweft.operators import checks, models, select
@@ -154,10 +154,10 @@ def stored(t):
     "r AS (SELECT question_id, concept FROM matched UNION SELECT question_id, n FROM matched JOIN adj ON c=concept), "
     "rc AS (SELECT question_id, string_agg(concept, '|' ORDER BY concept) AS related FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY concept) <= 15) GROUP BY question_id) "
     "SELECT q.question_id, a.sources, coalesce(related, '') AS related, true AS starts_well FROM q JOIN a USING (question_id) LEFT JOIN rc USING (question_id)",
-    ["matched", "edges0"],
+    ["matched", "edges"],
 )
 def u4(t):
-    out = models.retrieve_context(asked(t), stored(t), nodes0(t), edges0(t))
+    out = models.retrieve_context(asked(t), stored(t), nodes(t), edges(t))
     good = F.col("context").startswith('[Article 1] "T') & F.contains("context", F.lit("\n[Article 10] "))
     return out.select(
         "question_id", F.array_join(F.transform("sources", lambda s: s["url"]), "|").alias("sources"),

@@ -12,7 +12,7 @@ VIEW_SQL["line"] = (
     "(SELECT doc_id, source, lang, string_split(text, chr(10)) AS l FROM documents) d, "
     "unnest(range(1, len(l)+1)) AS t(i)"
 )
-LIMIT = 7
+LIMIT = 100_000  # lies above the longest document; S1_limited tests the limit itself
 
 
 def escaped(c):
@@ -108,6 +108,16 @@ def s1(t):
     return shown(feeds.rss_items(landed(t, rss_payload())))
 
 
+@query(
+    "S1_limited",
+    f"SELECT 'http://x/'||doc_id||'/'||i AS url, md5({_TITLE}) AS title, "
+    f"md5(substring('<p>'||line||'</p>',1,400)) AS snippet FROM line WHERE i < 7 AND {_TITLE} <> ''",
+    ["line"],
+)
+def s1_limited(t):
+    return shown(feeds.rss_items(landed(t, rss_payload(), limit=7)))
+
+
 @query(
     "S2_podcast_items",
     f"SELECT CASE WHEN i%2=0 THEN 'http://x/'||doc_id||'/'||i ELSE 'http://enc/'||i END AS url, "
@@ -301,7 +311,7 @@ def s11(t):
     "'links': ['http://l/'||((i*7)%5), 'http://f/'||((i*3)%6), 'http://e/'||(i%9)], 'i': i} ORDER BY i) AS ps "
     "FROM line GROUP BY doc_id), f AS (SELECT doc_id, list_reduce(list_prepend({'used': []::VARCHAR[], "
     "'out': []::STRUCT(i BIGINT, url VARCHAR)[], 'links': []::VARCHAR[], 'i': -1::BIGINT}, ps), lambda a, p: "
-    "CASE WHEN len(a.out) >= 7 OR len(list_filter(p.links, lambda u: NOT list_contains(a.used, u))) = 0 THEN a "
+    f"CASE WHEN len(a.out) >= {LIMIT} OR len(list_filter(p.links, lambda u: NOT list_contains(a.used, u))) = 0 THEN a "
     "ELSE {'used': list_append(a.used, list_filter(p.links, lambda u: NOT list_contains(a.used, u))[1]), "
     "'out': list_append(a.out, {'i': p.i, 'url': list_filter(p.links, lambda u: NOT list_contains(a.used, u))[1]}), "
     "'links': p.links, 'i': p.i} END).out AS out FROM p), "
@@ -330,7 +340,9 @@ def s12(t):
         record = F.struct(words.alias("text"), F.array(facet).alias("facets"))
         return F.struct(record.alias("record"), embed.alias("embed"))
 
-    payload = F.to_json(F.struct(json_lines(post).alias("posts")))
+    listed = F.to_json(F.struct(json_lines(post).alias("posts")))
+    timeline = F.to_json(F.struct(json_lines(lambda x, i: F.struct(post(x, i).alias("post"))).alias("feed")))
+    payload = F.when(F.col("doc_id") % 3 == 0, timeline).otherwise(listed)
     # the words of a document hold no links of their own
     return shown(feeds.post_links(landed(t, payload)))
 
@@ -346,7 +358,7 @@ _TOOT = "CASE WHEN length(x)>120 THEN substring(x,1,117)||'...' ELSE x END"
     + ",1,120) END AS x, "
     "CASE WHEN i%2=0 THEN 'd'||i ELSE substring(" + sql_strip(sql_strip_tags("line||'x'||'y'")) + ",1,400) END AS snippet FROM line), "
     "b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, url ORDER BY i)=1), "
-    "c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 7) "
+    f"c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= {LIMIT}) "
     f"SELECT url, md5({_TOOT}) AS title, md5(snippet) AS snippet FROM c",
     ["line"],
 )

@@ -213,9 +213,11 @@ def safe_filename(c: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    minutes = F.floor(seconds / 60)
-    long_form = F.format_string("%dm %.0fs", minutes, seconds - minutes * 60)
-    return F.when(seconds < 60, F.format_string("%.1fs", seconds)).otherwise(long_form)
+    """Tenths below a minute, else minutes and seconds; halves round up."""
+    minutes, tenths = F.floor(seconds / 60), F.floor(seconds * 10 + 0.5)
+    long_form = F.format_string("%dm %ds", minutes, F.floor(seconds - minutes * 60 + 0.5))
+    short_form = F.format_string("%d.%ds", F.floor(tenths / 10), tenths % 10)
+    return F.when(seconds < 60, short_form).otherwise(long_form)
 
 
 def days_since(ts: Column, now: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,27 +28,53 @@ class Scratch:
     """Parquet tables under the shared folder, one sub-folder per instance.
 
     ``put`` writes a DataFrame and returns it read back, which cuts the lineage and gives the
-    optimizer exact sizes for the joins that follow. ``drop`` deletes a table nobody needs any more.
+    optimizer exact sizes for the joins that follow. ``drop`` takes what ``put`` returned and deletes
+    its table. ``close`` deletes all of them but ``keep``; whatever is left goes when the program ends,
+    as results are lazy and may read these tables until then.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/newsweft/{name}-{uuid.uuid4().hex[:12]}"
+        self._tables: list[tuple[DataFrame, str]] = []
         self._n = 0
-        self._paths: dict[int, str] = {}
+        atexit.register(self._end)
 
     def put(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:05d}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._tables.append((out, path))
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self._paths.pop(id(df), None)
-        if path is None:
-            return
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    def drop(self, table: DataFrame) -> None:
+        mine = [path for df, path in self._tables if df is table]
+        if not mine:
+            raise ValueError("not a table that put() returned, or dropped before")
+        self._tables = [(df, path) for df, path in self._tables if df is not table]
+        delete(self.spark, mine[0])
+
+    def close(self, *keep: DataFrame) -> None:
+        for df, _ in list(self._tables):
+            if not any(df is k for k in keep):
+                self.drop(df)
+        if not self._tables:
+            delete(self.spark, self.root)
+
+    def _end(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            delete(self.spark, self.root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark reads it from."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(target).toString()

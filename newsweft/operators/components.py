@@ -64,9 +64,8 @@ def _flatten(parents: DataFrame, scratch: Scratch) -> DataFrame:
             )
         )
         scratch.drop(parents)
-        moved = jumped.agg(F.bool_or("moved")).first()[0]
-        parents = jumped.drop("moved")
-        if not moved:
+        parents = jumped
+        if not jumped.agg(F.bool_or("moved")).first()[0]:
             return parents
 
 

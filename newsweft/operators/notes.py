@@ -1,7 +1,7 @@
 """The graph as linked notes: one page per concept and category, and an index.
 
-Lists that can grow without limit (neighbours of a hub, concepts of a category, the index) are cut
-into continuation pages of ``PAGE`` entries, so no page has to be put together from more than that.
+A list is one page, however long. Where lists grow beyond what one task should put together (neighbours
+of a hub, concepts of a category, the index), ``page_size`` cuts them into continuation pages.
 """
 
 from __future__ import annotations
@@ -15,16 +15,17 @@ from newsweft.operators.graph import degree, graph_size, neighbour_rows, node_so
 from newsweft.operators.skew import number_rows
 from newsweft.operators.stats import domain_table
 
-PAGE = 5000
-
-
-def _pages(rows: DataFrame, keys: list[str], order: str, line: Column, name: str) -> DataFrame:
-    """``(keys, page, name)``: the lines of each group in order, ``PAGE`` to a page."""
-    numbered = number_rows(rows.withColumn("__line", line), keys, [F.col(order)], "__n")
+def _pages(rows: DataFrame, keys: list[str], order: str, line: Column, name: str, page_size: int | None) -> DataFrame:
+    """``(keys, page, name)``: the lines of each group in order, ``page_size`` to a page."""
+    rows = rows.withColumn("__line", line)
+    if page_size is None:
+        numbered = rows.withColumn("page", F.lit(0)).withColumn("__n", F.col(order))
+    else:
+        numbered = number_rows(rows, keys, [F.col(order)], "__n")
+        numbered = numbered.withColumn("page", F.expr(f"(__n - 1) div {page_size}").cast("int"))
     listed = F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), F.col("__line").alias("l"))))
     return (
-        numbered.withColumn("page", F.expr(f"(__n - 1) div {PAGE}").cast("int"))
-        .groupBy(*keys, "page")
+        numbered.groupBy(*keys, "page")
         .agg(F.array_join(F.transform(listed, lambda x: x["l"]), "\n").alias(name))
     )
 
@@ -53,12 +54,12 @@ def _with_category(nodes: DataFrame) -> DataFrame:
 
 
 def render_concept_notes(
-    nodes: DataFrame, edges: DataFrame, sources: DataFrame, *, tag: str = "newsweft"
+    nodes: DataFrame, edges: DataFrame, sources: DataFrame, *, tag: str = "newsweft", page_size: int | None = None
 ) -> DataFrame:
     """``(path, page, content)`` of the concept pages."""
     near = neighbour_rows(nodes, edges).drop("first_seen")
     links = _pages(
-        near, ["concept"], "neighbour", F.concat(F.lit("- "), _link(F.col("neighbour"))), "links"
+        near, ["concept"], "neighbour", F.concat(F.lit("- "), _link(F.col("neighbour"))), "links", page_size
     )
     urls = node_sources(sources, 20).groupBy("concept").agg(
         F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("u")
@@ -102,14 +103,14 @@ def render_concept_notes(
     )
 
 
-def render_category_pages(nodes: DataFrame, *, tag: str = "newsweft") -> DataFrame:
+def render_category_pages(nodes: DataFrame, *, tag: str = "newsweft", page_size: int | None = None) -> DataFrame:
     """``(path, page, content)`` of the category pages."""
     rows = _with_category(nodes)
     line = F.concat(
         F.lit("- "), _link(F.col("concept")), F.lit(" (familiarity: "),
         _percent(F.col("familiarity")), F.format_string(", %d encounters)", "encounter_count"),
     )
-    pages = _pages(rows, ["category"], "concept", line, "listed")
+    pages = _pages(rows, ["category"], "concept", line, "listed", page_size)
     sizes = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     head = F.concat(
         F.lit(f"---\ntags:\n  - {tag}/category\ncategory: \""), "category", F.lit('"\ncolor: "'),
@@ -135,7 +136,7 @@ def _top_table(df: DataFrame, line: Column, order: list[Column]) -> DataFrame:
 
 
 def render_index(
-    nodes: DataFrame, edges: DataFrame, today: str, *, tag: str = "newsweft"
+    nodes: DataFrame, edges: DataFrame, today: str, *, tag: str = "newsweft", page_size: int | None = None
 ) -> DataFrame:
     """``(path, page, content)`` of the overview."""
     rows = _with_category(nodes)
@@ -166,7 +167,7 @@ def render_index(
     entry = F.concat(
         F.lit("- "), _link(F.col("concept")), F.format_string(" (%d encounters)", "encounter_count")
     )
-    pages = _pages(rows.withColumn("all", F.lit(1)), ["all"], "concept", entry, "listed")
+    pages = _pages(rows.withColumn("all", F.lit(1)), ["all"], "concept", entry, "listed", page_size)
     size = graph_size(nodes, edges)
     one = lambda df, c: df.select(c).scalar()
     head = F.concat(

@@ -270,12 +270,15 @@ def daily_papers(df: DataFrame) -> DataFrame:
 
 
 def post_links(df: DataFrame) -> DataFrame:
-    """One article per post: its first external link no earlier post of the payload has used."""
-    schema = (
-        "posts array<struct<record struct<text string, "
+    """One article per post: its first external link no earlier post of the payload has used.
+
+    Payloads list posts as ``posts`` (search) or as ``feed[].post`` (timeline)."""
+    post = (
+        "struct<record struct<text string, "
         "facets array<struct<features array<struct<`$type` string, uri string>>>>>, "
-        "embed struct<`$type` string, external struct<uri string>>>>"
+        "embed struct<`$type` string, external struct<uri string>>>"
     )
+    schema = f"posts array<{post}>, feed array<struct<post {post}>>"
     none = F.array().cast("array<string>")
 
     def links(p: Column) -> Column:
@@ -291,10 +294,13 @@ def post_links(df: DataFrame) -> DataFrame:
         internal = "|".join(h.replace(".", r"\.") for h in POST_INTERNAL_HOSTS)
         return F.filter(every, lambda u: (u != "") & ~u.rlike(internal))
 
-    posts = F.transform(
-        F.from_json("payload", schema)["posts"],
-        lambda p: F.struct(
-            F.coalesce(p["record"]["text"], F.lit("")).alias("text"), links(p).alias("links")
+    posts = let(
+        F.from_json("payload", schema),
+        lambda j: F.transform(
+            F.coalesce(j["posts"], F.transform(j["feed"], lambda x: x["post"])),
+            lambda p: F.struct(
+                F.coalesce(p["record"]["text"], F.lit("")).alias("text"), links(p).alias("links")
+            ),
         ),
     )
     start = F.struct(
