@@ -49,7 +49,7 @@ _ODD = np.random.default_rng(20).integers(0, 2**63, size=COORDINATES, dtype=np.u
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000 and len(word) < 40:
+        if len(self) < 100_000 and len(word) < 40:
             self[word] = h
         return h
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from newsweft.lineage import shared_dir
 
 _ROOTS: dict[str, str] = {}
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 1000  # whole texts can be long; a Python worker holds few of them at once
 
 
 def _root(spark: SparkSession) -> str:
@@ -33,7 +35,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, ROWS_PER_BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

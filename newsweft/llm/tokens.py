@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 JSON = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-CACHED = 400_000  # pieces a worker keeps
+CACHED = 200_000  # pieces a worker keeps
 # A blank before a character that is not white space always begins a token, whatever stands left of it,
 # so a text in which every blank is one of those can be encoded word by word.
 OTHER_BLANK = re.compile(r" (?:\s|\Z)")

@@ -42,7 +42,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word.strip(STRIPPED))
-        if len(self) < 500_000 and len(word) < 40:
+        if len(self) < 150_000 and len(word) < 40:
             self[word] = h
         return h
 
