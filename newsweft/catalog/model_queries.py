@@ -49,13 +49,19 @@ def u1b(t):
     )
 
 
-@query("U2_embed")
+@query(
+    "U2_embed",
+    ", w AS (SELECT url, unnest(regexp_split_to_array(lower(array_to_string(key_concepts, ', ')||'. '||summary), '[^\\p{L}\\p{N}]+')) AS w FROM articles), "
+    "c AS (SELECT url, ('0x'||substr(md5(w),1,8))::BIGINT % 256 AS b, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL), "
+    "v AS (SELECT url, b, (n / sqrt(sum(n*n) OVER (PARTITION BY url)))::FLOAT::DOUBLE AS x FROM c) "
+    "SELECT url, md5(string_agg(b||':'||floor(x*100000+0.5)::BIGINT, ' ' ORDER BY b)) AS used FROM v GROUP BY url",
+    ["articles"],
+)
 def u2(t):
-    """Vectors of all summaries: their length and how many dimensions are in use."""
+    """Every dimension in use, to five digits."""
     rows = models.embed(t.articles.select("url", "key_concepts", "summary"))
-    used = F.size(F.filter("embedding", lambda x: x != 0))
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return rows.select("url", used.alias("used"), F.round(length, 3).alias("length"))
+    named = F.transform("embedding", lambda x, b: F.when(x != 0, F.concat(b, F.lit(":"), F.floor(x.cast("double") * 100000 + 0.5))))
+    return rows.select("url", F.md5(F.array_join(named, " ")).alias("used"))
 
 
 @query(
@@ -133,8 +139,8 @@ def u3(t):
 
 def asked(t):
     """Questions about parts, each with a stored vector."""
-    v = t.embeddings.select(F.col("vec_id").alias("question_id"), "embedding")
-    return questions(t).join(v, "question_id")
+    v = t.embeddings.select("vec_id", "embedding")
+    return questions(t).join(v, F.col("question_id") % 500 == F.col("vec_id")).drop("vec_id")
 
 
 def stored(t):
@@ -147,7 +153,7 @@ def stored(t):
 
 @query(
     "U4_retrieve_context",
-    f", {_ADJ}, q AS (SELECT question_id, question, embedding::DOUBLE[] AS e FROM questions JOIN embeddings ON vec_id=question_id), "
+    f", {_ADJ}, q AS (SELECT question_id, question, embedding::DOUBLE[] AS e FROM questions JOIN embeddings ON vec_id=question_id%500), "
     "k AS (SELECT q.question_id, s.vec_id AS v, floor(list_cosine_similarity(q.e, s.embedding::DOUBLE[])*1000000+0.5)/1000000 AS sim, row_number() OVER "
     "(PARTITION BY q.question_id ORDER BY floor(list_cosine_similarity(q.e, s.embedding::DOUBLE[])*1000000+0.5) DESC, 'v'||s.vec_id) AS rank FROM q, embeddings s QUALIFY rank <= 10), "
     "a AS (SELECT question_id, string_agg('v'||v, '|' ORDER BY rank) AS sources, count(*) AS n FROM k GROUP BY question_id), "
@@ -167,16 +173,16 @@ def u4(t):
 
 @query(
     "U5_parse_model_output",
-    "SELECT conv_id, turn, length(text) AS n, CASE WHEN role='user' THEN md5(text) END AS body FROM conversations",
+    "SELECT conv_id, turn, length(text) AS n, md5(text) AS body FROM conversations",
 )
 def u5(t):
     answer = F.to_json(F.struct(F.length("text").alias("n"), F.col("text").alias("body")))
     raw = F.concat(F.lit("<think>x</think>\n```json\n"), answer, F.lit("\n```"))
-    rows = t.conversations.select("conv_id", "turn", "role", raw.alias("raw"))
+    rows = t.conversations.select("conv_id", "turn", raw.alias("raw"))
     parsed = checks.parse_model_output(rows, "n bigint, body string")
     return parsed.select(
         "conv_id", "turn", "parsed.n",
-        F.when(F.col("role") == "user", F.md5("parsed.body")).alias("body"),
+        F.md5("parsed.body").alias("body"),
     )
 
 
@@ -196,13 +202,16 @@ def u6(t):
 
 @query(
     "U6_chunk_function",
-    "SELECT doc_id, CAST(1 AS BIGINT) AS chunks, md5(text) AS digest FROM documents WHERE length(text)//4 <= 100000",
+    "WITH " + _CHUNKS.split(", p AS (")[0].replace("chr(10)", "chr(10)||chr(10)").replace("FROM documents", "FROM doubled").replace("s AS (", "doubled AS (SELECT doc_id, replace(text, chr(10), chr(10)||chr(10)) AS text FROM documents), s AS (", 1) + " SELECT doc_id, CASE WHEN big THEN len(ch) ELSE 1 END AS chunks, "
+    "md5(CASE WHEN big THEN array_to_string(list_transform(list_sort(ch), lambda x: md5(x)), '') ELSE md5(text) END) AS digest FROM c",
 )
 def u6b(t):
     models.register_table_functions(t.spark)
-    t.documents.createOrReplaceTempView("nw_documents")
+    doubled = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    t.documents.withColumn("text", doubled).createOrReplaceTempView("nw_documents")
     return t.spark.sql(
-        "SELECT doc_id, count(*) AS chunks, max(md5(chunk)) AS digest FROM nw_documents, LATERAL nw_chunk_text(text, 100000) GROUP BY doc_id"
+        "SELECT doc_id, count(*) AS chunks, md5(array_join(transform(array_sort(collect_list(chunk)), x -> md5(x)), '')) AS digest "
+        "FROM nw_documents, LATERAL nw_chunk_text(text, 100) GROUP BY doc_id"
     )
 
 

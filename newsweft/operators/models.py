@@ -1,14 +1,17 @@
 """Where user models plug in, and a deterministic built-in for each place.
 
-A model is any Column function, in practice a pandas UDF over Arrow batches. The built-ins are plain
-Column expressions, so every query runs without a model.
+A model is any Column function, in practice a pandas UDF over Arrow batches. The built-ins need no
+model: plain Column expressions, and for embeddings hashed word counts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from newsweft.operators.skew import top_per_group
 from newsweft.operators.vectors import knn_cosine
 from newsweft.params import Params
 
+# Fixed value: the answer when nothing is stored yet.
 NOTHING_STORED = (
     "No relevant articles found in your knowledge base yet. "
     "Run the pipeline first to build up your knowledge."
@@ -87,21 +91,29 @@ def score_relevance(
     return scored, failed
 
 
-def hashed_embedder(dim: int = 256) -> Callable[[DataFrame], DataFrame]:
-    """Hashed term frequencies, weighted by rarity and scaled to unit length."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+def hashed_embedder(dim: int = 256) -> Callable[[Column], Column]:
+    """Counts of words by the bucket of their md5, scaled to unit length. Nothing is fitted, so texts
+    of different runs can be compared. A text without words is the zero vector."""
 
-    def embed_frame(df: DataFrame) -> DataFrame:
-        words = df.withColumn("__w", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
-        tf = HashingTF(numFeatures=dim, inputCol="__w", outputCol="__tf").transform(words)
-        model = IDF(inputCol="__tf", outputCol="__idf").fit(tf)
-        unit = Normalizer(inputCol="__idf", outputCol="__v").transform(model.transform(tf))
-        return unit.withColumn("embedding", vector_to_array("__v", "float32")).drop(
-            "__w", "__tf", "__idf", "__v"
-        )
+    @F.pandas_udf("array<float>")
+    def embedded(words: pd.Series) -> pd.Series:
+        buckets: dict[str, int] = {}
+
+        def bucket(word: str) -> int:
+            if word not in buckets:
+                if len(buckets) > 200_000:
+                    buckets.clear()
+                buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+            return buckets[word]
+
+        def one(ws) -> np.ndarray:
+            counts = np.bincount([bucket(w) for w in ws], minlength=dim) if len(ws) else np.zeros(dim)
+            norm = np.sqrt(float((counts * counts).sum()))
+            return (counts / norm if norm else counts).astype(np.float32)
+
+        return words.map(one)
 
-    return embed_frame
+    return lambda text: embedded(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
 
 
 def embed(
@@ -109,9 +121,8 @@ def embed(
 ) -> DataFrame:
     """Add ``text`` and its ``embedding`` to summaries."""
     df = summaries.withColumn("text", embed_text(F.col("key_concepts"), F.col("summary")))
-    if embedder is None:
-        return hashed_embedder(dim)(df)
-    return df.withColumn("embedding", embedder(F.col("text")).cast("array<float>"))
+    embedder = embedder or hashed_embedder(dim)
+    return df.withColumn("embedding", embedder(F.coalesce("text", F.lit(""))).cast("array<float>"))
 
 
 def _sentences(text: Column) -> Column:
