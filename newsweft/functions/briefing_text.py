@@ -55,7 +55,10 @@ def _kind(line: Column) -> Column:
     for name, pattern in _LABELLED.items():
         kind = kind.when(line.rlike(pattern), name)
     bare = strip(line)
-    return kind.when(bare == "---", "rule").when(bare != "", "text").otherwise("blank")
+    plain = F.when(bare == "---", "rule").when(bare != "", "text").otherwise("blank")
+    # most lines are text, and no pattern needs to look at those
+    marked = line.startswith("##") | line.contains("**") | line.contains("[Read original](")
+    return F.when(marked, kind.otherwise(plain)).otherwise(plain)
 
 
 def _text_of(rows: Column, kind: str) -> Column:

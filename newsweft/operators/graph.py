@@ -74,22 +74,34 @@ def update_nodes(nodes: DataFrame, occ: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def article_pairs(occ: DataFrame, relationships: DataFrame | None) -> DataFrame:
+def article_pairs(
+    occ: DataFrame, relationships: DataFrame | None, *, block_rows: int | None = None
+) -> DataFrame:
     """Concept pairs of each article with the type the article gives them.
 
     Mentions are counted first, so a pair comes out once per article however often it is named;
-    a concept named twice is paired with itself.
+    a concept named twice is paired with itself. An article names a handful of concepts, so its
+    pairs are made in its own row; ``block_rows`` spreads the pairs of articles with very many.
     """
-    per_article = occ.groupBy("url", "concept").agg(
+    per_article = occ.repartition("url").groupBy("url", "concept").agg(
         F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n")
     )
-    pairs = pairs_within(per_article, "url", "concept", ["seq"]).select(
-        "url", "a", "b", F.col("a_seq").alias("seq")
-    )
-    loops = per_article.filter(F.col("n") > 1).select(
-        "url", F.col("concept").alias("a"), F.col("concept").alias("b"), "seq"
-    )
-    every = pairs.unionByName(loops)
+    if block_rows is None:
+        named = F.array_sort(F.collect_list(F.struct("concept", "seq", "n"))).alias("c")
+        each = per_article.groupBy("url").agg(named).select("url", "c", F.posexplode("c").alias("i", "x"))
+        later = F.slice("c", F.col("i") + 2, F.size("c"))
+        itself = F.filter(F.array("x"), lambda x: x["n"] > 1)
+        every = each.select("url", "x", F.explode(F.concat(itself, later)).alias("y")).select(
+            "url", F.col("x.concept").alias("a"), F.col("y.concept").alias("b"), F.col("x.seq").alias("seq")
+        )
+    else:
+        pairs = pairs_within(per_article, "url", "concept", ["seq"], block_rows=block_rows).select(
+            "url", "a", "b", F.col("a_seq").alias("seq")
+        )
+        loops = per_article.filter(F.col("n") > 1).select(
+            "url", F.col("concept").alias("a"), F.col("concept").alias("b"), "seq"
+        )
+        every = pairs.unionByName(loops)
     if relationships is None:
         return every.withColumn("type", F.lit(None).cast("string"))
     typed = every.join(relationships.select("url", "a", "b", "type"), ["url", "a", "b"], "left")
