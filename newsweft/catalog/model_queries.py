@@ -218,45 +218,78 @@ def u6b(t):
 # -- streams: the events replayed as files -------------------------------------------------------
 
 
-def replay(t, rows, name):
-    """Write rows as files and read them back as a stream of three micro-batches."""
-    root = Scratch(t.spark, name).root
-    rows.write.mode("overwrite").parquet(f"{root}/in")
-    return (
-        t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in"),
-        root,
-    )
+BATCHES = ("2024-01-11", "2024-01-21", "2024-02-28")  # where each replayed batch ends
 
 
-@query(
-    "M1_stream_filter_new",
-    "SELECT 'u'||user_id AS url, event_id AS seq FROM events WHERE event_type='view'",
-)
-def m1(t):
-    """One replayed batch into an empty state: every entry is new, repeats included."""
-    rows = t.events.filter("event_type = 'view'").select(
-        F.concat(F.lit("u"), "user_id").alias("url"), "ts", F.col("event_id").alias("seq"), F.lit("entry").alias("kind")
+def replay(t, rows, name, when):
+    """Write rows as one file for each span of time and read them back file by file."""
+    root = Scratch(t.spark, name).root
+    since = "1970-01-01"
+    for until in BATCHES:
+        part = rows.filter((F.col(when) >= F.lit(since).cast("timestamp")) & (F.col(when) < F.lit(until).cast("timestamp")))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        since = until
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root
+
+
+def _sql_windows(days: int, briefed_days: int) -> str:
+    """Each batch against the windows that the batches before it left."""
+    b = "".join(f" + (ts >= TIMESTAMP '{x}')::INTEGER" for x in BATCHES[:-1])
+    ctes = [
+        "e AS (SELECT 'u'||user_id AS url, ts, event_id AS seq, event_type='purchase' AS mark, 0" + b + " AS b FROM events)",
+        "w0 AS (SELECT DISTINCT url, NULL::TIMESTAMP AS began, false AS briefed FROM e)",
+    ]
+    for i in range(len(BATCHES)):
+        fits = "began IS NULL" + "".join(
+            f" OR (briefed = {flag} AND ts - INTERVAL {n} DAY >= began)" for flag, n in (("true", briefed_days), ("false", days)) if days
+        )
+        ctes += [
+            f"o{i} AS (SELECT e.url, e.ts, e.seq FROM e JOIN w{i} USING (url) WHERE b={i} AND NOT mark AND ({fits}))",
+            f"n{i} AS (SELECT w.url, coalesce((SELECT max(ts) FROM o{i} o WHERE o.url=w.url), began) AS began, "
+            f"briefed AND NOT EXISTS (SELECT 1 FROM o{i} o WHERE o.url=w.url) AS held, "
+            f"(SELECT max(ts) FROM e WHERE e.url=w.url AND b={i} AND mark) AS marked FROM w{i} w)",
+            f"w{i + 1} AS (SELECT url, began, held OR coalesce(marked >= began, false) AS briefed FROM n{i})",
+        ]
+    out = " UNION ALL ".join(f"SELECT url, seq FROM o{i}" for i in range(len(BATCHES)))
+    return "WITH " + ", ".join(ctes) + " " + out
+
+
+def _stream_visits(t, params):
+    rows = t.events.select(
+        F.concat(F.lit("u"), "user_id").alias("url"), "ts", F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "purchase", "briefed").otherwise("entry").alias("kind"),
     )
-    stream, root = replay(t, rows, "visits")
+    stream, root = replay(t, rows, "visits", "ts")
     q = (
-        visits.stream_filter_new(stream, Params())
+        visits.stream_filter_new(stream, params)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{root}/checkpoint")
         .option("path", f"{root}/out")
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination(120)
+    q.awaitTermination(240)
     return t.spark.read.schema("url string, ts timestamp, seq bigint").parquet(f"{root}/out").select("url", "seq")
 
 
+@query("M1_stream_filter_new", _sql_windows(2, 12))
+def m1(t):
+    """Three batches; windows short enough for some urls to come again and some not."""
+    return _stream_visits(t, Params(dedup_days=2, briefed_dedup_days=12))
+
+
+@query("M1_stream_never_again", _sql_windows(0, 12))
+def m1_never(t):
+    return _stream_visits(t, Params(dedup_days=0, briefed_dedup_days=12))
+
+
 @query(
     "M2_stream_failures",
     "SELECT url, phase, arg_max(error_type, seq) AS error_type, count(*)-1 AS retry_count FROM failures_in GROUP BY url, phase",
     ["failures_in"],
 )
 def m2(t):
-    stream, root = replay(t, t.failures_in, "failures")
+    stream, root = replay(t, t.failures_in, "failures", "failed_at")
     table = visits.FailureTable(t.spark, f"{root}/table")
     q = (
         visits.stream_failures(stream, table, now())
@@ -264,7 +297,7 @@ def m2(t):
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination(120)
+    q.awaitTermination(240)
     return table.read().select("url", "phase", "error_type", "retry_count")
 
 
@@ -279,7 +312,7 @@ def daily_run(t):
     sources = t.sources.withColumn("max_articles", F.lit(1000))
     # every entry has a page: the body of its document
     pages = t.documents.select(
-        F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i"), "doc_id", "text"
+        F.explode(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1)).alias("i"), "doc_id", "text"
     ).select(
         F.concat(F.lit("http://x/"), "doc_id", F.lit("/"), "i").alias("url"),
         F.concat(F.lit("<html><article>"), "text", F.lit("</article></html>")).alias("html"),

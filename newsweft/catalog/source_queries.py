@@ -442,7 +442,7 @@ def s16(t):
     rows = t.documents.select(
         F.concat(name.cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content")
     )
-    write_documents(rows, root if "://" in root else f"file://{root}")
+    write_documents(rows, root)
     return files.read_briefings(t.spark, root).select(
         F.col("briefing_date").cast("string").alias("briefing_date"), F.md5("md").alias("md")
     )
@@ -472,7 +472,7 @@ def s17(t):
         F.to_json(F.struct(nodes.alias("nodes"), links.alias("links"))).alias("content"),
     )
     root = Scratch(t.spark, "graph").root
-    write_documents(docs, root if "://" in root else f"file://{root}")
+    write_documents(docs, root)
     nodes, edges = files.read_graph_json(t.spark, root)
     order = lambda c: F.regexp_extract(c, r"gpu(\d+)\z", 1).cast("long")
     first = F.when(order("a") < order("b"), F.col("a")).otherwise(F.col("b"))

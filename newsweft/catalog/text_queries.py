@@ -69,6 +69,20 @@ def x1(t):
     )
 
 
+@query(
+    "O3_distinct_concepts",
+    f", {_SQL_PHRASES}, n AS (SELECT user_id, event_id, {sql_norm('raw')} AS concept FROM phrases JOIN ev USING (event_id)), "
+    "f AS (SELECT user_id, concept, min(event_id) AS first FROM n GROUP BY ALL) "
+    "SELECT user_id, string_agg(concept, '|' ORDER BY first) AS concepts FROM f GROUP BY user_id",
+    ["ev"],
+)
+def o3(t):
+    rows = phrases(t).join(t.events.select("event_id", "user_id"), "event_id")
+    listed = F.array_sort(F.collect_list(F.struct("event_id", "raw")))
+    named = rows.groupBy("user_id").agg(F.transform(listed, lambda x: x["raw"]).alias("raw"))
+    return named.select("user_id", F.array_join(C.normalize_concepts(F.col("raw")), "|").alias("concepts"))
+
+
 @query(
     "X1_normalize_words",
     f"SELECT concept, count(*) AS n FROM (SELECT {sql_norm('w')} AS concept FROM "
@@ -434,3 +448,32 @@ def f15(t):
     return ok.select("event_id", F.lit(True).alias("valid"), "score").unionByName(
         failed.select("event_id", F.lit(False).alias("valid"), F.lit(None).cast("int").alias("score"))
     )
+
+
+@query(
+    "F15_validate_summaries",
+    "SELECT doc_id, doc_id%7 IN (0, 5, 6) AS valid, CASE WHEN doc_id%7 IN (0, 5, 6) THEN md5(text) END AS summary, "
+    "CASE WHEN doc_id%7 IN (0, 5, 6) THEN CAST(1+doc_id%5 AS INTEGER) END AS technical_depth, "
+    "CASE doc_id%7 WHEN 0 THEN '2024-01-31 00:00:00' WHEN 5 THEN '2024-01-31 00:00:00' WHEN 6 THEN '2024-01-02 03:04:05' END AS dated FROM documents",
+)
+def f15_summaries(t):
+    """Answers without a summary, with a depth out of range or not whole, or with no such date fail."""
+    d = F.col("doc_id") % 7
+    depth = F.when(d == 2, 6.0).when(d == 3, 2.5).otherwise((F.col("doc_id") % 5 + 1).cast("double"))
+    empty = F.array().cast("array<string>")
+    answer = F.struct(
+        F.lit("t").alias("title"), F.col("source").alias("source_name"), F.concat(F.lit("doc:"), "doc_id").alias("url"),
+        F.when(d == 4, "yesterday").when(d == 5, "").when(d == 6, "2024-01-02 03:04:05").alias("date_processed"),
+        F.array("lang").alias("key_concepts"), F.when(d != 1, F.col("text")).alias("summary"), F.lit("").alias("novel_insights"),
+        depth.alias("technical_depth"), empty.alias("related_topics"),
+    )
+    rows = t.documents.select(
+        "doc_id", F.concat(F.lit("doc:"), "doc_id").alias("url"), F.lit("t").alias("title"), F.col("source").alias("source_name"),
+        F.to_json(answer).alias("raw"),
+    )
+    ok, failed = checks.validate_summaries(rows, now())
+    good = ok.select(
+        "doc_id", F.lit(True).alias("valid"), F.md5("summary").alias("summary"), "technical_depth",
+        F.date_format("date_processed", "yyyy-MM-dd HH:mm:ss").alias("dated"),
+    )
+    return good.unionByName(failed.select("doc_id", F.lit(False).alias("valid")), allowMissingColumns=True)

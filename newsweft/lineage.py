@@ -74,7 +74,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with the scheme of the file system that Spark reads it from."""
+    """``path`` as a URI of the file system that Spark reads it from."""
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    uri = target.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    scheme, _, rest = uri.partition(":")
+    return uri if rest.startswith("//") else f"{scheme}://{rest}"

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsweft.lineage import qualified
+
 
 def write_documents(df: DataFrame, root: str) -> None:
     """Write each ``(path, content)`` row to ``root/path``.
 
-    A file is written under a temporary name and then moved, so a retried or speculative task
+    A folder without a scheme is looked up in the session's default file system, where Spark's readers
+    look too. For very many documents a Parquet table of (path, content) is the better form. A file is written under a temporary name and then moved, so a retried or speculative task
     leaves the same files behind.
     """
 
+    root = qualified(df.sparkSession, root)
+
     def write(rows):
         import uuid
 

@@ -96,12 +96,19 @@ def rating_mean(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def apply_feedback(nodes: DataFrame, feedback: DataFrame, now: Column) -> DataFrame:
-    """Nodes after ``feedback(seq, read, interest, concepts)``; unknown concepts are ignored."""
+    """Nodes after ``feedback(seq, read, interest, concepts)``; unknown concepts are ignored.
+
+    A rating outside 1..5 stops the job: the fold relies on that range, and so does the format.
+    """
+    rating = F.when(F.col("interest").between(1, 5), F.col("interest")).when(
+        F.col("interest").isNotNull(),
+        F.raise_error(F.concat(F.lit("rating outside 1..5: "), F.col("interest"))).cast("int"),
+    )
     rows = (
         feedback.select(
             "seq",
             F.coalesce("read", F.lit(False)).alias("read"),
-            "interest",
+            rating.alias("interest"),
             F.posexplode("concepts").alias("pos", "raw"),
         )
         .select("seq", "pos", "read", "interest", normalize_concept(F.col("raw")).alias("concept"))

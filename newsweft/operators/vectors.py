@@ -226,9 +226,10 @@ def knn_cosine(
     """``(query, url, similarity, rank)``: the k most similar store rows of every query.
 
     Similarities are rounded to six digits; equal ones are ordered by url. ``queries`` and
-    ``store`` have unique ``url`` and an ``embedding``.
+    ``store`` have unique ``url`` and an ``embedding``; rows without a vector take no part.
     """
     ask = queries.select(F.col("url").alias("query"), "embedding").filter("embedding is not null")
+    store = store.filter("embedding is not null")
     take = k + 1 if exclude_self else k
     head = ask.limit(few_queries + 1).count()
     if head <= few_queries:

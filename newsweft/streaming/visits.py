@@ -39,6 +39,7 @@ def visit_windows(params: Params):
 
     Within one micro-batch every entry of a url sees the state the batch started with, as a batch
     run would. ``kind`` is ``entry`` for candidates and ``briefed`` for urls put into a briefing.
+    With ``dedup_days`` of 0 no window ever ends, as in a batch run; then state is kept for ever.
     """
     days, briefed_days = params.dedup_days, params.briefed_dedup_days
     longest = max(days, briefed_days)
@@ -53,7 +54,7 @@ def visit_windows(params: Params):
         for pdf in rows:
             entries = pdf[pdf["kind"] == "entry"]
             if began is not None:
-                entries = entries[entries["ts"] - span >= pd.Timestamp(began)]
+                entries = entries[entries["ts"] - span >= pd.Timestamp(began)] if days > 0 else entries[:0]
             if len(entries):
                 last = entries["ts"].max()
                 restart = last if restart is None else max(restart, last)
@@ -67,6 +68,8 @@ def visit_windows(params: Params):
             briefed = True
         if began is not None:
             state.update((began, briefed))
+            if days <= 0:
+                return
             ends = int(pd.Timestamp(began).timestamp() * 1000) + longest * DAY_MS
             state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
 
