@@ -1,4 +1,4 @@
-"""Time the headline queries: median of ``BENCH_RUNS`` (default 1) runs after one warm-up, one JSON line."""
+"""Time the headline queries: median of ``BENCH_RUNS`` (default 3) runs after one warm-up, one JSON line."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("newsweft-bench")

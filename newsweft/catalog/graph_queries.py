@@ -457,19 +457,22 @@ def r12(t):
 
 @query(
     "W11_write_graph",
-    "SELECT concept, encounter_count FROM nodes UNION ALL SELECT a||'-'||b, NULL FROM edges",
-    ["nodes", "edges"],
+    "SELECT concept, encounter_count FROM nodes UNION ALL SELECT a||'-'||b, NULL FROM edges UNION ALL SELECT a||'-'||b||'@'||url, seq FROM pairs",
+    ["nodes", "edges", "pairs"],
 )
 def w11(t):
     from newsweft.lineage import Scratch
     from newsweft.sources.files import read_graph, write_graph
 
     root = Scratch(t.spark, "stored-graph").root
-    write_graph(nodes(t), edges(t), root)
-    n, e = read_graph(t.spark, root)
-    none = F.lit(None).cast("long").alias("encounter_count")
-    return n.select("concept", "encounter_count").unionByName(
-        e.select(F.concat("a", F.lit("-"), "b").alias("concept"), none)
+    write_graph(nodes(t), edges(t), pairs(t), root)
+    n, e, sources = read_graph(t.spark, root)
+    named = F.concat("a", F.lit("-"), "b")
+    out = n.select("concept", "encounter_count").unionByName(
+        e.select(named.alias("concept"), F.lit(None).cast("long").alias("encounter_count"))
+    )
+    return out.unionByName(
+        sources.select(F.concat(named, F.lit("@"), "url").alias("concept"), F.col("seq").alias("encounter_count"))
     )
 
 

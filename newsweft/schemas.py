@@ -1,32 +1,16 @@
 """Spark schemas of the tables the operators exchange."""
 
-ARTICLE_ENTRY = (
-    "title string, url string, source_name string, snippet string, score int, feed_pos bigint"
-)
 VISITED = (
     "url string, title string, source_name string, first_seen timestamp, "
     "passed_relevance boolean, relevance_score int, was_briefed boolean"
 )
-RELATIONSHIP = "struct<`from`:string,`to`:string,type:string>"
-SUMMARY = (
-    "title string, source_name string, url string, date_processed timestamp, "
-    "key_concepts array<string>, summary string, novel_insights string, technical_depth int, "
-    f"related_topics array<string>, relationships array<{RELATIONSHIP}>, "
-    "body_content string, body_content_type string"
-)
 VECTORS = "url string, embedding array<float>, title string, source string, document string"
-NOVELTY = (
-    "url string, vector_novelty double, graph_novelty double, novelty_score double, "
-    "final_score double, relevance_score int, is_near_duplicate boolean"
-)
 NODES = (
     "concept string, first_seen timestamp, last_seen timestamp, encounter_count bigint, "
     "familiarity double, category string, interest_score double, interest_count bigint"
 )
-EDGES = (
-    "a string, b string, relationship_type string, first_seen timestamp, "
-    "source_articles array<string>"
-)
+EDGES = "a string, b string, relationship_type string, first_seen timestamp"
+EDGE_SOURCES = "a string, b string, url string, seq bigint"
 ARTICLES = (
     "briefing_date date, article_number int, title string, source_name string, url string, "
     "summary string, novel_insights string, key_concepts array<string>, "
@@ -42,17 +26,3 @@ FAILURES = (
     "url string, phase string, title string, source_name string, error_type string, "
     "error_message string, failed_at timestamp, run_id string, retry_count bigint"
 )
-RUNS = (
-    "run_id string, started_at timestamp, completed_at timestamp, articles_scanned bigint, "
-    "articles_relevant bigint, articles_briefed bigint, new_concepts_added bigint"
-)
-SOURCE_RUNS = "source_name string, last_run_at timestamp, articles_found bigint"
-SOURCES = "name string, scraper string, url string, query string, max_articles int"
-COLLECTIONS = "id bigint, name string"
-BOOKMARKS = (
-    "briefing_date date, article_number int, collection_id bigint, created_at timestamp"
-)
-LANDED = (
-    "source_name string, kind string, content_type string, base_url string, "
-    "max_articles int, feed_pos bigint, payload string"
-)

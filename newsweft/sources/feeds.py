@@ -40,6 +40,7 @@ REPOSITORY_HOST = "https://github.com"
 POST_INTERNAL_HOSTS = ("bsky.app", "bsky.social")
 LINK_FACET = "app.bsky.richtext.facet#link"
 EXTERNAL_EMBED = "app.bsky.embed.external#view"
+# What counts as an address in plain and in marked-up text.
 PLAIN_URL = r"https?://[^\s<>\"')\]]+"
 HREF = r"""(?i)<a\s[^>]*href=["']([^"']+)["']"""
 

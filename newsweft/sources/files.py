@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweft.functions.concepts import assign_category
-from newsweft.schemas import EDGES, NODES
+from newsweft.schemas import EDGE_SOURCES, EDGES, NODES
 
 
 def read_briefings(spark: SparkSession, path: str) -> DataFrame:
@@ -57,13 +57,23 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return nodes, edges
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def edge_sources_of(edges: DataFrame) -> DataFrame:
+    """``(a, b, url, seq)``: the article lists of an imported graph as rows, in their order."""
+    return edges.select("a", "b", F.posexplode("source_articles").alias("seq", "url")).select(
+        "a", "b", "url", F.col("seq").cast("long").alias("seq")
+    )
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and the articles of each edge."""
     return (
         spark.read.schema(NODES).parquet(f"{path}/nodes"),
         spark.read.schema(EDGES).parquet(f"{path}/edges"),
+        spark.read.schema(EDGE_SOURCES).parquet(f"{path}/edge_sources"),
     )
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+def write_graph(nodes: DataFrame, edges: DataFrame, edge_sources: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
+    edge_sources.select("a", "b", "url", "seq").write.mode("overwrite").parquet(f"{path}/edge_sources")

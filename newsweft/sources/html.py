@@ -16,6 +16,7 @@ from newsweft.sources.feeds import (
     keep_first_url,
 )
 
+# Where the payloads keep links, and how the repository page marks its rows.
 _ANCHOR = r"""(?is)<a\s[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 _ROW = r'(?is)<article\s[^>]*class="[^"]*Box-row[^"]*"[^>]*>(.*?)</article>'
 _ROW_LINK = r'(?is)<h2[^>]*>\s*<a\s[^>]*href="(/[^"]+)"[^>]*>'

@@ -255,3 +255,36 @@ def test_stream_windows_follow_the_batch_rule():
     assert batch((8, "entry"), (8, "briefed")) == 1
     assert batch((20, "entry")) == 0
     assert batch((69, "entry")) == 1
+
+
+def test_scratch_tables_go_by_handle(spark):
+    import os
+
+    from newsweft.lineage import Scratch
+
+    scratch = Scratch(spark, "handles")
+    kept, gone = scratch.put(spark.range(3)), scratch.put(spark.range(5))
+    folder = scratch.root.removeprefix("file:")
+    scratch.drop(gone)
+    assert len(os.listdir(folder)) == 1 and kept.count() == 3
+    with pytest.raises(ValueError):
+        scratch.drop(kept.select("id"))
+    scratch.close()
+    assert not os.path.exists(folder)
+
+
+def test_articles_of_imported_edges_become_rows(spark):
+    from newsweft.sources.files import edge_sources_of
+
+    edges = spark.createDataFrame([("a", "b", ["x", "y"]), ("a", "c", None)], "a string, b string, source_articles array<string>")
+    assert rows(edge_sources_of(edges), "a", "b", "url", "seq") == [("a", "b", "x", 0), ("a", "b", "y", 1)]
+
+
+def test_ratings_outside_the_scale_stop_the_fold(spark):
+    nodes = spark.createDataFrame(
+        [("a", None, 0.1, 1, None, None)],
+        "concept string, last_seen timestamp, familiarity double, encounter_count long, interest_score double, interest_count long",
+    )
+    wild = spark.createDataFrame([(1, True, 9, ["a"])], "seq long, read boolean, interest int, concepts array<string>")
+    with pytest.raises(Exception, match="rating outside 1..5"):
+        feedback.apply_feedback(nodes, wild, F.lit(T0)).collect()
