@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from json import load
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 JSON = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-CACHED = 200_000  # pieces a worker keeps
+CACHED = 100_000  # pieces a worker keeps
 # A blank before a character that is not white space always begins a token, whatever stands left of it,
 # so a text in which every blank is one of those can be encoded word by word.
 OTHER_BLANK = re.compile(r" (?:\s|\Z)")
@@ -27,13 +28,19 @@ class Encoder:
     """
 
     def __init__(self, json: str, ranks: str) -> None:
+        self._json = json
+        with open(json, encoding="utf-8") as description:
+            self._special = [t["content"] for t in load(description)["added_tokens"]]
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self._full = Tokenizer.from_file(json)
-        self._special = [t.content for t in self._full.get_added_tokens_decoder().values()]
         self._cache: dict[str, bytes] = {}
 
+    @cached_property
+    def _full(self) -> Tokenizer:
+        """Large, and needed for few texts if any."""
+        return Tokenizer.from_file(self._json)
+
     def _plain(self, text: str) -> bytes:
         return np.array(self._bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
