@@ -135,7 +135,8 @@ def suffixes(docs: DataFrame) -> DataFrame:
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     """Values of ``key`` that stand at two places at least, and the first place."""
     places = rows.where(F.col(key).isNotNull()).groupBy(key)
-    return places.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select(key, "first")
+    found = places.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1").select(key, "first")
+    return saved(found, "repeated")  # as a table, so that a join with it can split a hot key
 
 
 def _is_first() -> Column:
@@ -147,7 +148,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     from 0 in its document. ``is_first``: each window compared in it stands here for the first time."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = saved(suffixes(texts), "suffixes")
-    cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    cores = saved(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
     runs = saved(found.join(cores, "core", "left_semi"), "runs")
     marked = runs.join(_repeated(runs, "whole"), "whole", "left").select("doc_id", "pos", "core", "first")
     order = Window.partitionBy("doc_id").orderBy("pos")  # at most a row for each word of a document
@@ -158,7 +159,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     marked = saved(marked.withColumn("settled", agrees & (F.col("pos") - since >= WINDOW - 1)), "marked")
     agreeing = marked.where("first is not null").select("doc_id", "pos", _is_first().alias("is_first"))
 
-    open_cores = marked.where(~F.col("settled")).select("core").distinct()
+    open_cores = saved(marked.where(~F.col("settled")).select("core").distinct(), "open")
     gaps = marked.join(open_cores, "core", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gap"))
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
