@@ -26,6 +26,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweft.llm.store import saved
+
 LEAF = 32
 RANKS = "byte_bpe_50k.tiktoken"
 EDITS = "array<struct<start:int,removed:int,inserted:string>>"
@@ -44,7 +46,7 @@ class Counter:
         class Known(dict):
             def __missing__(self, piece: str) -> int:
                 n = len(counter._bpe.encode_ordinary(piece))
-                if len(self) < 500_000 and len(piece) < 40:
+                if len(self) < 200_000 and len(piece) < 40:
                     self[piece] = n
                 return n
 
@@ -209,4 +211,5 @@ def recount(docs: DataFrame, edits: Column | None = None, ranks: str | None = No
     """doc_id, tokens_before, tokens_after, pretokens_encoded for every row of ``docs``."""
     edits = own_edits() if edits is None else edits
     done = edited(F.col("text"), trees(F.col("text"), ranks), edits, keep_text=False, ranks=ranks)
-    return docs.select("doc_id", done.alias("d")).select("doc_id", "d.tokens_before", "d.tokens_after", "d.pretokens_encoded")
+    counts = docs.select("doc_id", done.alias("d")).select("doc_id", "d.tokens_before", "d.tokens_after", "d.pretokens_encoded")
+    return saved(counts, "counts")
