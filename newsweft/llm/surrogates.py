@@ -36,7 +36,7 @@ TITLES = {
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<![.-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<=\b(?:password|passwd|secret|api_key|apikey|token) ?[=:] ?[\"']?)[A-Za-z0-9+/_-]{8,200}",
+    r"|\b(?:password|passwd|secret|api_key|apikey|token) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,200}",
     "phone": r"(?<![0-9+])\+[0-9]{1,3} \([0-9]{2,4}\) [0-9]{3,4}-[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ -][0-9]{2,4}){3,4}(?![0-9])"
     r"|(?<![0-9])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -46,6 +46,7 @@ KINDS = {
     "name": r"(?<!\p{L})(?:" + "|".join(t for of in TITLES.values() for t in of) + r")\.? \p{Lu}\p{L}{1,30}(?: \p{Lu}\p{L}{1,30}){0,2}(?!\p{L})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+LABEL = r"^[a-z_]+ ?[=:] ?[\"']?"  # what stands before a secret's value
 # Syllables and endings of invented names.
 SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe fi ga ge go ha he hi ka ke ki la le li lo ma me mi mo na ne ni no pa pe pi ra re ri ro sa se si so ta te ti to va ve vi".split(), {"f": "na", "m": "ron", "n": "den"}),
@@ -58,6 +59,12 @@ def kind_of(value: Column) -> Column:
     return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), k) for k, p in KINDS.items() if k != "secret"], F.lit("secret"))
 
 
+def may_hold_entity(text: Column) -> Column:
+    """True for every text with an entity, by searches much cheaper than its pattern."""
+    marks = [t for of in TITLES.values() for t in of] + ["pass", "secret", "api", "token", "AKIA"]
+    return reduce(lambda out, m: out | text.contains(m), marks, text.rlike("[0-9@]"))
+
+
 def canonical(kind: Column, value: Column) -> Column:
     """Entities with the same canonical value are the same one."""
     return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card", "account", "social"), F.regexp_replace(value, "[^0-9A-Za-z+]", "")).otherwise(value)
@@ -72,24 +79,39 @@ def _letter(first: str, n: Column) -> Column:
 
 
 def _remapped(value: Column, digest: Column, keep: Column) -> Column:
-    """Each character after the first ``keep`` by one of its own class. The place counts characters that
-    are not punctuation, so that two ways of writing one entity get the same digits."""
-    hexadecimal = value.rlike("^(?=.*[a-f])[0-9a-f]+$")
+    """Each character after the first ``keep`` by one of its own class. The place in the digest counts
+    characters other than punctuation, so that two ways of writing one entity get the same digits."""
+    empty = F.struct(
+        F.lit("").alias("out"),
+        F.lit(0).alias("i"),
+        F.lit(0).alias("place"),
+        keep.cast("int").alias("keep"),
+        F.substring(value, keep + 1, F.length(value)).rlike("^(?=.*[a-f])[0-9a-f]+$").alias("hex"),
+        digest.alias("digest"),
+    )
 
-    def one(i: Column) -> Column:
-        c = F.substring(value, i, F.lit(1))
-        b = _byte(digest, F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9A-Za-z+]", "")))
+    def one(acc: Column, c: Column) -> Column:
+        digit, lower, upper = c.between("0", "9"), c.between("a", "z"), c.between("A", "Z")
+        b = _byte(acc["digest"], acc["place"])
         new = (
-            F.when(hexadecimal, F.lower(F.conv(b % 16, 10, 16)))
+            F.when((acc["i"] < acc["keep"]) | ~(digit | lower | upper), c)
+            .when(acc["hex"], F.lower(F.conv(b % 16, 10, 16)))
             .when(c == "0", (b % 10).cast("string"))
-            .when(c.rlike("^[1-9]$"), (1 + b % 9).cast("string"))
-            .when(c.rlike("^[a-z]$"), _letter("a", b % 26))
-            .when(c.rlike("^[A-Z]$"), _letter("A", b % 26))
-            .otherwise(c)
+            .when(digit, (1 + b % 9).cast("string"))
+            .when(lower, _letter("a", b % 26))
+            .otherwise(_letter("A", b % 26))
+        )
+        return F.struct(
+            F.concat(acc["out"], new).alias("out"),
+            (acc["i"] + 1).alias("i"),
+            (acc["place"] + F.when(digit | lower | upper, 1).otherwise(0)).alias("place"),
+            acc["keep"].alias("keep"),
+            acc["hex"].alias("hex"),
+            acc["digest"].alias("digest"),
         )
-        return F.when(i <= keep, c).otherwise(new)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    characters = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(value, i, F.lit(1)))
+    return F.aggregate(characters, empty, one, lambda acc: acc["out"])
 
 
 def _luhn(digits: Column) -> Column:
@@ -154,11 +176,12 @@ def _name(value: Column, digest: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, canon: Column, attempt: Column, key: str) -> Column:
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), canon), 256)
-    keep = F.when(value.startswith("AKIA"), 4).when(value.rlike(r"^\+1 "), 2).when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0))).otherwise(0)
+    label = F.regexp_extract(value, LABEL, 0)
+    keep = F.when((kind == "secret") & (label != ""), F.length(label)).when(value.startswith("AKIA"), 4).when(value.rlike(r"^\+1 "), 2).when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0))).otherwise(0)
     remapped = _remapped(value, digest, keep)
     top = F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0)  # the top-level domain stays
     return (
-        F.when(kind == "email", F.concat(F.substring(remapped, F.lit(1), F.length(remapped) - F.length(top)), top))
+        F.when(kind == "email", F.concat(F.substring(remapped, F.lit(1), F.length(value) - F.length(top)), top))
         .when(kind == "card", _card(value, digest))
         .when(kind == "account", _account(value, digest))
         .when(kind == "ip", _ip(value, digest))
@@ -177,6 +200,8 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
 
     ``entities``: kind, canon, shown (one way the entity is written). Of entities that draw the same
     surrogate the smallest keeps it; nobody keeps one that is an entity of the corpus."""
+    # by number, as a small table takes long too
+    entities = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "canon")
     real = entities.select("kind", F.col("canon").alias("new_canon"), F.lit(True).alias("real"))
     now = saved(_drawn(entities.withColumn("attempt", F.lit(0)), key), "drawn")
     for _ in range(ATTEMPTS):
@@ -194,12 +219,13 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text (entities replaced), n_entities for every row of ``docs``."""
     slim = docs.select("doc_id", "text")
+    likely = F.coalesce(may_hold_entity(F.col("text")), F.lit(False))
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))
-    having = saved(slim.withColumn("found", found).where(F.size("found") > 0).withColumn("row", F.xxhash64("doc_id", "text")), "having")
+    having = saved(slim.where(likely).withColumn("found", found).where(F.size("found") > 0).withColumn("row", F.xxhash64("doc_id", "text")), "having")
     places = having.select("row", F.posexplode("found").alias("place", "value"))
     places = saved(places.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value"))), "places")
     entities = places.groupBy("kind", "canon").agg(F.min("value").alias("shown"))
-    known = attempts(entities, key)
+    known = attempts(saved(entities, "entities"), key)
     new = surrogate(F.col("kind"), F.col("value"), F.col("canon"), F.col("attempt"), key)
     drawn = places.join(known, ["kind", "canon"]).select("row", "place", new.alias("new"))
     # no more than a text has entities
@@ -207,5 +233,6 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     pieces = F.split("text", PATTERN, -1)
     text = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("put.new"), i), F.lit("")))), "")
     changed = having.join(by_row, "row").select("doc_id", text.alias("text"), F.size("found").cast("long").alias("n_entities"))
-    untouched = slim.where(~F.coalesce(F.regexp_like("text", F.lit(PATTERN)), F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
+    clear = F.when(likely, ~F.regexp_like("text", F.lit(PATTERN))).otherwise(True)
+    untouched = slim.where(clear).withColumn("n_entities", F.lit(0).cast("long"))
     return untouched.unionByName(changed)
