@@ -9,7 +9,7 @@ Of equal texts the row with the most code points stays, then the one with the sm
 
 Null texts count as empty, and all empty texts are equal. A null ``doc_id`` sorts after all others.
 Rows that repeat a ``doc_id`` and text count in ``group_size`` and carry the same verdict;
-``drop_copies`` keeps one of them. An empty table gives an empty result. Other columns are not read.
+``drop_copies`` keeps one of them; different texts under one ``doc_id`` are different documents. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,15 +17,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsweft.llm.store import saved, unused
+from newsweft.llm.store import saved
 
 SUPPORT = 0.002  # the summary holds at most 1 / SUPPORT = 500 digests, which bounds what is broadcast
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
-    return docs.select("doc_id", F.sha2(bare, 256).alias("text_sha256"), F.length(text).alias("points"))
+    return docs.select("doc_id", _digest(text).alias("text_sha256"), F.length(text).alias("points"))
 
 
 def _best_first() -> list[Column]:
@@ -66,17 +69,20 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each kept ``doc_id`` (its longest text), columns as they were."""
-    kept = exact_dedup(docs, support).where("kept").select(F.col("doc_id").alias("stays")).distinct().alias("k")
-    one = Window.partitionBy("doc_id").orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), "text")
-    nth = unused(docs, "nth")
-    return (
-        docs.alias("d")
-        .join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.stays")), "left_semi")
-        .withColumn(nth, F.row_number().over(one))
-        .where(F.col(nth) == 1)
-        .drop(nth)
-    )
+    """One row of ``docs`` for each group of equal texts (of its keeper's rows the longest text), columns as they were.
+
+    Digests and ids are joined together, so different texts under one ``doc_id``, or under none, all stay.
+    """
+    keepers = exact_dedup(docs, support).where("kept").groupBy("text_sha256", F.col("doc_id").alias("stays"))
+    keepers = saved(keepers.agg(F.count(F.lit(1)).alias("repeats")), "keepers").alias("k")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", _digest(text).alias("digest")).alias("d")
+    same = (F.col("d.digest") == F.col("k.text_sha256")) & F.col("d.doc_id").eqNullSafe(F.col("k.stays"))
+    kept = rows.join(keepers, same)
+    # only rows that repeat an id and a text are told apart, combined on the map side
+    longest = F.struct(-F.length(F.coalesce("row.text", F.lit(""))), "row.text")
+    repeated = kept.where("repeats > 1").groupBy("digest").agg(F.min_by("row", longest).alias("row"))
+    return kept.where("repeats = 1").select("row").unionByName(repeated.select("row")).select("row.*")
 
 
 SQL = r"""

@@ -70,6 +70,15 @@ def test_exact_dedup_with_nulls_ties_and_repeats(spark, docs, rows):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_drop_copies_keeps_different_texts_of_one_id(spark):
+    rows = [(0, "b b b"), (1, "a"), (1, "bb b"), (None, "c"), (None, "d d"), (None, "d d"), (None, "d d "), (2, "c"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d.x", F.lit(1))
+    for support in (exact_dedup.SUPPORT, 0.4):
+        kept = exact_dedup.drop_copies(docs, support)
+        got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+        assert kept.columns == docs.columns and got == [(0, "b b b"), (1, "a"), (2, "c"), (3, ""), (None, "d d ")]
+
+
 def test_near_duplicates_equal_all_pairs(docs, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
     assert got == brute.near_components([(i, t) for i, t, *_ in rows])
