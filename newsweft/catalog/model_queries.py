@@ -218,18 +218,19 @@ def u6b(t):
 # -- streams: the events replayed as files -------------------------------------------------------
 
 
-BATCHES = ("2024-01-11", "2024-01-21", "2024-02-28")  # where each replayed batch ends
+BATCHES = ("2024-01-11", "2024-01-21", "2024-02-28")  # where replayed batches end; the last has no end
 
 
-def replay(t, rows, name, when):
-    """Write rows as one file for each span of time and read them back file by file."""
+def replay(t, name, rows, order, ends, start):
+    """Hand the rows to a stream in batches, each written as many files and run to its end. ``ends`` are
+    values of ``order``: the last batch has no end. ``start(stream, root)`` starts the query, which goes
+    on from its checkpoint; no limit of time cuts it."""
     root = Scratch(t.spark, name).root
-    since = "1970-01-01"
-    for until in BATCHES:
-        part = rows.filter((F.col(when) >= F.lit(since).cast("timestamp")) & (F.col(when) < F.lit(until).cast("timestamp")))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-        since = until
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root
+    batch = sum(((order >= end).cast("int") for end in ends), F.lit(0))
+    for i in range(len(ends) + 1):
+        rows.filter(batch == i).write.mode("append").parquet(f"{root}/in")
+        start(t.spark.readStream.schema(rows.schema).parquet(f"{root}/in"), root).awaitTermination()
+    return root
 
 
 def _sql_windows(days: int, briefed_days: int) -> str:
@@ -259,8 +260,7 @@ def _stream_visits(t, params):
         F.concat(F.lit("u"), "user_id").alias("url"), "ts", F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "purchase", "briefed").otherwise("entry").alias("kind"),
     )
-    stream, root = replay(t, rows, "visits", "ts")
-    q = (
+    start = lambda stream, root: (
         visits.stream_filter_new(stream, params)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{root}/checkpoint")
@@ -268,7 +268,8 @@ def _stream_visits(t, params):
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination(240)
+    # rows without a time have no window and are in no batch, as in the SQL
+    root = replay(t, "visits", rows, F.col("ts"), [F.lit(x).cast("timestamp") for x in BATCHES[:-1]], start)
     return t.spark.read.schema("url string, ts timestamp, seq bigint").parquet(f"{root}/out").select("url", "seq")
 
 
@@ -289,16 +290,18 @@ def m1_never(t):
     ["failures_in"],
 )
 def m2(t):
-    stream, root = replay(t, t.failures_in, "failures", "failed_at")
-    table = visits.FailureTable(t.spark, f"{root}/table")
-    q = (
-        visits.stream_failures(stream, table, now())
+    table = lambda root: visits.FailureTable(t.spark, f"{root}/table")
+    start = lambda stream, root: (
+        visits.stream_failures(stream, table(root), now())
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination(240)
-    return table.read().select("url", "phase", "error_type", "retry_count")
+    # cut where the dates begin, but by seq, which rows without a time have too and which tells the last error
+    begins = [F.min(F.when(F.col("failed_at") >= F.lit(x).cast("timestamp"), F.col("seq"))) for x in BATCHES[:-1]]
+    ends = [F.lit(n) for n in t.failures_in.agg(*begins).first() if n is not None]
+    root = replay(t, "failures", t.failures_in, F.coalesce("seq", F.lit(-1)), ends, start)
+    return table(root).read().select("url", "phase", "error_type", "retry_count")
 
 
 @query("P2_daily_run")

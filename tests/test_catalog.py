@@ -1,5 +1,12 @@
 """The catalogue is complete and a sample of it agrees with its SQL."""
 
+import os
+from datetime import timedelta
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 from newsweft.catalog import ORACLE, QUERIES
@@ -19,3 +26,16 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", SAMPLE)
 def test_sample_matches_sql(spark, name):
     assert compare(spark, connect(SF), name, QUERIES[name], ORACLE[name], SF).startswith("ok")
+
+
+@pytest.mark.parametrize("name", ["M1_stream_filter_new", "M2_stream_failures"])
+def test_streams_hold_late_and_undated_events(spark, name, tmp_path):
+    for f in os.listdir(SF):
+        os.symlink(f"{SF}/{f}", tmp_path / f)
+    events = pq.read_table(f"{SF}/events.parquet")
+    n, ts = np.array(events["event_id"]), events["ts"]
+    ts = pc.if_else(pa.array(n % 11 == 0), pc.add(ts, pa.scalar(timedelta(days=60), pa.duration(ts.type.unit))), ts)
+    ts = pc.if_else(pa.array(n % 7 == 0), pa.scalar(None, ts.type), ts)
+    os.remove(tmp_path / "events.parquet")
+    pq.write_table(events.set_column(events.schema.get_field_index("ts"), "ts", ts.cast(events["ts"].type)), tmp_path / "events.parquet")
+    assert compare(spark, connect(tmp_path), name, QUERIES[name], ORACLE[name], str(tmp_path)).startswith("ok")
