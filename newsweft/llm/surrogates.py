@@ -17,6 +17,7 @@ empty table gives an empty result. Columns other than ``doc_id`` and ``text`` ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,11 @@ from newsweft.llm.store import saved
 KEY = "newsweft"
 ATTEMPTS = 32
 
-# What counts as an entity. Repetition is bounded, so that long runs of letters stay linear.
+# What counts as an entity. Repetition is bounded or possessive, so that long runs of letters stay linear.
+SOLID = r"(?=[^\s\p{Z}\p{L}\p{N}]*+[\p{L}\p{N}])"  # a value has a letter or digit before the next white space
+# A value without quotes around it ends at white space, or at a quote that no letter or digit follows.
+VALUE = r"(?:[^\s\p{Z}\"'”’»]|[\"'”’»](?=[\p{L}\p{N}])){8,}+"
+WORD = r"(?:\p{Lu}\.?(?= \p{Lu})|\p{Lu}[\p{L}\p{M}]++(?:['’-]\p{Lu}[\p{L}\p{M}]*+)*+|\p{Lu}['’-]\p{Lu}[\p{L}\p{M}]++)"  # of a name: J. (before another word), Smith-Jones, O'Brien
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"),
@@ -36,14 +41,14 @@ TITLES = {
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<![.-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|\b(?:password|passwd|secret|api_key|apikey|token) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,200}",
+    r"|\b(?:password|passwd|secret|api_key|apikey|token) ?[=:] ?(?:\"" + SOLID + r"[^\"\r\n]{8,}+(?=\")|'" + SOLID + r"[^'\r\n]{8,}+(?='(?![\p{L}\p{N}]))|[\"']?" + SOLID + VALUE + ")",
     "phone": r"(?<![0-9+])\+[0-9]{1,3} \([0-9]{2,4}\) [0-9]{3,4}-[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ -][0-9]{2,4}){3,4}(?![0-9])"
     r"|(?<![0-9])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9-])",
-    "name": r"(?<!\p{L})(?:" + "|".join(t for of in TITLES.values() for t in of) + r")\.? \p{Lu}\p{L}{1,30}(?: \p{Lu}\p{L}{1,30}){0,2}(?!\p{L})",
+    "name": r"(?<!\p{L})(?:" + "|".join(t for of in TITLES.values() for t in of) + r")\.? " + WORD + "(?: " + WORD + ")*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 LABEL = r"^[a-z_]+ ?[=:] ?[\"']?"  # what stands before a secret's value
@@ -66,8 +71,9 @@ def may_hold_entity(text: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """Entities with the same canonical value are the same one."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card", "account", "social"), F.regexp_replace(value, "[^0-9A-Za-z+]", "")).otherwise(value)
+    """Entities with the same canonical value are the same one. What ends a sentence after a secret does not count."""
+    bare = F.regexp_replace(value, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    return F.when(kind == "email", F.lower(value)).when(kind == "secret", bare).when(kind.isin("phone", "card", "account", "social"), F.regexp_replace(value, "[^0-9A-Za-z+]", "")).otherwise(value)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -78,6 +84,39 @@ def _letter(first: str, n: Column) -> Column:
     return F.char(F.lit(ord(first)) + n)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, not for each element of the arrays in ``use``."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _swapped(c: Column, b: Column, hexadecimal: Column) -> Column:
+    """A character of the same class; punctuation stays."""
+    return (
+        F.when(~_is_swapped(c), c)
+        .when(hexadecimal, F.lower(F.conv(b % 16, 10, 16)))
+        .when(c == "0", (b % 10).cast("string"))
+        .when(c.between("0", "9"), (1 + b % 9).cast("string"))
+        .when(c.between("A", "Z"), _letter("A", b % 26))
+        .otherwise(_letter("a", b % 26))
+    )
+
+
+def _is_swapped(c: Column) -> Column:
+    return c.between("0", "9") | c.between("a", "z") | c.between("A", "Z")
+
+
+HEX = "^(?=.*[a-f])[0-9a-f]+$"
+
+
+def _secret(value: Column, digest: Column, keep: Column) -> Column:
+    """As ``_remapped``, in time linear in the length. Letters and digits of other scripts become Latin letters."""
+    rest = F.regexp_replace(F.substring(value, keep + 1, F.length(value)), r"[\p{L}\p{M}\p{N}&&[^\x00-\x7F]]", "a")
+    characters = F.regexp_extract_all(rest, F.lit("(?s)."), F.lit(0))
+    parts = F.struct(characters.alias("all"), digest.alias("digest"), rest.rlike(HEX).alias("hex"))
+    new = _once(parts, lambda p: F.array_join(F.transform(p["all"], lambda c, i: _swapped(c, _byte(p["digest"], i), p["hex"])), ""))
+    return F.concat(F.substring(value, F.lit(1), keep), new)
+
+
 def _remapped(value: Column, digest: Column, keep: Column) -> Column:
     """Each character after the first ``keep`` by one of its own class. The place in the digest counts
     characters other than punctuation, so that two ways of writing one entity get the same digits."""
@@ -86,25 +125,16 @@ def _remapped(value: Column, digest: Column, keep: Column) -> Column:
         F.lit(0).alias("i"),
         F.lit(0).alias("place"),
         keep.cast("int").alias("keep"),
-        F.substring(value, keep + 1, F.length(value)).rlike("^(?=.*[a-f])[0-9a-f]+$").alias("hex"),
+        F.substring(value, keep + 1, F.length(value)).rlike(HEX).alias("hex"),
         digest.alias("digest"),
     )
 
     def one(acc: Column, c: Column) -> Column:
-        digit, lower, upper = c.between("0", "9"), c.between("a", "z"), c.between("A", "Z")
-        b = _byte(acc["digest"], acc["place"])
-        new = (
-            F.when((acc["i"] < acc["keep"]) | ~(digit | lower | upper), c)
-            .when(acc["hex"], F.lower(F.conv(b % 16, 10, 16)))
-            .when(c == "0", (b % 10).cast("string"))
-            .when(digit, (1 + b % 9).cast("string"))
-            .when(lower, _letter("a", b % 26))
-            .otherwise(_letter("A", b % 26))
-        )
+        new = F.when(acc["i"] < acc["keep"], c).otherwise(_swapped(c, _byte(acc["digest"], acc["place"]), acc["hex"]))
         return F.struct(
             F.concat(acc["out"], new).alias("out"),
             (acc["i"] + 1).alias("i"),
-            (acc["place"] + F.when(digit | lower | upper, 1).otherwise(0)).alias("place"),
+            (acc["place"] + F.when(_is_swapped(c), 1).otherwise(0)).alias("place"),
             acc["keep"].alias("keep"),
             acc["hex"].alias("hex"),
             acc["digest"].alias("digest"),
@@ -166,9 +196,11 @@ def _name(value: Column, digest: Column) -> Column:
 
     def invented(script: str) -> Column:
         syllables, endings = SYLLABLES[script]
-        pick = lambda i: F.element_at(F.array(*map(F.lit, syllables)), 1 + _byte(digest, i) % len(syllables))
+        pick = lambda d, i: F.element_at(F.array(*map(F.lit, syllables)), 1 + _byte(d, i) % len(syllables))
         given = reduce(lambda out, g: F.when(gender == g, endings[g]).otherwise(out), ("f", "m"), F.lit(endings["n"]))
-        return F.transform(rest, lambda _, i: F.initcap(F.concat(pick(i * 3), pick(i * 3 + 1), pick(i * 3 + 2), F.when(i == 0, given).otherwise(""))))
+        word = lambda d, i: F.concat(pick(d, i * 3), pick(d, i * 3 + 1), pick(d, i * 3 + 2), F.when(i == 0, given).otherwise(""))
+        parts = F.struct(rest.alias("rest"), digest.alias("digest"))
+        return _once(parts, lambda p: F.transform(p["rest"], lambda _, i: F.initcap(word(p["digest"], i))))
 
     spelled = F.when(value.rlike(r"\p{IsCyrillic}"), invented("cyrillic")).when(value.rlike(r"\p{IsGreek}"), invented("greek")).otherwise(invented("latin"))
     return F.concat_ws(" ", F.element_at(words, 1), F.array_join(spelled, " "))
@@ -181,7 +213,8 @@ def surrogate(kind: Column, value: Column, canon: Column, attempt: Column, key:
     remapped = _remapped(value, digest, keep)
     top = F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0)  # the top-level domain stays
     return (
-        F.when(kind == "email", F.concat(F.substring(remapped, F.lit(1), F.length(value) - F.length(top)), top))
+        F.when(kind == "secret", _secret(value, digest, keep))
+        .when(kind == "email", F.concat(F.substring(remapped, F.lit(1), F.length(value) - F.length(top)), top))
         .when(kind == "card", _card(value, digest))
         .when(kind == "account", _account(value, digest))
         .when(kind == "ip", _ip(value, digest))

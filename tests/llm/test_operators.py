@@ -211,6 +211,25 @@ def test_surrogates_keep_form_and_stay_distinct(spark):
     assert other[0] != got[0].text and surrogates.with_surrogates(docs.limit(0)).count() == 0
 
 
+def test_surrogates_leave_no_rest_of_a_secret_or_name(spark):
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("qwxzQWXZ3456") for _ in range(300_000))
+    values = [long[:300], "eyJhbGciOi.eyJzdWIiOj.SflKxwRJSM", "hunter22!Tail.More$End", "it's$ecretX", "пароль-Ключ9", long]
+    texts = [f"a token={v}, b" for v in values] + ['x password: "my long secret phrase" b', 'x "token=wxyz1234" b', "token=---------- b", "api_key=Zk81hQp2Lm. b", "api_key=Zk81hQp2Lm, b"]
+    texts += ["Mr Juan Carlos Garcia Lopez b", "Mrs Anna Smith-Jones b", "Dr J. R. O'Brien b", "Mr Smith's b", "Mr " + "Ab " * 2000 + "b", "Herr " + "A" + "b" * 60 + " b"]
+    got = [r.text for r in surrogates.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for v, old, new in zip(values, texts, got):
+        assert len(new) == len(old) and new.startswith("a token=") and new.endswith(", b")
+        for part in re.findall(r"\w{4,}", v[-2000:]):
+            assert part not in new
+    assert re.fullmatch(r'x password: "[a-z]{2} [a-z]{4} [a-z]{6} [a-z]{6}" b', got[6]) and "secret" not in got[6].split(":")[1]
+    assert re.fullmatch(r'x "token=[a-z]{4}[1-9]{4}" b', got[7]) and got[8] == texts[8]
+    assert got[9].replace(".", ",") == got[10] != texts[10]
+    for old, new in zip(texts[11:], got[11:]):
+        assert len(new.split()) == len(old.split()) and not set(re.findall(r"\w{2,}", old)[1:]) & set(re.findall(r"\w{2,}", new))
+    assert got[14].endswith("'s b")
+
+
 def test_toxicity_learns_words_and_never_ids(spark):
     rnd = random.Random(8)
     bad = ["foul", "rotten", "vile"]
