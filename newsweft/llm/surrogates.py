@@ -7,7 +7,8 @@ first digit and stay valid if they were, account numbers get matching check digi
 octets, and names keep title, number of words, script and the gender that the title tells.
 
 Surrogates are checked over the whole corpus: two entities never share one, and none is itself an entity
-of the corpus. Entities that clash are drawn again until none do, by tables of distinct entities only;
+of the corpus. Entities that clash are drawn again until none do, after some draws in a longer format
+(other octets, more syllables, letters or digits), as a short one may have no value left; by tables of distinct entities only;
 counting them combines on the map side, so an entity in a third of all documents is one row a task.
 Documents without entities are not shuffled.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from newsweft.llm.store import saved
 
 KEY = "newsweft"
-ATTEMPTS = 32
+OWN_FORMAT = 8  # draws before an entity gets a longer format, by one more character with each draw
 
 # What counts as an entity. Repetition is bounded or possessive, so that long runs of letters stay linear.
 SOLID = r"(?=[^\s\p{Z}\p{L}\p{N}]*+[\p{L}\p{N}])"  # a value has a letter or digit before the next white space
@@ -109,12 +110,12 @@ HEX = "^(?=.*[a-f])[0-9a-f]+$"
 
 
 def _secret(value: Column, digest: Column, keep: Column) -> Column:
-    """As ``_remapped``, in time linear in the length. Letters and digits of other scripts become Latin letters."""
+    """What follows the first ``keep`` characters, as ``_remapped`` but in time linear in the length. Letters and digits of other scripts become Latin letters."""
     rest = F.regexp_replace(F.substring(value, keep + 1, F.length(value)), r"[\p{L}\p{M}\p{N}&&[^\x00-\x7F]]", "a")
     characters = F.regexp_extract_all(rest, F.lit("(?s)."), F.lit(0))
     parts = F.struct(characters.alias("all"), digest.alias("digest"), rest.rlike(HEX).alias("hex"))
     new = _once(parts, lambda p: F.array_join(F.transform(p["all"], lambda c, i: _swapped(c, _byte(p["digest"], i), p["hex"])), ""))
-    return F.concat(F.substring(value, F.lit(1), keep), new)
+    return new
 
 
 def _remapped(value: Column, digest: Column, keep: Column) -> Column:
@@ -180,15 +181,24 @@ def _account(value: Column, digest: Column) -> Column:
     return F.concat(F.substring(new, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(new, F.lit(5), F.length(new)))
 
 
-def _ip(value: Column, digest: Column) -> Column:
+def _more(digest: Column, n: Column, letters: bool) -> Column:
+    """``n`` letters or digits besides those of the digest itself."""
+    new = F.sha2(F.concat(digest, F.lit("more")), 256)
+    new = F.translate(new, "0123456789", "ghijklmnop") if letters else F.translate(new, "abcdef", "123456")
+    return F.substring(new, F.lit(1), n)
+
+
+def _ip(value: Column, digest: Column, extra: Column) -> Column:
+    """Octets as long as they were; when those run out any octets, and a fifth part when even these do."""
     def octet(part: Column, i: Column) -> Column:
         b = _byte(digest, i)
-        return F.when(F.length(part) == 1, 1 + b % 9).when(F.length(part) == 2, 10 + b % 90).otherwise(100 + b % 155).cast("string")
+        return F.when(extra > 0, 1 + b % 254).when(F.length(part) == 1, 1 + b % 9).when(F.length(part) == 2, 10 + b % 90).otherwise(100 + b % 155).cast("string")
 
-    return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
+    fifth = F.when(extra > OWN_FORMAT, F.concat(F.lit("."), _more(digest, extra, False))).otherwise("")
+    return F.concat(F.array_join(F.transform(F.split(value, r"\."), octet), "."), fifth)
 
 
-def _name(value: Column, digest: Column) -> Column:
+def _name(value: Column, digest: Column, extra: Column) -> Column:
     words = F.split(value, " ")
     title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
     gender = F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m").otherwise("n")
@@ -198,7 +208,8 @@ def _name(value: Column, digest: Column) -> Column:
         syllables, endings = SYLLABLES[script]
         pick = lambda d, i: F.element_at(F.array(*map(F.lit, syllables)), 1 + _byte(d, i) % len(syllables))
         given = reduce(lambda out, g: F.when(gender == g, endings[g]).otherwise(out), ("f", "m"), F.lit(endings["n"]))
-        word = lambda d, i: F.concat(pick(d, i * 3), pick(d, i * 3 + 1), pick(d, i * 3 + 2), F.when(i == 0, given).otherwise(""))
+        word = lambda d, i: F.concat(pick(d, i * 3), pick(d, i * 3 + 1), pick(d, i * 3 + 2), F.when(i == 0, F.concat(longer(d), given)).otherwise(""))
+        longer = lambda d: F.when(extra > 0, F.array_join(F.transform(F.sequence(F.lit(1), extra), lambda j: pick(F.sha2(d, 256), j)), "")).otherwise("")
         parts = F.struct(rest.alias("rest"), digest.alias("digest"))
         return _once(parts, lambda p: F.transform(p["rest"], lambda _, i: F.initcap(word(p["digest"], i))))
 
@@ -211,15 +222,17 @@ def surrogate(kind: Column, value: Column, canon: Column, attempt: Column, key:
     label = F.regexp_extract(value, LABEL, 0)
     keep = F.when((kind == "secret") & (label != ""), F.length(label)).when(value.startswith("AKIA"), 4).when(value.rlike(r"^\+1 "), 2).when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0))).otherwise(0)
     remapped = _remapped(value, digest, keep)
+    extra = F.greatest(attempt - (OWN_FORMAT - 1), F.lit(0))
+    letters, digits = _more(digest, extra, True), _more(digest, extra, False)
     top = F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0)  # the top-level domain stays
     return (
-        F.when(kind == "secret", _secret(value, digest, keep))
-        .when(kind == "email", F.concat(F.substring(remapped, F.lit(1), F.length(value) - F.length(top)), top))
+        F.when(kind == "secret", F.concat(F.substring(value, F.lit(1), keep), letters, _secret(value, digest, keep)))
+        .when(kind == "email", F.concat(letters, F.substring(remapped, F.lit(1), F.length(value) - F.length(top)), top))
         .when(kind == "card", _card(value, digest))
         .when(kind == "account", _account(value, digest))
-        .when(kind == "ip", _ip(value, digest))
-        .when(kind == "name", _name(value, digest))
-        .otherwise(remapped)
+        .when(kind == "ip", _ip(value, digest, extra))
+        .when(kind == "name", _name(value, digest, extra))
+        .otherwise(F.concat(remapped, digits))
     )
 
 
@@ -237,7 +250,7 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     entities = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "canon")
     real = entities.select("kind", F.col("canon").alias("new_canon"), F.lit(True).alias("real"))
     now = saved(_drawn(entities.withColumn("attempt", F.lit(0)), key), "drawn")
-    for _ in range(ATTEMPTS):
+    while True:  # every draw after OWN_FORMAT has a larger space, so this ends
         first = now.groupBy("kind", "new_canon").agg(F.min("canon").alias("owner"))
         seen = now.join(first, ["kind", "new_canon"]).join(real, ["kind", "new_canon"], "left")
         clash = F.col("real").isNotNull() | (F.col("owner") != F.col("canon"))
@@ -246,7 +259,6 @@ def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
             return judged.select("kind", "canon", "attempt")
         again = _drawn(judged.where("clash").withColumn("attempt", F.col("attempt") + 1).drop("new_canon", "clash"), key)
         now = saved(judged.where("not clash").drop("clash").unionByName(again), "drawn")
-    raise ValueError("some formats have too few values left for distinct surrogates")
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -230,6 +230,15 @@ def test_surrogates_leave_no_rest_of_a_secret_or_name(spark):
     assert got[14].endswith("'s b")
 
 
+def test_surrogates_of_full_formats_are_distinct(spark):
+    values = [f"{1 + i // 729}.{1 + i // 81 % 9}.{1 + i // 9 % 9}.{1 + i % 9}" for i in range(6561)]
+    values += [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + ["_@-.com", "Mr Abc"] + [f"token=-------{i}" for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    new = [r.text for r in surrogates.with_surrogates(docs).collect()]
+    assert len(set(new)) == len(values) and not set(new) & set(values)
+    assert all(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", n) for n in new if n[0].isdigit())
+
+
 def test_toxicity_learns_words_and_never_ids(spark):
     rnd = random.Random(8)
     bad = ["foul", "rotten", "vile"]
