@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweft.llm import exact_dedup, mixing, near_dedup, packing, suffix_dedup, surrogates, token_counts, topk, toxicity, url_filter
+from newsweft.llm import conversations, exact_dedup, lines, mixing, near_dedup, packing, spelling, suffix_dedup, surrogates, token_counts, topk, toxicity, url_filter
 from newsweft.llm.store import table
 
 
@@ -48,6 +48,18 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -59,10 +71,16 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE = {
     "op4_exact_topk": topk.SQL,
     "op7_url_filters": url_filter.SQL,
     "op9_mixing": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_line_dedup": lines.SQL,
+    "op13_conversation_repair": conversations.SQL,
 }
