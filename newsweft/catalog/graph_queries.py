@@ -66,7 +66,7 @@ def j4(t):
 def j4_cells(t):
     """The same search by the path for many queries."""
     return vectors.knn_cosine(
-        vector_queries(t), vector_store(t), 5, few_queries=0, block_rows=1024
+        vector_queries(t), vector_store(t), 5, cell_rows=64
     )
 
 

@@ -18,7 +18,9 @@ from newsweft.functions.concepts import (
 )
 from newsweft.functions.scoring import round_half_up
 from newsweft.functions.text import days_since
+from newsweft.lineage import Scratch
 from newsweft.operators.components import both_ways, bridge_edges
+from newsweft.operators.containment import contained_pairs
 from newsweft.operators.skew import pairs_within, top_per_group
 
 CO_OCCURRENCE = "co_occurrence"
@@ -308,64 +310,82 @@ def node_sources(sources: DataFrame, n: int = 20) -> DataFrame:
     return top_per_group(rows, ["concept"], [F.col("seq"), F.col("url")], n)
 
 
-def _grams(c: Column, n: int) -> Column:
-    """Distinct substrings of length ``n``."""
-    last = F.length(c) - n + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(c, i, F.lit(n)))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def match_concepts(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Concepts that contain a longer word of the question or are contained in one.
-
-    Containment is found through shared four-letter pieces, which every word considered has; names
-    shorter than that are looked up among the short pieces of the words.
-    """
-    words = (
+def question_words(questions: DataFrame) -> DataFrame:
+    """``(question_id, word)``: the words of each question that are looked up."""
+    return (
         questions.select("question_id", F.explode(F.split("question", r"\s+")).alias("w"))
         .select("question_id", F.lower("w").alias("word"))
         .filter(F.length("word") > 3)
         .distinct()
     )
-    forms = words.select("word").distinct()
-    names = nodes.select("concept", F.lower("concept").alias("name"))
-    long_names = names.filter(F.length("name") > 3).withColumn("piece", F.left("name", F.lit(4)))
-    in_word = (
-        forms.withColumn("piece", F.explode(_grams(F.col("word"), 4)))
-        .join(long_names, "piece")
-        .filter(F.contains("word", "name"))
-    )
-    short = F.concat(*[_grams(F.col("word"), n) for n in (1, 2, 3)])
-    short_in_word = forms.withColumn("name", F.explode(short)).join(names, "name")
-    in_name = (
-        names.withColumn("piece", F.explode(_grams(F.col("name"), 4)))
-        .join(forms.withColumn("piece", F.left("word", F.lit(4))), "piece")
-        .filter(F.contains("name", "word"))
-    )
-    hits = [x.select("word", "concept") for x in (in_word, short_in_word, in_name)]
-    found = hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()
-    return words.join(found, "word").select("question_id", "concept").distinct()
+
+
+def word_hits(words: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(word, concept)``: concepts that contain a word or are contained in one, each pair once.
+
+    Names and words are written once, as both are read in both directions.
+    """
+    scratch = Scratch(nodes.sparkSession, "containment")
+    names = scratch.put(nodes.select("concept", F.lower("concept").alias("name")))
+    forms = scratch.put(words.select("word").distinct())
+    distinct_names = names.select("name").distinct()
+    in_name = contained_pairs(
+        forms.select(F.col("word").alias("inner")), distinct_names.select(F.col("name").alias("outer"))
+    ).select(F.col("inner").alias("word"), F.col("outer").alias("name"))
+    in_word = contained_pairs(
+        distinct_names.select(F.col("name").alias("inner")), forms.select(F.col("word").alias("outer"))
+    ).filter(F.col("inner") != F.col("outer")).select(F.col("outer").alias("word"), F.col("inner").alias("name"))
+    return in_name.unionByName(in_word).join(names, "name").select("word", "concept")
+
+
+def match_concepts(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Concepts that contain a longer word of the question or are contained in one."""
+    words = question_words(questions)
+    return words.join(word_hits(words, nodes), "word").select("question_id", "concept").distinct()
+
+
+def first_matches(
+    questions: DataFrame, nodes: DataFrame, order: list[Column], n: int, carry: list[str]
+) -> DataFrame:
+    """The first ``n`` matched concepts of each question in ``order`` over ``concept`` and ``carry``.
+
+    A question's first ``n`` are among the first ``n`` of its words, so hits are cut for each word
+    before any question sees them, however many concepts a word has.
+    """
+    words = question_words(questions)
+    hits = word_hits(words, nodes)
+    if carry:
+        hits = hits.join(nodes.select("concept", *carry), "concept")
+    of_word = top_per_group(hits, ["word"], order, n)
+    rows = words.join(of_word, "word").drop("word").distinct()
+    return top_per_group(rows, ["question_id"], order, n)
 
 
 def related_concepts(
     questions: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 15
 ) -> DataFrame:
-    """Matched concepts and their neighbours, the first ``n`` in sort order."""
-    hit = match_concepts(questions, nodes)
+    """Matched concepts and their neighbours, the first ``n`` in sort order.
+
+    Only the first ``n`` neighbours of a concept can be among a question's first ``n``, and only the
+    first ``n`` of a word among those of its questions: both are cut before they meet.
+    """
+    words = question_words(questions)
+    hits = Scratch(nodes.sparkSession, "related").put(word_hits(words, nodes))
     around = both_ways(edges).distinct().select(F.col("v").alias("concept"), F.col("w").alias("near"))
-    grown = hit.join(around, "concept").select("question_id", F.col("near").alias("concept"))
-    rows = hit.unionByName(grown).distinct()
-    return top_per_group(rows, ["question_id"], [F.col("concept")], n)
+    around = around.join(hits.select("concept").distinct(), "concept", "left_semi")
+    nearest = top_per_group(around, ["concept"], [F.col("near")], n)
+    grown = hits.join(nearest, "concept").select("word", F.col("near").alias("concept"))
+    order = [F.col("concept")]
+    own = top_per_group(hits, ["word"], order, n)
+    of_word = top_per_group(own.unionByName(grown).distinct(), ["word"], order, n)
+    rows = words.join(of_word, "word").select("question_id", "concept").distinct()
+    return top_per_group(rows, ["question_id"], order, n)
 
 
 def graph_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Up to eight matched concepts per question, described line by line."""
-    hit = match_concepts(questions, nodes).join(
-        nodes.select("concept", "first_seen", "encounter_count", "familiarity"), "concept"
-    )
-    first = top_per_group(hit, ["question_id"], [F.col("first_seen"), F.col("concept")], 8)
+    about = ["first_seen", "encounter_count", "familiarity"]
+    first = first_matches(questions, nodes, [F.col("first_seen"), F.col("concept")], 8, about)
     near = neighbours_of(nodes, edges, 5, first)
     line = F.format_string(
         "- %s: encountered %d time(s), familiarity %.1f, connected to [%s]",

@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import StructType
 
 from newsweft.functions import scoring
 from newsweft.lineage import Scratch
 from newsweft.operators.skew import top_per_group
 from newsweft.params import Params
 
-FEW_QUERIES = 4096
-MAX_PIVOTS = 1024
-BLOCK_ROWS = 65536
+MAX_PIVOTS = 4096
+SAMPLE = 4096
+CELL_ROWS = 16384
+RINGS = 64
+SHARE_BITS = 32
 TILE = 512
+HEAD = 32
 DIGITS = 6
 _STEP = 10**DIGITS
+_SLACK = 2.0 / _STEP
 _FOUND = "query string, url string, similarity double"
 
 
@@ -30,78 +35,105 @@ def _unit(rows) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
+def _round(sims: np.ndarray) -> np.ndarray:
+    return np.floor(sims * _STEP + 0.5).astype(np.int64)
+
+
 def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns of the k largest rounded similarities of each row; equal ones by column order."""
     k = min(k, sims.shape[1])
-    rounded = np.floor(sims * _STEP + 0.5).astype(np.int64)
+    rounded = _round(sims)
     keys = -rounded * (1 << 32) + np.arange(sims.shape[1], dtype=np.int64)
     cols = np.argpartition(keys, k - 1, axis=1)[:, :k]
     return cols, np.take_along_axis(rounded, cols, axis=1) / _STEP
 
 
-def _topk_frame(q_names, q_unit, s_names, s_unit, k) -> pd.DataFrame:
-    """The k nearest store rows of every query; the store rows come ordered by name."""
-    out = []
-    for at in range(0, len(q_names), TILE):
-        cols, sims = _best(q_unit[at : at + TILE] @ s_unit.T, k)
-        n, width = cols.shape
-        out.append(
-            pd.DataFrame(
-                {
-                    "query": np.repeat(q_names[at : at + n], width),
-                    "url": s_names[cols.ravel()],
-                    "similarity": sims.ravel(),
-                }
-            )
-        )
-    return pd.concat(out, ignore_index=True)
-
-
-def _sorted_block(pdf: pd.DataFrame):
-    pdf = pdf.sort_values("url", kind="stable")
-    return pdf["url"].to_numpy(), _unit(pdf["embedding"])
-
-
-def _keep_best(found: DataFrame, k: int) -> DataFrame:
-    return top_per_group(found, ["query"], [F.desc("similarity"), F.col("url")], k)
-
-
-def _scan_store(queries: list, store: DataFrame, k: int) -> DataFrame:
-    """Few queries: every task holds them all and keeps its own k best while it reads the store."""
-    spark = store.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (np.array([r[0] for r in queries], dtype=object), _unit([r[1] for r in queries]))
-    )
+class _Block:
+    """Store rows of one group, ordered by name, with a short sketch of each: the first coordinates,
+    and the length of the rest, which bounds what the rest can add to a product."""
+
+    def __init__(self, frames: list[pd.DataFrame]) -> None:
+        pdf = pd.concat(frames, ignore_index=True)
+        self.names, self.unit = pdf["url"].to_numpy(), _unit(pdf["embedding"])
+        self.head, self.rest = self.sketch(self.unit)
+
+    @staticmethod
+    def sketch(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        head = unit[:, :HEAD]
+        return head, np.sqrt(np.maximum(0.0, np.square(unit).sum(axis=1) - np.square(head).sum(axis=1)))
+
+    def search(self, names: np.ndarray, unit: np.ndarray, kth: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+        """The k nearest rows of every query that can still reach its ``kth`` similarity."""
+        for at in range(0, len(names), TILE):
+            q, least = unit[at : at + TILE], kth[at : at + TILE] - _SLACK
+            head, rest = self.sketch(q)
+            able = head @ self.head.T + rest[:, None] * self.rest[None, :] >= least[:, None]
+            if able.mean() > 0.125:
+                cols, sims = _best(q @ self.unit.T, k)
+                rows = np.repeat(np.arange(len(q)), cols.shape[1])
+                cols, sims = cols.ravel(), sims.ravel()
+            else:
+                rows, cols = np.nonzero(able)
+                sims = _round(np.einsum("ij,ij->i", q[rows], self.unit[cols])) / _STEP
+                order = np.lexsort((cols, -sims, rows))
+                rows, cols, sims = rows[order], cols[order], sims[order]
+                begins = np.searchsorted(rows, np.arange(len(q)))
+                few = np.arange(len(rows)) - begins[rows] < k
+                rows, cols, sims = rows[few], cols[few], sims[few]
+            yield pd.DataFrame({"query": names[at + rows], "url": self.names[cols], "similarity": sims})
+
+
+def _meet(k: int):
+    """Streams the sorted rows of a task: a group's block is held, its queries pass by in batches."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held, block = None, [], None
+        for frame in frames:
+            for key, part in frame.groupby(["group", "share", "part"], sort=False):
+                if key != group:
+                    group, held, block = key, [], None
+                stored = part[part["kind"] == 0]
+                if len(stored):
+                    held.append(stored[["url", "embedding"]])
+                asked = part[part["kind"] == 1]
+                if len(asked) and (held or block):
+                    block, held = block or _Block(held), []
+                    yield from block.search(
+                        asked["url"].to_numpy(), _unit(asked["embedding"]), asked["kth"].to_numpy(), k
+                    )
+
+    return run
+
+
+class VectorCells:
+    """A store laid out for exact search, for any size of it and any number of queries.
+
+    Rows go to the nearest of at most ``MAX_PIVOTS`` pivots, whose number grows with the store; a
+    pivot's cell is cut into rings by angle and these into hashed shares, so a group holds about
+    ``cell_rows`` rows however large the store is. An angle to the pivot outside a ring's range by
+    more than a query's reach rules the ring out.
+
+    A query's reach comes from a fixed sample of the store: its k-th best there is no better than
+    its k-th best of all. So each query visits its groups in one pass; there a short sketch bounds
+    each product before the exact one. The sample and the ranges of the groups are broadcast; both
+    are bounded by constants.
+    """
 
-    def scan(batches):
-        names, unit = shared.value
-        held = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            s_names, s_unit = _sorted_block(pdf)
-            found = _topk_frame(names, unit, s_names, s_unit, k)
-            held = found if held is None else pd.concat([held, found], ignore_index=True)
-            held = (
-                held.sort_values(["query", "similarity", "url"], ascending=[True, False, True])
-                .groupby("query", sort=False)
-                .head(k)
-            )
-        if held is not None:
-            yield held
-
-    return _keep_best(store.select("url", "embedding").mapInPandas(scan, _FOUND), k)
-
-
-class _Cells:
-    """A store cut into cells around pivots; each cell knows its size and its widest angle."""
-
-    def __init__(self, store: DataFrame, n: int, block_rows: int, scratch: Scratch) -> None:
-        spark = store.sparkSession
-        count = max(1, min(MAX_PIVOTS, math.isqrt(n) // 2))
-        chosen = store.orderBy(F.xxhash64("url"), "url").limit(count).select("embedding").collect()
-        self.pivots = spark.sparkContext.broadcast(_unit([r[0] for r in chosen]))
-        pivots = self.pivots
+    def __init__(self, store: DataFrame, cell_rows: int = CELL_ROWS) -> None:
+        self.spark = store.sparkSession
+        self.cell_rows = cell_rows
+        self.scratch = Scratch(self.spark, "neighbours")
+        rows = store.filter("embedding is not null").select("url", "embedding")
+        drawn = rows.orderBy(F.xxhash64("url"), "url").limit(SAMPLE).select("embedding").collect()
+        self.empty = not drawn
+        if self.empty:
+            return
+        sample = _unit([r[0] for r in drawn])
+        n = len(drawn) if len(drawn) < SAMPLE else rows.count()
+        self.sample = self.spark.sparkContext.broadcast(sample)
+        pivots = self.pivots = self.spark.sparkContext.broadcast(
+            sample[: min(MAX_PIVOTS, math.ceil(n / cell_rows))]
+        )
 
         @F.pandas_udf("struct<cell:int,angle:double>")
         def assign(embedding: pd.Series) -> pd.DataFrame:
@@ -110,147 +142,109 @@ class _Cells:
             angle = np.arccos(np.take_along_axis(sims, cell[:, None], axis=1)[:, 0])
             return pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle})
 
-        placed = scratch.put(store.select("url", "embedding", assign("embedding").alias("p")))
-        per_cell = (
-            placed.groupBy("p.cell")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("p.angle").alias("radius"))
-            .withColumn("blocks", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
+        placed = self.scratch.put(rows.withColumn("p", assign("embedding")))
+        cuts = F.percentile_approx("p.angle", [i / RINGS for i in range(1, RINGS)], 1000)
+        per_cell = placed.groupBy("p.cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("p.angle").alias("lo"), F.max("p.angle").alias("hi"), cuts.alias("cuts")
         )
-        # one row per pivot at most
-        rows = per_cell.collect()
-        self.sizes = np.zeros(len(chosen), dtype=np.int64)
-        self.radius = np.zeros(len(chosen))
-        for r in rows:
-            self.sizes[r["cell"]] = r["n"]
-            self.radius[r["cell"]] = r["radius"]
-        self.blocks = F.broadcast(
-            spark.createDataFrame([(r["cell"], r["blocks"]) for r in rows], "cell int, blocks int")
+        groups, layout = [], []  # one row per pivot and ring at most
+        for r in sorted(per_cell.collect()):
+            rings = max(1, min(RINGS, r["n"] // cell_rows))
+            inner = [r["cuts"][RINGS * i // rings - 1] for i in range(1, rings)]
+            shares = math.ceil(r["n"] / rings / cell_rows)
+            layout.append((r["cell"], len(groups), inner, shares))
+            for lo, hi in zip([r["lo"], *inner], [*inner, r["hi"]]):
+                groups.append((r["cell"], lo, hi, shares))
+        self.groups = self.spark.sparkContext.broadcast(np.array(groups, dtype=np.float64))
+        where = F.broadcast(
+            self.spark.createDataFrame(layout, "cell int, first int, cuts array<double>, shares int")
         )
-        self.store = (
-            placed.select("url", "embedding", F.col("p.cell").alias("cell"))
-            .join(self.blocks, "cell")
-            .withColumn("block", F.pmod(F.xxhash64("url"), F.col("blocks")).cast("int"))
-            .drop("blocks")
+        ring = F.size(F.filter("cuts", lambda c: F.col("p.angle") > c))
+        self.store = placed.withColumn("cell", F.col("p.cell")).join(where, "cell").select(
+            "url", "embedding", (F.col("first") + ring).alias("group"),
+            F.pmod(F.xxhash64("url"), F.col("shares")).cast("int").alias("share"),
         )
 
-    def home(self, k: int):
-        """Cells to look into first: the nearest ones that together hold k rows."""
-        pivots, sizes = self.pivots, self.sizes
-
-        @F.pandas_udf(ArrayType(IntegerType()))
-        def cells(embedding: pd.Series) -> pd.Series:
-            sims = _unit(embedding) @ pivots.value.T
-            out = []
-            for row in sims:
-                order = [c for c in np.argsort(-row, kind="stable") if sizes[c] > 0]
-                need = np.searchsorted(np.cumsum(sizes[order]), min(k, sizes.sum())) + 1
-                out.append(np.array(order[:need], dtype=np.int32))
-            return pd.Series(out)
-
-        return cells
-
-    def reachable(self):
-        """Further cells that can still hold a row at least as similar as the k-th found."""
-        pivots, sizes, radius = self.pivots, self.sizes, self.radius
-
-        @F.pandas_udf(ArrayType(IntegerType()))
-        def cells(embedding: pd.Series, kth: pd.Series, done: pd.Series) -> pd.Series:
-            angles = np.arccos(np.clip(_unit(embedding) @ pivots.value.T, -1.0, 1.0))
-            reach = np.arccos(np.clip(kth.to_numpy() - 2.0 / _STEP, -1.0, 1.0)) + 1e-7
-            out = []
-            for row, limit, seen in zip(angles, reach, done):
-                hit = (sizes > 0) & (row - radius <= limit)
-                hit[np.asarray(seen, dtype=np.int64)] = False
-                out.append(np.flatnonzero(hit).astype(np.int32))
-            return pd.Series(out)
-
-        return cells
-
-
-def _search_cells(cells: _Cells, wanted: DataFrame, k: int, query_blocks: int) -> DataFrame:
-    """k best per query and block for ``wanted(query, embedding, cells)``."""
-    asked = (
-        wanted.withColumn("cell", F.explode("cells"))
-        .join(cells.blocks, "cell")
-        .select(
-            "query",
-            "embedding",
-            "cell",
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-            F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("part"),
+    def reach(self, k: int):
+        """Per query: the k-th best similarity of the sample, and the groups' shares within reach, each as one number."""
+        pivots, sample, groups = self.pivots, self.sample, self.groups
+
+        @F.pandas_udf("struct<kth:double,visits:array<bigint>>")
+        def visits(embedding: pd.Series) -> pd.DataFrame:
+            unit, g = _unit(embedding), groups.value
+            shares = g[:, 3].astype(np.int64)
+            owner = np.repeat(np.arange(len(g)), shares)
+            code = (owner << SHARE_BITS) + np.arange(len(owner)) - np.repeat(np.cumsum(shares) - shares, shares)
+            cell, lo, hi = g[owner, 0].astype(np.int64), g[owner, 1], g[owner, 2]
+            kths, out = [], []
+            for at in range(0, len(unit), TILE):
+                q = unit[at : at + TILE]
+                if len(sample.value) < k:
+                    kth = np.full(len(q), -2.0)
+                else:
+                    sims = q @ sample.value.T
+                    kth = _round(np.partition(sims, -k, axis=1)[:, -k]) / _STEP
+                limit = np.arccos(np.clip(kth - _SLACK, -1.0, 1.0)) + 1e-7
+                angle = np.arccos(np.clip(q @ pivots.value.T, -1.0, 1.0))
+                for row, most, least in zip(angle, limit, kth):
+                    a = row[cell]
+                    kths.append(least)
+                    out.append(code[np.maximum(lo - a, a - hi) <= most])
+            return pd.DataFrame({"kth": kths, "visits": out})
+
+        return visits
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """``(query, url, similarity)``: the k most similar rows of each query of ``queries(query, embedding)``.
+
+        A group that more than ``4 * cell_rows`` queries visit is met in several parts, each with
+        that one block; elsewhere a block is sent once.
+        """
+        if self.empty:
+            return self.spark.createDataFrame([], StructType.fromDDL(_FOUND))
+        asked = self.scratch.put(queries.withColumn("v", self.reach(k)("embedding")))
+        visits = asked.select(F.col("query").alias("url"), "embedding", "v.kth", F.explode("v.visits").alias("to")).select(
+            "url", "embedding", "kth", F.shiftright("to", SHARE_BITS).cast("int").alias("group"), F.col("to").bitwiseAND((1 << SHARE_BITS) - 1).cast("int").alias("share")
         )
-    )
-    held = cells.store.withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
-
-    def meet(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(s) == 0:
-            return pd.DataFrame({"query": [], "url": [], "similarity": []})
-        s_names, s_unit = _sorted_block(s)
-        return _topk_frame(q["query"].to_numpy(), _unit(q["embedding"]), s_names, s_unit, k)
-
-    key = ["cell", "block", "part"]
-    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(meet, _FOUND)
-
+        parts = visits.groupBy("group", "share").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(4 * self.cell_rows)).cast("int").alias("parts")
+        )
+        many = self.scratch.put(parts.filter("parts > 1"))
+        none = {"kth": F.lit(None).cast("double")}
+        key = ["group", "share"]
+        held = self.store.join(many, key, "left").withColumns(
+            {"part": F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)), "kind": F.lit(0), **none}
+        )
+        come = visits.join(many, key, "left").withColumns(
+            {"part": F.pmod(F.xxhash64("url"), F.coalesce("parts", F.lit(1))).cast("int"), "kind": F.lit(1)}
+        )
+        columns = [*key, "part", "kind", "url", "embedding", "kth"]
+        rows = held.select(*columns).unionByName(come.select(*columns))
+        dealt = rows.repartition(*key, "part").sortWithinPartitions(*key, "part", "kind", "url")
+        return _keep_best(dealt.mapInPandas(_meet(k), _FOUND), k)
 
-def _search_by_cells(
-    queries: DataFrame, n_queries: int, store: DataFrame, n: int, k: int, block_rows: int
-) -> DataFrame:
-    """Many queries: look into the nearest cells, then only where a better row can still be.
 
-    The angle to a cell's pivot minus the cell's radius bounds every angle to its rows, so skipped
-    cells cannot hold a neighbour. Blocks bound the rows of a task on both sides.
-    """
-    scratch = Scratch(store.sparkSession, "neighbours")
-    cells = _Cells(store, n, block_rows, scratch)
-    parts = max(1, math.ceil(n_queries / block_rows))
-    asked = scratch.put(queries.withColumn("cells", cells.home(k)("embedding")))
-    first = scratch.put(_keep_best(_search_cells(cells, asked, k, parts), k))
-    kth = first.groupBy("query").agg(F.min("similarity").alias("kth"))
-    further = asked.join(kth, "query").select(
-        "query", "embedding", cells.reachable()("embedding", "kth", "cells").alias("cells")
-    )
-    return _keep_best(first.unionByName(_search_cells(cells, further, k, parts)), k)
+def _keep_best(found: DataFrame, k: int) -> DataFrame:
+    return top_per_group(found, ["query"], [F.desc("similarity"), F.col("url")], k)
 
 
 def knn_cosine(
-    queries: DataFrame,
-    store: DataFrame,
-    k: int = 5,
-    *,
-    exclude_self: bool = False,
-    few_queries: int = FEW_QUERIES,
-    block_rows: int = BLOCK_ROWS,
+    queries: DataFrame, store: DataFrame, k: int = 5, *, exclude_self: bool = False, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """``(query, url, similarity, rank)``: the k most similar store rows of every query.
 
     Similarities are rounded to six digits; equal ones are ordered by url. ``queries`` and
-    ``store`` have unique ``url`` and an ``embedding``; rows without a vector take no part.
+    ``store`` have unique ``url`` and an ``embedding``; rows without a vector take no part. Several
+    searches of one store share their layout through ``VectorCells``.
     """
     ask = queries.select(F.col("url").alias("query"), "embedding").filter("embedding is not null")
-    store = store.filter("embedding is not null")
-    take = k + 1 if exclude_self else k
-    head = ask.limit(few_queries + 1).count()
-    if head <= few_queries:
-        found = _scan_store(ask.collect(), store, take) if head else _nothing(store.sparkSession)
-    else:
-        n = store.count()
-        found = (
-            _search_by_cells(ask, ask.count(), store, n, take, block_rows)
-            if n
-            else _nothing(store.sparkSession)
-        )
+    found = VectorCells(store, cell_rows).search(ask, k + 1 if exclude_self else k)
     if exclude_self:
         found = _keep_best(found.filter(F.col("query") != F.col("url")), k)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "url")
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def _nothing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], StructType.fromDDL(_FOUND))
-
-
 def s_max(neighbours: DataFrame) -> DataFrame:
     """The highest similarity found for each query."""
     return neighbours.groupBy(F.col("query").alias("url")).agg(F.max("similarity").alias("s_max"))

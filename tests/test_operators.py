@@ -133,8 +133,8 @@ def test_neighbours_match_brute_force_with_copies(spark):
         [(f"{p}{i:03d}", [float(x) for x in r]) for i, r in enumerate(m)], "url string, embedding array<double>"
     )
     want = _brute(q, s, 5)
-    for few, block in ((4096, 65536), (0, 16)):
-        out = vectors.knn_cosine(frame(q, "q"), frame(s, "v"), 5, few_queries=few, block_rows=block)
+    for cell_rows in (16384, 16, 1):
+        out = vectors.knn_cosine(frame(q, "q"), frame(s, "v"), 5, cell_rows=cell_rows)
         assert {tuple(r) for r in out.select("query", "url", "similarity").collect()} == want
 
 
