@@ -233,12 +233,19 @@ def replay(t, name, rows, order, ends, start):
     return root
 
 
-def _sql_windows(days: int, briefed_days: int) -> str:
+_UNSEEN = "SELECT DISTINCT url, NULL::TIMESTAMP AS began, false AS briefed FROM e"
+_SEEDED = (
+    "SELECT 'u'||user_id AS url, CASE WHEN user_id%3=0 THEN min(ts) - INTERVAL 1 DAY * (user_id%20) END AS began, "
+    "user_id%6=0 AS briefed FROM events GROUP BY user_id"
+)
+
+
+def _sql_windows(days: int, briefed_days: int, seen: str = _UNSEEN) -> str:
     """Each batch against the windows that the batches before it left."""
     b = "".join(f" + (ts >= TIMESTAMP '{x}')::INTEGER" for x in BATCHES[:-1])
     ctes = [
         "e AS (SELECT 'u'||user_id AS url, ts, event_id AS seq, event_type='purchase' AS mark, 0" + b + " AS b FROM events)",
-        "w0 AS (SELECT DISTINCT url, NULL::TIMESTAMP AS began, false AS briefed FROM e)",
+        f"w0 AS ({seen})",
     ]
     for i in range(len(BATCHES)):
         fits = "began IS NULL" + "".join(
@@ -255,13 +262,13 @@ def _sql_windows(days: int, briefed_days: int) -> str:
     return "WITH " + ", ".join(ctes) + " " + out
 
 
-def _stream_visits(t, params):
+def _stream_visits(t, params, visited=None):
     rows = t.events.select(
         F.concat(F.lit("u"), "user_id").alias("url"), "ts", F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "purchase", "briefed").otherwise("entry").alias("kind"),
     )
     start = lambda stream, root: (
-        visits.stream_filter_new(stream, params)
+        visits.stream_filter_new(stream, params, visited)
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{root}/checkpoint")
         .option("path", f"{root}/out")
@@ -284,6 +291,37 @@ def m1_never(t):
     return _stream_visits(t, Params(dedup_days=0, briefed_dedup_days=12))
 
 
+@query("M1_stream_seeded", _sql_windows(4, 12, _SEEDED))
+def m1_seeded(t):
+    """The stream goes on from a table of visits: a third of the urls was seen before, half of these briefed."""
+    user = F.col("user_id")
+    visited = t.events.filter(user % 3 == 0).groupBy(user).agg(
+        (F.min("ts") - F.make_dt_interval((user % 20).cast("int"))).alias("first_seen")
+    ).select(F.concat(F.lit("u"), user).alias("url"), "first_seen", (user % 2 == 0).alias("was_briefed"))
+    return _stream_visits(t, Params(dedup_days=4, briefed_dedup_days=12), visited)
+
+
+@query(
+    "M1_stream_dedup_week",
+    "SELECT 'u'||user_id||'/'||k AS url FROM ev WHERE ts IS NOT NULL GROUP BY user_id, k",
+    ["ev"],
+)
+def m1_week(t):
+    """The window is longer than the events span, so every url comes once."""
+    k = F.get_json_object("props", "$.k")
+    rows = t.events.select(F.concat(F.lit("u"), "user_id", F.lit("/"), k).alias("url"), "ts", F.col("event_id").alias("seq"))
+    start = lambda stream, root: (
+        visits.stream_dedup_week(stream, 366)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .option("path", f"{root}/out")
+        .trigger(availableNow=True)
+        .start()
+    )
+    root = replay(t, "week", rows, F.col("ts"), [F.lit(x).cast("timestamp") for x in BATCHES[:-1]], start)
+    return t.spark.read.schema(rows.schema).parquet(f"{root}/out").select("url")
+
+
 @query(
     "M2_stream_failures",
     "SELECT url, phase, arg_max(error_type, seq) AS error_type, count(*)-1 AS retry_count FROM failures_in GROUP BY url, phase",

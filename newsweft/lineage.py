@@ -80,3 +80,9 @@ def qualified(spark: SparkSession, path: str) -> str:
     uri = target.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(target).toString()
     scheme, _, rest = uri.partition(":")
     return uri if rest.startswith("//") else f"{scheme}://{rest}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)

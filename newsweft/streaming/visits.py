@@ -7,24 +7,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import (
-    BooleanType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampType,
-)
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
+from newsweft.lineage import exists
 from newsweft.operators.upsert import upsert_failures
 from newsweft.params import Params
 from newsweft.schemas import FAILURES
 
 DAY_MS = 86_400_000
-_WINDOW = StructType(
-    [StructField("first_seen", TimestampType()), StructField("was_briefed", BooleanType())]
-)
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_WINDOW = "first_seen timestamp, was_briefed boolean"
 _OUT = StructType(
     [
         StructField("url", StringType()),
@@ -34,27 +28,37 @@ _OUT = StructType(
 )
 
 
-def visit_windows(params: Params):
-    """State function per url: when its window began and whether it was briefed since.
+class VisitWindows(StatefulProcessor):
+    """Per url: when its window began and whether it was briefed since.
 
     Within one micro-batch every entry of a url sees the state the batch started with, as a batch
     run would. ``kind`` is ``entry`` for candidates and ``briefed`` for urls put into a briefing.
     With ``dedup_days`` of 0 no window ever ends, as in a batch run; then state is kept for ever.
+    A timer drops a window that can hold nothing back any more.
     """
-    days, briefed_days = params.dedup_days, params.briefed_dedup_days
-    longest = max(days, briefed_days)
 
-    def fold(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        began, briefed = state.get if state.exists else (None, False)
-        span = pd.Timedelta(days=briefed_days if briefed else days)
+    def __init__(self, params: Params) -> None:
+        self.days, self.briefed_days = params.dedup_days, params.briefed_dedup_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", _WINDOW)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        rows = initialState.dropna(subset=["first_seen"])
+        if len(rows):
+            last = rows.sort_values("first_seen").iloc[-1]
+            self._keep(last["first_seen"], bool(last["was_briefed"]), timerValues)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        began, briefed = self.window.get() or (None, False)
+        began = None if began is None else pd.Timestamp(began)
+        span = pd.Timedelta(days=self.briefed_days if briefed else self.days)
         restart, marked = None, None
         for pdf in rows:
             entries = pdf[pdf["kind"] == "entry"]
             if began is not None:
-                entries = entries[entries["ts"] - span >= pd.Timestamp(began)] if days > 0 else entries[:0]
+                entries = entries[entries["ts"] - span >= began] if self.days > 0 else entries[:0]
             if len(entries):
                 last = entries["ts"].max()
                 restart = last if restart is None else max(restart, last)
@@ -63,69 +67,98 @@ def visit_windows(params: Params):
             if len(marks):
                 marked = marks.max() if marked is None else max(marked, marks.max())
         if restart is not None:
-            began, briefed = restart.to_pydatetime(), False
-        if marked is not None and began is not None and marked >= pd.Timestamp(began):
+            began, briefed = restart, False
+        if marked is not None and began is not None and marked >= began:
             briefed = True
         if began is not None:
-            state.update((began, briefed))
-            if days <= 0:
-                return
-            ends = int(pd.Timestamp(began).timestamp() * 1000) + longest * DAY_MS
-            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+            self._keep(began, briefed, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
-    return fold
+    def _keep(self, began: pd.Timestamp, briefed: bool, timerValues) -> None:
+        self.window.update((pd.Timestamp(began).to_pydatetime(), briefed))
+        if self.days <= 0:
+            return
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        ends = int(pd.Timestamp(began).timestamp() * 1000) + max(self.days, self.briefed_days) * DAY_MS
+        self.handle.registerTimer(max(ends, timerValues.getCurrentWatermarkInMs() + 1))
 
 
-def stream_filter_new(rows: DataFrame, params: Params) -> DataFrame:
+def stream_filter_new(rows: DataFrame, params: Params, visited: DataFrame | None = None) -> DataFrame:
     """Entries of a stream ``(url, ts, seq, kind)`` that are outside their url's window.
 
-    State goes when the event time has passed the longer window; only rows that late are dropped.
+    ``visited(url, first_seen, was_briefed)``, unique by url, is what was seen before the stream
+    began: it becomes the state of the first batch, so the stream goes on where batch runs ended.
+    Later starts go on from the checkpoint and must hand over a table of the same schema. State goes
+    when the event time has passed the longer window; only rows that late are dropped. Typed state
+    with timers needs the RocksDB store, which is set for the session.
     """
+    rows.sparkSession.conf.set(STATE_STORE, ROCKS)
     longest = max(params.dedup_days, params.briefed_dedup_days)
+    seeded = None if visited is None else visited.select("url", "first_seen", "was_briefed").groupBy("url")
     return (
         rows.withWatermark("ts", f"{longest} days")
         .groupBy("url")
-        .applyInPandasWithState(
-            visit_windows(params), _OUT, _WINDOW, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(VisitWindows(params), _OUT, "append", "EventTime", seeded)
     )
 
 
 def stream_dedup_week(rows: DataFrame, days: int = 7) -> DataFrame:
-    """The single-window form: the first row of a url within ``days`` of event time."""
+    """The single-window form: one row of a url until the watermark, ``days`` behind the latest time, has passed its window."""
     return rows.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["url"])
 
 
 class FailureTable:
-    """Failure table kept as one snapshot per micro-batch; a replayed batch writes the same one."""
+    """Failures in hashed parts, of which a micro-batch rewrites those that its keys fall into.
+
+    Each row keeps the batch that changed it last. A batch that is replayed after a crash finds its
+    own number on the rows it had reached and leaves them, so every failure counts once even if only
+    some parts had been replaced.
+    """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64) -> None:
         self.spark = spark
         self.root = root
+        self.parts = parts
+        self._schema = f"{FAILURES}, batch bigint, part int"
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        base = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(base):
-            return []
-        found = []
-        for status in fs.listStatus(base):
-            name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
-            if name.startswith("v=") and fs.exists(done):
-                found.append(int(name[2:]))
-        return sorted(found)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        held = [v for v in self._versions() if before is None or v < before]
-        if not held:
-            return self.spark.createDataFrame([], FAILURES)
-        return self.spark.read.schema(FAILURES).parquet(f"{self.root}/v={held[-1]}")
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("url", "phase"), F.lit(self.parts)).cast("int")
+
+    def _rows(self) -> DataFrame:
+        if not exists(self.spark, self.root):
+            return self.spark.createDataFrame([], self._schema)
+        return self.spark.read.schema(self._schema).parquet(self.root)
+
+    def read(self) -> DataFrame:
+        return self._rows().drop("batch", "part")
 
     def apply(self, batch: DataFrame, batch_id: int, now: Column) -> None:
-        nxt = upsert_failures(self.read(before=batch_id), batch, now)
-        nxt.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
+        placed = batch.withColumn("part", self._part())
+        touched = [r[0] for r in placed.select("part").distinct().collect()]  # as many as parts at most
+        if not touched:
+            return
+        held = self._rows().filter(F.col("part").isin(touched))
+        done = held.filter(F.col("batch") >= batch_id).select("url", "phase")
+        fresh = batch.join(done, ["url", "phase"], "left_anti")
+        changed = fresh.select("url", "phase").distinct().withColumn("__changed", F.lit(True))
+        nxt = (
+            upsert_failures(held.drop("batch", "part"), fresh, now)
+            .join(changed, ["url", "phase"], "left")
+            .join(held.select("url", "phase", F.col("batch").alias("__was")), ["url", "phase"], "left")
+            .withColumn("batch", F.when(F.col("__changed"), F.lit(batch_id)).otherwise(F.col("__was")).cast("long"))
+            .drop("__changed", "__was")
+            .withColumn("part", self._part())
+        )
+        nxt.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "part"
+        ).parquet(self.root)
 
 
 def stream_failures(failures: DataFrame, table: FailureTable, now: Column | None = None):

@@ -13,7 +13,6 @@ from newsweft.operators import components, feedback, graph, select, vectors
 from newsweft.operators.skew import number_rows, pairs_within, top_per_group
 from newsweft.params import Params
 from newsweft.plans.staging import StageStore
-from newsweft.streaming import visits
 
 DAY = dt.timedelta(days=1)
 T0 = dt.datetime(2024, 1, 31)
@@ -221,42 +220,6 @@ def test_stage_store_resumes(spark, tmp_path):
     assert store.resume_from() == "dedup" and store.load()["x"].count() == 3
 
 
-class _State:
-    def __init__(self):
-        self.value, self.hasTimedOut = None, False
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, v):
-        self.value = v
-
-    def setTimeoutTimestamp(self, ts):
-        self.timeout = ts
-
-    def getCurrentWatermarkMs(self):
-        return 0
-
-
-def test_stream_windows_follow_the_batch_rule():
-    import pandas as pd
-
-    fold, state = visits.visit_windows(Params()), _State()
-
-    def batch(*events):
-        pdf = pd.DataFrame(
-            [("u", pd.Timestamp("2024-01-01") + d * DAY, i, k) for i, (d, k) in enumerate(events)],
-            columns=["url", "ts", "seq", "kind"],
-        )
-        return sum(len(x) for x in fold(("u",), iter([pdf]), state))
-
-    assert batch((0, "entry"), (0, "entry")) == 2
-    assert batch((6, "entry")) == 0
-    assert batch((8, "entry"), (8, "briefed")) == 1
-    assert batch((20, "entry")) == 0
-    assert batch((69, "entry")) == 1
-
-
 def test_scratch_tables_go_by_handle(spark):
     import os
 
