@@ -342,9 +342,9 @@ def m2(t):
     return table(root).read().select("url", "phase", "error_type", "retry_count")
 
 
-@query("P2_daily_run")
-def daily_run(t):
-    """All stages over the documents as feeds and the pages as article bodies."""
+def daily_inputs(t):
+    """State, payloads, sources, pages and forms: documents as feeds, and as bodies of their entries."""
+    from newsweft.catalog.briefing_queries import forms
     from newsweft.catalog.source_queries import landed, rss_payload
 
     spark = t.spark
@@ -369,10 +369,14 @@ def daily_run(t):
         edges=t.sparse_edges.limit(0), edge_sources=empty("a string, b string, url string, seq bigint"),
         failures=empty(FAILURES), feedback=t.feedback.select("briefing_date", "article_number", "title", "read", "interest", "quality", "processed_at"),
     )
-    from newsweft.catalog.briefing_queries import forms
+    return state, payloads, sources, pages, forms(t)
 
-    store = StageStore(spark, Scratch(spark, "daily").root, "2024-01-31")
+
+@query("P2_daily_run")
+def daily_run(t):
+    """All stages over the documents as feeds and the pages as article bodies."""
+    store = StageStore(t.spark, Scratch(t.spark, "daily").root, "2024-01-31")
     _, md, funnel = run_day(
-        state, payloads, sources, pages, forms(t), INTERESTS, Params(), store, briefing_date="2024-01-31", now=now()
+        *daily_inputs(t), INTERESTS, Params(), store, briefing_date="2024-01-31", now=now(), duration_s=0.0
     )
     return md.select("briefing_date", "md")

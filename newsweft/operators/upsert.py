@@ -21,12 +21,17 @@ def replace_rows(current: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
     return kept.select(*current.columns).unionByName(incoming.select(*current.columns))
 
 
-def upsert_visited(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """A new visit overwrites the row and restarts its window."""
+def visits(incoming: DataFrame, now: Column) -> DataFrame:
+    """The last visit of each url, with a window that begins now."""
     fresh = last_per_key(incoming, ["url"]).withColumns(
         {"first_seen": now, "was_briefed": F.lit(False)}
     )
-    return replace_rows(current, fresh, ["url"])
+    return fresh.drop("seq")
+
+
+def upsert_visited(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """A new visit overwrites the row and restarts its window."""
+    return replace_rows(current, visits(incoming, now), ["url"])
 
 
 def mark_briefed(current: DataFrame, urls: DataFrame) -> DataFrame:
@@ -47,9 +52,21 @@ def record_run(runs: DataFrame, row: DataFrame) -> DataFrame:
     return replace_rows(runs, row, ["run_id"])
 
 
+def source_visits(incoming: DataFrame, now: Column) -> DataFrame:
+    return last_per_key(incoming, ["source_name"]).withColumn("last_run_at", now).drop("seq")
+
+
 def record_source_run(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    fresh = last_per_key(incoming, ["source_name"]).withColumn("last_run_at", now)
-    return replace_rows(current, fresh, ["source_name"])
+    return replace_rows(current, source_visits(incoming, now), ["source_name"])
+
+
+def failure_changes(incoming: DataFrame) -> DataFrame:
+    """Per (url, phase): how often it failed, its last error and what it was called first."""
+    return incoming.groupBy("url", "phase").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max_by(F.struct("error_type", "error_message", "run_id"), "seq").alias("last"),
+        F.min_by(F.struct("title", "source_name"), "seq").alias("first"),
+    )
 
 
 def upsert_failures(current: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
@@ -58,11 +75,7 @@ def upsert_failures(current: DataFrame, incoming: DataFrame, now: Column) -> Dat
     The error comes from the last row, title and source stay those of the first one ever seen.
     """
     key = ["url", "phase"]
-    inc = incoming.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max_by(F.struct("error_type", "error_message", "run_id"), "seq").alias("last"),
-        F.min_by(F.struct("title", "source_name"), "seq").alias("first"),
-    )
+    inc = failure_changes(incoming)
     cur = current.withColumn("known", F.lit(True))
     hit = F.col("last").isNotNull()
     pick = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old))
@@ -88,14 +101,20 @@ def remove_failures(failures: DataFrame, urls: DataFrame | None = None) -> DataF
     return failures.join(urls.select("url"), "url", "left_anti")
 
 
+def feedback_changes(incoming: DataFrame, articles: DataFrame) -> DataFrame:
+    """Per known article: the last value that is given for each field."""
+    key = ["briefing_date", "article_number"]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}")
+    inc = incoming.groupBy(*key).agg(last("read"), last("interest"), last("quality"))
+    return inc.join(articles.select(*key, F.col("title").alias("article_title")), key)
+
+
 def merge_feedback(
     current: DataFrame, incoming: DataFrame, articles: DataFrame, now: Column
 ) -> DataFrame:
     """Fields an update leaves empty keep their value; updates of unknown articles are dropped."""
     key = ["briefing_date", "article_number"]
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}")
-    inc = incoming.groupBy(*key).agg(last("read"), last("interest"), last("quality"))
-    inc = inc.join(articles.select(*key, F.col("title").alias("article_title")), key)
+    inc = feedback_changes(incoming, articles)
     hit = F.col("article_title").isNotNull()
     return current.join(inc, key, "full_outer").select(
         *key,

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Stages in running order.
 STAGES = (
@@ -12,16 +16,22 @@ STAGES = (
 
 
 class StageStore:
-    """Tables under ``root/run_id=…/stage=…/name=…``."""
+    """Tables under ``root/run_id=…/stage=…/try=…/name=…``.
+
+    A stage counts as finished when its marker is there. The marker names the try that wrote the
+    tables, and their schemas; it is written aside and renamed, so it is whole or absent. Tables of a
+    try that broke off are never read.
+    """
 
     def __init__(self, spark: SparkSession, root: str, run_id: str) -> None:
         self.spark = spark
+        self.run_id = run_id
         self.base = f"{root}/run_id={run_id}"
 
-    def _path(self, stage: str, name: str) -> str:
+    def _stage(self, stage: str) -> str:
         if stage not in STAGES:
             raise ValueError(f"unknown stage {stage}")
-        return f"{self.base}/stage={stage}/name={name}"
+        return f"{self.base}/stage={stage}"
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -29,43 +39,62 @@ class StageStore:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write_stage(self, stage: str, **tables: DataFrame) -> dict[str, DataFrame]:
-        """Write the outputs of a stage and return them read back."""
-        out = {}
+        """Write the outputs of a stage, mark it as finished and return them read back."""
+        folder = f"{self._stage(stage)}/try={uuid.uuid4().hex[:12]}"
         for name, df in tables.items():
-            path = self._path(stage, name)
-            df.write.mode("overwrite").parquet(path)
-            out[name] = self.spark.read.schema(df.schema).parquet(path)
-        marker, fs = self._fs(f"{self.base}/stage={stage}/_DONE")
-        fs.create(marker, True).close()
-        return out
+            df.write.parquet(f"{folder}/name={name}")
+        about = {"folder": folder, "tables": {name: df.schema.json() for name, df in tables.items()}}
+        self._mark(stage, json.dumps(about))
+        return self.load_stage(stage)
+
+    def _mark(self, stage: str, text: str) -> None:
+        aside, fs = self._fs(f"{self._stage(stage)}/.{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        marker, _ = self._fs(f"{self._stage(stage)}/_DONE")
+        fs.delete(marker, False)
+        if not fs.rename(aside, marker):
+            raise OSError(f"cannot mark stage {stage}")
+
+    def _marker(self, stage: str) -> dict | None:
+        marker, fs = self._fs(f"{self._stage(stage)}/_DONE")
+        if not fs.exists(marker):
+            return None
+        lines = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        stream = fs.open(marker)
+        text = lines.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
 
     def finished(self) -> list[str]:
+        """The finished stages up to the first one that is not."""
         done = []
         for stage in STAGES:
-            p, fs = self._fs(f"{self.base}/stage={stage}/_DONE")
-            if fs.exists(p):
-                done.append(stage)
+            if self._marker(stage) is None:
+                break
+            done.append(stage)
         return done
 
     def resume_from(self) -> str | None:
         """The stage after the last finished one; None when all are done."""
-        done = self.finished()
-        if not done:
-            return STAGES[0]
-        after = STAGES.index(done[-1]) + 1
+        after = len(self.finished())
         return STAGES[after] if after < len(STAGES) else None
 
+    def load_stage(self, stage: str) -> dict[str, DataFrame]:
+        about = self._marker(stage)
+        if about is None:
+            raise ValueError(f"stage {stage} is not finished")
+        read = lambda name, schema: self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(
+            f"{about['folder']}/name={name}"
+        )
+        return {name: read(name, schema) for name, schema in about["tables"].items()}
+
     def load(self) -> dict[str, DataFrame]:
         """All finished outputs; a later stage's table replaces an earlier one of the same name."""
         merged: dict[str, DataFrame] = {}
         for stage in self.finished():
-            p, fs = self._fs(f"{self.base}/stage={stage}")
-            for status in fs.listStatus(p):
-                leaf = status.getPath().getName()
-                if leaf.startswith("name="):
-                    merged[leaf.removeprefix("name=")] = self.spark.read.parquet(
-                        f"{self.base}/stage={stage}/{leaf}"
-                    )
+            merged |= self.load_stage(stage)
         return merged
 
     def clear(self) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsweft.functions.concepts import assign_category
 from newsweft.schemas import EDGE_SOURCES, EDGES, NODES
+from newsweft.sources.json_elements import RANGE_BYTES, json_elements
 
 
 def read_briefings(spark: SparkSession, path: str) -> DataFrame:
@@ -26,18 +27,21 @@ def _stored_time(c):
     return F.expr(f"try_cast({c} AS timestamp)")
 
 
-def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Node-link JSON; nodes without a category get one from their name."""
-    schema = (
-        "nodes array<struct<id string, first_seen string, last_seen string, encounter_count bigint, "
-        "familiarity double, category string, interest_score double, interest_count bigint>>, "
-        "links array<struct<source string, target string, relationship_type string, "
-        "first_seen string, source_articles array<string>>>, "
-        "edges array<struct<source string, target string, relationship_type string, "
-        "first_seen string, source_articles array<string>>>"
-    )
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    nodes = doc.select(F.inline("nodes")).select(
+_ELEMENT = (
+    "id string, source string, target string, relationship_type string, first_seen string, last_seen string, "
+    "encounter_count bigint, familiarity double, category string, interest_score double, interest_count bigint, "
+    "source_articles array<string>"
+)
+
+
+def read_graph_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Node-link JSON; nodes without a category get one from their name.
+
+    A file is read in ranges by as many tasks; an element with an ``id`` is a node, one with
+    ``source`` and ``target`` a link.
+    """
+    found = json_elements(spark, path, range_bytes).select(F.from_json("element", _ELEMENT).alias("e")).select("e.*")
+    nodes = found.filter("id is not null").select(
         F.col("id").alias("concept"),
         _stored_time("first_seen").alias("first_seen"),
         _stored_time("last_seen").alias("last_seen"),
@@ -47,7 +51,7 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         "interest_score",
         "interest_count",
     )
-    edges = doc.select(F.inline(F.coalesce("links", "edges"))).select(
+    edges = found.filter("id is null and source is not null and target is not null").select(
         F.least("source", "target").alias("a"),
         F.greatest("source", "target").alias("b"),
         "relationship_type",
