@@ -4,7 +4,7 @@ A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) who
 runs of ``[^\\x20\\x09-\\x0D]``; shorter texts have their whole word sequence as one shingle. Documents
 are linked when ``100 * intersection >= 75 * union``, and a component's smallest doc_id stays.
 
-1. Documents with the same set (by a 128-bit digest) form a class; one of each goes on.
+1. Documents with the same set (by a 128-bit digest) form a class with a number; one of each goes on.
 2. A class has ``COORDINATES`` minima. Two classes are worth comparing when ``MATCHES`` of them agree,
    so they agree on one of the ``COORDINATES - MATCHES + 1`` rarest of either: only this prefix is
    posted. Frequent coordinate values, such as those of a passage that many documents share, come last
@@ -15,15 +15,16 @@ are linked when ``100 * intersection >= 75 * union``, and a component's smallest
    texts that resemble each other just too little would give every pair here, so these members meet
    again on the rarest of their shingles: two linked sets share one of the first 25 per cent (of the
    larger) and 14 per cent (of the smaller) in the order of rarity, and late meetings are skipped when
-   too few shingles follow. Members of one component need no further proof.
+   too few shingles follow. Members of one component need no further proof. These bounds are exact;
+   ``FEWEST`` equal coordinates are asked for all the same, to spare the comparison of full sets.
 
-Whether a true link is seen depends on chance only through step 2: at a similarity of exactly 0.75 the
-number of agreeing coordinates has mean 48 and deviation 3.5, so fewer than ``MATCHES`` = 36 occur about
-three times in 10,000, and far less often above.
+At a similarity of exactly 0.75 the number of equal coordinates has mean 48 and deviation 3.5: fewer
+than ``MATCHES`` = 31 occur about once in a million, fewer than ``FEWEST`` = 22 once in 10^12, and far
+less often above 0.75.
 
 Null and empty texts have an empty set, are linked with nothing and stay. A null ``doc_id`` is a
 document of its own and stays. Rows that repeat a ``doc_id`` are one document with the union of their
-links. An empty table gives an empty result. Other columns are not read.
+links, whatever their texts are. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ from newsweft.llm.store import saved
 
 WORDS = 5
 COORDINATES = 64
-MATCHES = 36
+MATCHES = 31
+FEWEST = 22  # equal coordinates of pairs that share their rarest shingles
 SPOKES = 256  # pairs of one hub that a task compares in one go
 _ODD = np.random.default_rng(20).integers(0, 2**63, size=COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -80,7 +82,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, signature binary"
+SIGNED = "doc_id long, text_md5 string, n_shingles long, digest binary, signature binary"
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -90,13 +92,19 @@ def signed(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": frame["doc_id"].astype("Int64"),
+                    "text_md5": frame["text_md5"],
                     "n_shingles": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                     "signature": [signature(s).tobytes() for s in sets],
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, SIGNED)
+    return _named(docs).mapInPandas(rows, SIGNED)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_md5: what tells rows apart that share a doc_id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -130,8 +138,8 @@ def postings(classes: DataFrame) -> DataFrame:
     )
 
 
-def _agree(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose signatures agree often enough."""
+def _agree(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """Pairs (a, b) whose sizes allow the similarity and whose signatures agree in ``matches`` places."""
     side = classes.select("doc", "n_shingles", "signature")
     for name in ("a", "b"):
         pairs = pairs.join(side.select(*(F.col(c).alias(f"{c}_{name}") for c in side.columns)), F.col(name) == F.col(f"doc_{name}"))
@@ -142,7 +150,7 @@ def _agree(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         left, right = (np.frombuffer(b"".join(s), dtype=np.uint32).reshape(-1, COORDINATES) for s in (x, y))
         return pd.Series((left == right).sum(axis=1).astype(np.int32))
 
-    return pairs.where(small * 100 >= large * 75).where(agreeing("signature_a", "signature_b") >= MATCHES).select("a", "b")
+    return pairs.where(small * 100 >= large * 75).where(agreeing("signature_a", "signature_b") >= matches).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -250,35 +258,43 @@ def rare_shingle_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     return x.join(y, "shingle").where(fit).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
-def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) over the classes, for those that are linked."""
+def class_components(classes: DataFrame, docs: DataFrame, same: DataFrame) -> DataFrame:
+    """(node, root) over the classes, for those that are linked. ``same`` (a, b) are links known before."""
     lists = saved(postings(classes), "postings")
-    met = lists.select("doc").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    texts = saved(texts.join(met, "doc", "left_semi"), "texts")
+    met = classes.join(lists.select("doc").distinct(), "doc", "left_semi").select("doc", "one.doc_id", "one.text_md5")
+    # rows that repeat an id with its text would come twice
+    texts = saved(_named(docs).join(met, ["doc_id", "text_md5"]).select("doc", "text").dropDuplicates(["doc"]), "texts")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        likely = saved(_agree(pairs.distinct(), classes), "likely")
+    def linked(pairs: DataFrame, matches: int) -> DataFrame:
+        likely = saved(_agree(pairs.distinct(), classes, matches), "likely")
         return saved(confirmed(likely, texts), "confirmed")
 
-    links = linked(star_pairs(lists))
+    links = linked(star_pairs(lists), MATCHES).unionByName(same)
     named = _with_roots(lists.select("token", "doc"), components(links))
     members = saved(named.join(_open(named), "token", "left_semi").select("doc", "root").distinct(), "open")
-    return components(links.unionByName(linked(rare_shingle_pairs(members, texts))))
+    return components(links.unionByName(linked(rare_shingle_pairs(members, texts), FEWEST)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = saved(signed(docs), "signed")
     filled = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = saved(classes, "classes")
-    roots = class_components(classes, docs)
-    named = _with_roots(classes.select("digest", "doc"), roots).select("digest", "root")
-    alone = rows.where("n_shingles = 0 or doc_id is null").withColumn("root", F.col("doc_id"))
-    return filled.join(named, "digest").unionByName(alone.select("digest", *[c for c in rows.columns if c != "digest"], "root")).select(
-        "doc_id", "n_shingles", F.col("root").alias("component_id"), F.col("root").eqNullSafe(F.col("doc_id")).alias("kept")
+    classes = filled.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "text_md5")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
+    # numbered while written, once
+    classes = saved(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    own = saved(filled.join(classes.select("digest", "doc"), "digest").select("doc_id", "doc").distinct(), "own")
+    several = own.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("doc_id", "a")
+    same = own.join(several, "doc_id").where("doc <> a").select("a", F.col("doc").alias("b"))
+    roots = class_components(classes, docs, same)
+    named = _with_roots(classes.select("digest", "doc", "one.doc_id"), roots)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = named.select("digest", "root").join(least, "root").select("digest", F.col("least").alias("root"))
+    columns = ["digest", *[c for c in rows.columns if c != "digest"], "root"]
+    alone = rows.where("n_shingles = 0 or doc_id is null").withColumn("root", F.col("doc_id"))
+    every = filled.join(named, "digest").select(*columns).unionByName(alone.select(*columns))
+    return every.select("doc_id", "n_shingles", F.col("root").alias("component_id"), F.col("root").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Every entity found in a text is replaced by one of the same kind and format, dra
 its canonical value: the same entity gets the same surrogate everywhere, another key gives other ones.
 Digits stay digits, letters keep their case, punctuation stays where it was; card numbers keep their
 first digit and stay valid if they were, account numbers get matching check digits, addresses keep valid
-octets, and names keep title, number of words, script and the gender that the title tells.
+octets, and names keep title, number of words, script and the gender that a title tells. A name is the
+same with another title or full stops, unless titles tell two genders.
 
 Surrogates are checked over the whole corpus: two entities never share one, and none is itself an entity
 of the corpus. Entities that clash are drawn again until none do, after some draws in a longer format
@@ -40,9 +41,9 @@ TITLES = {
     "n": ("Dr", "Prof"),
 }
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<![.-])",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63}){1,8}(?<![.-])",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|\b(?:password|passwd|secret|api_key|apikey|token) ?[=:] ?(?:\"" + SOLID + r"[^\"\r\n]{8,}+(?=\")|'" + SOLID + r"[^'\r\n]{8,}+(?='(?![\p{L}\p{N}]))|[\"']?" + SOLID + VALUE + ")",
+    r"|(?<![\p{L}\p{N}])(?i:password|passwd|secret|api[_-]?key|token) ?[=:] ?(?:\"" + SOLID + r"[^\"\r\n]{8,}+(?=\")|'" + SOLID + r"[^'\r\n]{8,}+(?='(?![\p{L}\p{N}]))|[\"']?" + SOLID + VALUE + ")",
     "phone": r"(?<![0-9+])\+[0-9]{1,3} \([0-9]{2,4}\) [0-9]{3,4}-[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ -][0-9]{2,4}){3,4}(?![0-9])"
     r"|(?<![0-9])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "social": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -52,7 +53,7 @@ KINDS = {
     "name": r"(?<!\p{L})(?:" + "|".join(t for of in TITLES.values() for t in of) + r")\.? " + WORD + "(?: " + WORD + ")*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-LABEL = r"^[a-z_]+ ?[=:] ?[\"']?"  # what stands before a secret's value
+LABEL = r"^[A-Za-z_-]+ ?[=:] ?[\"']?"  # what stands before a secret's value
 # Syllables and endings of invented names.
 SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe fi ga ge go ha he hi ka ke ki la le li lo ma me mi mo na ne ni no pa pe pi ra re ri ro sa se si so ta te ti to va ve vi".split(), {"f": "na", "m": "ron", "n": "den"}),
@@ -67,14 +68,42 @@ def kind_of(value: Column) -> Column:
 
 def may_hold_entity(text: Column) -> Column:
     """True for every text with an entity, by searches much cheaper than its pattern."""
-    marks = [t for of in TITLES.values() for t in of] + ["pass", "secret", "api", "token", "AKIA"]
-    return reduce(lambda out, m: out | text.contains(m), marks, text.rlike("[0-9@]"))
+    marks = [t for of in TITLES.values() for t in of] + ["AKIA"]
+    named = text.rlike("[=:]") & text.rlike("(?i)passw|secret|api[_-]?key|token")
+    return reduce(lambda out, m: out | text.contains(m), marks, text.rlike("[0-9@]") | named)
+
+
+def title_gender(value: Column) -> Column:
+    """f, m or n by the title of a name."""
+    title = F.regexp_replace(F.substring_index(value, " ", 1), r"\.$", "")
+    return F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m").otherwise("n")
+
+
+def bare_name(value: Column) -> Column:
+    """The words of a name without its title and full stops."""
+    return F.regexp_replace(F.regexp_replace(value, r"^\S+ ", ""), r"\.", "")
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """Entities with the same canonical value are the same one. What ends a sentence after a secret does not count."""
+    """Entities with the same canonical value are the same one, but for names, which have a gender too
+    (``with_gender``). What ends a sentence after a secret does not count."""
     bare = F.regexp_replace(value, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
-    return F.when(kind == "email", F.lower(value)).when(kind == "secret", bare).when(kind.isin("phone", "card", "account", "social"), F.regexp_replace(value, "[^0-9A-Za-z+]", "")).otherwise(value)
+    return (
+        F.when(kind == "email", F.lower(value))
+        .when(kind == "secret", bare)
+        .when(kind == "name", bare_name(value))
+        .when(kind.isin("phone", "card", "account", "social"), F.regexp_replace(value, "[^0-9A-Za-z+]", ""))
+        .otherwise(value)
+    )
+
+
+def with_gender(places: DataFrame) -> DataFrame:
+    """Adds ``gender``. Mr and Mrs Smith are two people; a title without a gender, like Dr, goes with
+    the one whose gender the corpus tells (f, if it tells both), so Dr Smith is one of them."""
+    told = places.where("kind = 'name'").withColumn("gender", title_gender(F.col("value")))
+    known = told.where("gender <> 'n'").groupBy("canon").agg(F.min("gender").alias("known"))
+    names = told.join(known, "canon", "left").withColumn("gender", F.when(F.col("gender") == "n", F.coalesce("known", "gender")).otherwise(F.col("gender")))
+    return places.where("kind <> 'name'").withColumn("gender", F.lit("")).unionByName(names.drop("known"))
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -106,12 +135,13 @@ def _is_swapped(c: Column) -> Column:
     return c.between("0", "9") | c.between("a", "z") | c.between("A", "Z")
 
 
+OTHER_SCRIPT = r"[\p{L}\p{M}\p{N}&&[^\x00-\x7F]]"
 HEX = "^(?=.*[a-f])[0-9a-f]+$"
 
 
 def _secret(value: Column, digest: Column, keep: Column) -> Column:
     """What follows the first ``keep`` characters, as ``_remapped`` but in time linear in the length. Letters and digits of other scripts become Latin letters."""
-    rest = F.regexp_replace(F.substring(value, keep + 1, F.length(value)), r"[\p{L}\p{M}\p{N}&&[^\x00-\x7F]]", "a")
+    rest = F.regexp_replace(F.substring(value, keep + 1, F.length(value)), OTHER_SCRIPT, "a")
     characters = F.regexp_extract_all(rest, F.lit("(?s)."), F.lit(0))
     parts = F.struct(characters.alias("all"), digest.alias("digest"), rest.rlike(HEX).alias("hex"))
     new = _once(parts, lambda p: F.array_join(F.transform(p["all"], lambda c, i: _swapped(c, _byte(p["digest"], i), p["hex"])), ""))
@@ -198,10 +228,8 @@ def _ip(value: Column, digest: Column, extra: Column) -> Column:
     return F.concat(F.array_join(F.transform(F.split(value, r"\."), octet), "."), fifth)
 
 
-def _name(value: Column, digest: Column, extra: Column) -> Column:
+def _name(value: Column, digest: Column, extra: Column, gender: Column) -> Column:
     words = F.split(value, " ")
-    title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    gender = F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m").otherwise("n")
     rest = F.slice(words, F.lit(2), F.size(words))
 
     def invented(script: str) -> Column:
@@ -217,46 +245,48 @@ def _name(value: Column, digest: Column, extra: Column) -> Column:
     return F.concat_ws(" ", F.element_at(words, 1), F.array_join(spelled, " "))
 
 
-def surrogate(kind: Column, value: Column, canon: Column, attempt: Column, key: str) -> Column:
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), canon), 256)
+def surrogate(kind: Column, value: Column, canon: Column, gender: Column, attempt: Column, key: str) -> Column:
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), canon, gender), 256)
     label = F.regexp_extract(value, LABEL, 0)
     keep = F.when((kind == "secret") & (label != ""), F.length(label)).when(value.startswith("AKIA"), 4).when(value.rlike(r"^\+1 "), 2).when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0))).otherwise(0)
-    remapped = _remapped(value, digest, keep)
+    # letters of other scripts in an address become Latin ones, as no letter may stay
+    latin = F.when(kind == "email", F.regexp_replace(value, OTHER_SCRIPT, "a")).otherwise(value)
+    remapped = _remapped(latin, digest, keep)
     extra = F.greatest(attempt - (OWN_FORMAT - 1), F.lit(0))
     letters, digits = _more(digest, extra, True), _more(digest, extra, False)
-    top = F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0)  # the top-level domain stays
+    top = F.regexp_extract(value, r"\.[\p{L}\p{M}\p{N}-]+$", 0)  # the top-level domain stays
     return (
         F.when(kind == "secret", F.concat(F.substring(value, F.lit(1), keep), letters, _secret(value, digest, keep)))
         .when(kind == "email", F.concat(letters, F.substring(remapped, F.lit(1), F.length(value) - F.length(top)), top))
         .when(kind == "card", _card(value, digest))
         .when(kind == "account", _account(value, digest))
         .when(kind == "ip", _ip(value, digest, extra))
-        .when(kind == "name", _name(value, digest, extra))
+        .when(kind == "name", _name(value, digest, extra, gender))
         .otherwise(F.concat(remapped, digits))
     )
 
 
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
-    new = surrogate(F.col("kind"), F.col("shown"), F.col("canon"), F.col("attempt"), key)
+    new = surrogate(F.col("kind"), F.col("shown"), F.col("canon"), F.col("gender"), F.col("attempt"), key)
     return entities.withColumn("new_canon", canonical(F.col("kind"), new))
 
 
 def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canon, attempt: the draw at which each entity's surrogate clashes with nothing.
+    """kind, canon, gender, attempt: the draw at which each entity's surrogate clashes with nothing.
 
-    ``entities``: kind, canon, shown (one way the entity is written). Of entities that draw the same
-    surrogate the smallest keeps it; nobody keeps one that is an entity of the corpus."""
+    ``entities``: kind, canon, gender, shown (one way the entity is written). Of entities that draw the
+    same surrogate the smallest keeps it; nobody keeps one that is an entity of the corpus."""
     # by number, as a small table takes long too
-    entities = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "canon")
-    real = entities.select("kind", F.col("canon").alias("new_canon"), F.lit(True).alias("real"))
+    entities = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "canon", "gender")
+    real = entities.select("kind", F.col("canon").alias("new_canon"), F.lit(True).alias("real")).distinct()
     now = saved(_drawn(entities.withColumn("attempt", F.lit(0)), key), "drawn")
     while True:  # every draw after OWN_FORMAT has a larger space, so this ends
-        first = now.groupBy("kind", "new_canon").agg(F.min("canon").alias("owner"))
+        first = now.groupBy("kind", "new_canon").agg(F.min(F.struct("canon", "gender")).alias("owner"))
         seen = now.join(first, ["kind", "new_canon"]).join(real, ["kind", "new_canon"], "left")
-        clash = F.col("real").isNotNull() | (F.col("owner") != F.col("canon"))
-        judged = saved(seen.select("kind", "canon", "shown", "attempt", "new_canon", clash.alias("clash")), "judged")
+        clash = F.col("real").isNotNull() | (F.col("owner") != F.struct("canon", "gender"))
+        judged = saved(seen.select("kind", "canon", "gender", "shown", "attempt", "new_canon", clash.alias("clash")), "judged")
         if judged.where("clash").limit(1).count() == 0:
-            return judged.select("kind", "canon", "attempt")
+            return judged.select("kind", "canon", "gender", "attempt")
         again = _drawn(judged.where("clash").withColumn("attempt", F.col("attempt") + 1).drop("new_canon", "clash"), key)
         now = saved(judged.where("not clash").drop("clash").unionByName(again), "drawn")
 
@@ -266,13 +296,15 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     slim = docs.select("doc_id", "text")
     likely = F.coalesce(may_hold_entity(F.col("text")), F.lit(False))
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))
-    having = saved(slim.where(likely).withColumn("found", found).where(F.size("found") > 0).withColumn("row", F.xxhash64("doc_id", "text")), "having")
+    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x1f"), F.col("text")))
+    having = saved(slim.where(likely).withColumn("found", found).where(F.size("found") > 0).withColumn("row", row), "having")
     places = having.select("row", F.posexplode("found").alias("place", "value"))
-    places = saved(places.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value"))), "places")
-    entities = places.groupBy("kind", "canon").agg(F.min("value").alias("shown"))
+    places = saved(places.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("kind"), F.col("value"))), "found")
+    places = saved(with_gender(places), "places")
+    entities = places.groupBy("kind", "canon", "gender").agg(F.min("value").alias("shown"))
     known = attempts(saved(entities, "entities"), key)
-    new = surrogate(F.col("kind"), F.col("value"), F.col("canon"), F.col("attempt"), key)
-    drawn = places.join(known, ["kind", "canon"]).select("row", "place", new.alias("new"))
+    new = surrogate(F.col("kind"), F.col("value"), F.col("canon"), F.col("gender"), F.col("attempt"), key)
+    drawn = places.join(known, ["kind", "canon", "gender"]).select("row", "place", new.alias("new"))
     # no more than a text has entities
     by_row = drawn.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "new"))).alias("put"))
     pieces = F.split("text", PATTERN, -1)

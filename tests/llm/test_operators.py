@@ -94,6 +94,16 @@ def test_near_duplicates_of_nothing_and_of_repeats(docs):
     assert [r.kept for r in near_dedup.near_duplicates(nameless).collect()] == [True]
 
 
+def test_texts_that_share_an_id_are_linked_through_it(spark):
+    rnd = random.Random(21)
+    a, b, c = (text_of(rnd, 200) for _ in range(3))
+    near = lambda t: " ".join(t.split()[:-1] + ["other"])
+    rows = [(5, a), (5, b), (9, a), (11, near(a)), (10, b), (12, near(b)), (5, b), (20, c), (21, near(c)), (21, ""), (22, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.n_shingles > 0) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == sorted([(5, 5, True)] * 3 + [(i, 5, True) for i in (9, 10, 11, 12)] + [(20, 20, True), (21, 20, True), (21, 21, False), (22, 22, False)])
+
+
 def test_repeated_spans_equal_all_windows(docs, rows):
     got = defaultdict(list)
     for r in suffix_dedup.repeated_spans(docs).collect():
@@ -230,6 +240,25 @@ def test_surrogates_leave_no_rest_of_a_secret_or_name(spark):
     assert got[14].endswith("'s b")
 
 
+def test_surrogates_in_any_case_script_and_title(spark):
+    texts = [
+        "API_KEY=abcdEFGH12345678 b", "Password = hunter2hunter2 b", "db_TOKEN: qwertyuiop b", "müller@example.com b", "MÜLLER@example.com, b",
+        "ж" * 80 + "@пример.рф b", "Mr. John Smith b", "Mr John Smith b", "Dr John Smith b", "Prof. John Smith, b", "Mrs John Smith b", "Dr. Ann Lee b", "Ms Ann Lee b", "Dr J. R. Hill b", "Dr J R Hill b",
+    ]
+    got = [r.text for r in surrogates.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0].startswith("API_KEY=") and got[1].startswith("Password = ") and got[2].startswith("db_TOKEN: ")
+    for old, new in zip(texts[:6], got):
+        assert old != new and new.endswith(" b")
+        secret = re.findall(r"[^ =:@,.]{5,}", old)[-1]
+        assert secret not in new and "ü" not in new and "ж" not in new
+    assert got[3].removesuffix(" b").lower() == got[4].removesuffix(", b").lower() and got[3].endswith("@" + got[3].split("@")[1]) and got[5].endswith(".рф b")
+    person = lambda t: t.removesuffix(" b").rstrip(",").split(" ", 1)[1]
+    assert person(got[6]) == person(got[7]) and got[6].startswith("Mr. ") and got[8].startswith("Dr ")
+    assert person(got[8]) == person(got[9]) == person(got[10]) != person(got[6])  # the title tells two genders, so Dr goes with Mrs
+    assert person(got[11]) == person(got[12]) and person(got[11]).split()[0].endswith("na")
+    assert person(got[13]).replace(".", "") == person(got[14]).replace(".", "")
+
+
 def test_surrogates_of_full_formats_are_distinct(spark):
     values = [f"{1 + i // 729}.{1 + i // 81 % 9}.{1 + i // 9 % 9}.{1 + i % 9}" for i in range(6561)]
     values += [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + ["_@-.com", "Mr Abc"] + [f"token=-------{i}" for i in range(10)]
