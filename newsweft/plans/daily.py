@@ -371,9 +371,10 @@ def run_day(
         state, landed, sources, pages, briefings, interests, params, briefing_date, store.run_id, now,
         options, duration_s,
     )
-    done = set(store.finished())
+    done, current = set(store.finished()), True
     for stage in STAGES:
-        held = store.load_stage(stage) if stage in done else store.write_stage(stage, **STEPS[stage](run))
+        current = current and stage in done  # what follows a stage computed anew is computed anew too
+        held = store.load_stage(stage) if current else store.write_stage(stage, **STEPS[stage](run))
         run.out.update(held)
         if _ends_after(stage, run):
             break

@@ -68,17 +68,13 @@ class StageStore:
         return json.loads(text)
 
     def finished(self) -> list[str]:
-        """The finished stages up to the first one that is not."""
-        done = []
-        for stage in STAGES:
-            if self._marker(stage) is None:
-                break
-            done.append(stage)
-        return done
+        """The finished stages, in running order."""
+        return [stage for stage in STAGES if self._marker(stage) is not None]
 
     def resume_from(self) -> str | None:
         """The stage after the last finished one; None when all are done."""
-        after = len(self.finished())
+        done = self.finished()
+        after = STAGES.index(done[-1]) + 1 if done else 0
         return STAGES[after] if after < len(STAGES) else None
 
     def load_stage(self, stage: str) -> dict[str, DataFrame]:
