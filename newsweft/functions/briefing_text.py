@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsweft.functions.text import (
+    WS,
     blank_to_null,
     let,
     lines,
@@ -54,8 +55,11 @@ def _kind(line: Column) -> Column:
     )
     for name, pattern in _LABELLED.items():
         kind = kind.when(line.rlike(pattern), name)
-    bare = strip(line)
-    plain = F.when(bare == "---", "rule").when(bare != "", "text").otherwise("blank")
+    plain = (
+        F.when(line.rlike(rf"\A[{WS}]*+---[{WS}]*+\z"), "rule")
+        .when(line.rlike(rf"\A[{WS}]*+[^{WS}]"), "text")
+        .otherwise("blank")
+    )
     # most lines are text, and no pattern needs to look at those
     marked = line.startswith("##") | line.contains("**") | line.contains("[Read original](")
     return F.when(marked, kind.otherwise(plain)).otherwise(plain)
@@ -73,7 +77,7 @@ def _summary(rows: Column) -> Column:
         rows,
         lambda r, i: F.struct(
             r["kind"].alias("kind"),
-            strip(r["line"]).alias("line"),
+            r["line"].alias("line"),
             i.alias("i"),
             (
                 r["kind"].isin("concepts", "section", "rule")
@@ -82,19 +86,25 @@ def _summary(rows: Column) -> Column:
         ),
     )
 
-    def cut(a: Column) -> Column:
-        end = F.coalesce(F.get(F.filter(a, lambda r: r["named"]), F.lit(0))["i"], F.size(a))
-        start = F.get(
-            F.filter(a, lambda r: (r["kind"] == "text") & (r["i"] < end)), F.lit(0)
-        )["i"]
-        stop = F.coalesce(
-            F.get(F.filter(a, lambda r: r["stop"] & (r["i"] > start)), F.lit(0))["i"], F.size(a)
-        )
-        kept = F.filter(a, lambda r: (r["kind"] == "text") & r["i"].between(start, stop - 1))
-        text = strip(F.array_join(F.transform(kept, lambda r: r["line"]), " "))
-        return F.when(start.isNull(), F.lit("")).otherwise(text)
+    first = lambda a, test: F.get(F.filter(a, test), F.lit(0))["i"]
+
+    def upto_named(a: Column) -> Column:
+        end = F.coalesce(first(a, lambda r: r["named"]), F.size(a))
+        return F.struct(a.alias("a"), end.alias("end"))
+
+    def from_text(s: Column) -> Column:
+        start = first(s["a"], lambda r: (r["kind"] == "text") & (r["i"] < s["end"]))
+        return F.struct(s["a"].alias("a"), start.alias("start"))
+
+    def upto_stop(s: Column) -> Column:
+        stop = first(s["a"], lambda r: r["stop"] & (r["i"] > s["start"]))
+        count = F.coalesce(stop, F.size(s["a"])) - s["start"]
+        kept = F.filter(F.slice(s["a"], s["start"] + 1, count), lambda r: r["kind"] == "text")
+        return F.array_join(F.transform(kept, lambda r: strip(r["line"])), " ")
 
-    return let(at, cut)
+    # each bound is found once, before the rows are looked at with it
+    bounds = let(let(at, upto_named), from_text)
+    return let(bounds, lambda s: F.when(s["start"].isNull(), F.lit("")).otherwise(upto_stop(s)))
 
 
 def _article(head: Column, rows: Column, deepening: Column) -> Column:

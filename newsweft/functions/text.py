@@ -14,7 +14,7 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 # The line breaks of Python's str.splitlines().
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = r"[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}](?:(?<=\r)\n)?"
 TAG = "<[^>]+>"
 DROPPED_ELEMENT = r"(?is)<(style|script|noscript|svg|head)[\s>].*?</\1>"
 CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
@@ -44,7 +44,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+    """From the first to the last character that is no white space; the class is tried at both ends only."""
+    return F.regexp_extract(c, rf"(?s)\A[{WS}]*+(.*[^{WS}])", 1)
 
 
 def lines(c: Column) -> Column:

@@ -218,7 +218,9 @@ def render_briefing(
             "tips",
         ),
     ]
-    df = reduce(lambda a, b: a.join(b, "briefing_date", "left"), parts, runs)
+    # the parts are grouped by date already, so merging them shuffles nothing more; broadcasting them
+    # would leave the texts to as few tasks as the small table of runs has
+    df = reduce(lambda a, b: a.join(b.hint("merge"), "briefing_date", "left"), parts, runs)
     has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     rows = lambda c: F.coalesce(c, F.array().cast(_NONE))
     n = F.coalesce("n", F.lit(0))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsweft.functions import concepts, text, urls
-from newsweft.operators import components, feedback, graph, select, vectors
+from newsweft.operators import briefing, components, feedback, graph, select, vectors
 from newsweft.operators.skew import number_rows, pairs_within, top_per_group
 from newsweft.params import Params
 from newsweft.plans.staging import StageStore
@@ -251,3 +251,28 @@ def test_ratings_outside_the_scale_stop_the_fold(spark):
     wild = spark.createDataFrame([(1, True, 9, ["a"])], "seq long, read boolean, interest int, concepts array<string>")
     with pytest.raises(Exception, match="rating outside 1..5"):
         feedback.apply_feedback(nodes, wild, F.lit(T0)).collect()
+
+
+def test_strip_and_lines_as_python_has_them(spark):
+    texts = ["", " ", "\t\n\r ", "a", "  a b \u3000", "\x85a\xa0", "\u2028x\u2029y\n", "a\r\nb\n\nc\rd\x1ce\r\r\nf", "\r\n\n", " " * 50_000, "x" + " " * 50_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r for r in rows.select("i", text.strip(F.col("t")).alias("s"), text.lines(F.col("t")).alias("l")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].s == t.strip()
+        assert got[i].l == (t + "|").splitlines()[:-1] + [(t + "|").splitlines()[-1][:-1]]
+
+
+def test_summaries_end_at_breaks_and_at_named_concepts(spark):
+    head = "## Top Articles\n### 1. T\n**Source**: s | **Relevance**: 7/10 | **Novelty**: 5%\n"
+    cases = {
+        "one\n\n  two  \n---\nthree": "one two",
+        "**Key Concepts**: `c`\nafter": "",
+        "before\n**Key Concepts**: `c`\nafter": "before",
+        "**Key Concepts**: none\nafter": "after",
+        "---\nlate": "late",
+        "": "",
+        "\n".join(["w"] * 3000): " ".join(["w"] * 3000),
+    }
+    rows = [(i, head + body) for i, body in enumerate(cases)]
+    got = {r.briefing_date: r.summary for r in briefing.parse_briefing(spark.createDataFrame(rows, "briefing_date int, md string")).collect()}
+    assert got == dict(enumerate(cases.values()))
