@@ -10,6 +10,7 @@ from newsweft.functions.text import (
     blank_to_null,
     let,
     lines,
+    one_per_key,
     parse_comma_list,
     parse_ticks,
     strip,
@@ -110,7 +111,7 @@ def _summary(rows: Column) -> Column:
 def _article(head: Column, rows: Column, deepening: Column) -> Column:
     meta = _last(F.filter(rows, lambda r: r["kind"] == "meta"))["line"]
     number = lambda i: F.coalesce(
-        blank_to_null(F.regexp_extract(meta, _META, i)).cast("int"), F.lit(0)
+        blank_to_null(F.regexp_extract(meta, _META, i)).try_cast("int"), F.lit(0)
     )
     insight = _last(F.filter(rows, lambda r: r["kind"].isin("what", "insight")))
     insight_text = F.when(
@@ -119,7 +120,7 @@ def _article(head: Column, rows: Column, deepening: Column) -> Column:
     concepts = _last(F.filter(rows, lambda r: r["kind"] == "concepts"))["line"]
     empty = F.array().cast("array<string>")
     return F.struct(
-        F.regexp_extract(head, _HEADING, 1).cast("int").alias("article_number"),
+        F.regexp_extract(head, _HEADING, 1).try_cast("int").alias("article_number"),
         strip(F.regexp_extract(head, _HEADING, 2)).alias("title"),
         F.coalesce(strip(F.regexp_extract(meta, _META, 1)), F.lit("")).alias("source_name"),
         _text_of(rows, "url").alias("url"),
@@ -137,7 +138,7 @@ def _article(head: Column, rows: Column, deepening: Column) -> Column:
 
 
 def parse_articles(md: Column) -> Column:
-    """The articles of a briefing, in order."""
+    """The articles of a briefing, in order. Numbers beyond an int are NULL, or 0 where there is a default."""
     rows = F.transform(lines(md), lambda x: F.struct(_kind(x).alias("kind"), x.alias("line")))
 
     def blocks(r: Column) -> Column:
@@ -195,7 +196,7 @@ def parse_feedback_line(line: Column) -> Column:
             lambda n: n.between(1, 5),
         )
         return F.struct(
-            F.regexp_extract(line, pattern, 1).cast("int").alias("article_number"),
+            F.regexp_extract(line, pattern, 1).try_cast("int").alias("article_number"),
             F.coalesce(_last(values("read")).isin(*TRUE_WORDS), F.lit(False)).alias("read"),
             _last(ratings).alias("interest"),
             _last(F.filter(values("quality"), lambda v: v.isin(*QUALITIES))).alias("quality"),
@@ -205,7 +206,7 @@ def parse_feedback_line(line: Column) -> Column:
 
 
 def parse_feedback(md: Column) -> Column:
-    """Records of the feedback form; the last line of a number counts."""
+    """Records of the feedback form; the last line of a number counts, numbers beyond an int do not."""
 
     def form(ls: Column) -> Column:
         heads = F.transform(ls, lambda x: strip(x) == FEEDBACK_HEADING)
@@ -224,7 +225,7 @@ def parse_feedback(md: Column) -> Column:
         parsed = F.filter(
             F.transform(body, lambda x: parse_feedback_line(strip(x))), lambda f: f.isNotNull()
         )
-        return let(F.coalesce(parsed, F.array().cast(_FEEDBACK_ROWS)), _last_per_number)
+        return let(F.coalesce(parsed, F.array().cast(_FEEDBACK_ROWS)), lambda rows: one_per_key(rows, lambda f: f["article_number"], last=True))
 
     return let(lines(md), form)
 
@@ -232,17 +233,6 @@ def parse_feedback(md: Column) -> Column:
 _FEEDBACK_ROWS = "array<struct<article_number:int,read:boolean,interest:int,quality:string>>"
 
 
-def _last_per_number(rows: Column) -> Column:
-    numbers = F.reverse(F.transform(rows, lambda f: f["article_number"]))
-    return let(
-        numbers,
-        lambda ns: F.filter(
-            rows,
-            lambda f, i: F.array_position(ns, f["article_number"]) == F.size(ns).cast("long") - i,
-        ),
-    )
-
-
 def heading_metadata(md: Column) -> Column:
     """Number, title and concepts of each article heading, for matching feedback."""
     head, named = r"^###\s+(\d+)\.\s+(.+)$", r"^\*\*Key Concepts\*\*:\s*(.+)$"
@@ -258,7 +248,7 @@ def heading_metadata(md: Column) -> Column:
                 F.regexp_extract(_last(inside), named, 1), F.lit("`([^`]+)`"), F.lit(1)
             )
             return F.struct(
-                F.regexp_extract(ls[h], head, 1).cast("int").alias("article_number"),
+                F.regexp_extract(ls[h], head, 1).try_cast("int").alias("article_number"),
                 strip(F.regexp_extract(ls[h], head, 2)).alias("title"),
                 F.coalesce(ticks, F.array().cast("array<string>")).alias("concepts"),
             )
@@ -283,7 +273,7 @@ def briefing_metadata(md: Column) -> Column:
     """Counters, runtime, new concepts, graph numbers and explorations of a briefing."""
     number = lambda text, pattern, i=1: blank_to_null(
         F.regexp_extract(text, pattern, i)
-    ).cast("int")
+    ).try_cast("int")
     counters = (
         r"\*\*Articles Scanned\*\*:\s*(\d+)\s*\|\s*\*\*Passed Relevance\*\*:\s*(\d+)\s*\|\s*"
         r"\*\*In Briefing\*\*:\s*(\d+)"

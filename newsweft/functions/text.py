@@ -43,6 +43,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def one_per_key(rows: Column, key: Callable[[Column], Column], *, last: bool = False) -> Column:
+    """The first (or last) element of each key, in the array's order; elements without a key go.
+    ``rows`` is a lambda variable, see ``let``. The keys are sorted, not searched one by one."""
+    keyed = F.array_sort(
+        F.filter(
+            F.transform(rows, lambda r, i: F.struct(key(r).alias("k"), i.alias("i"))),
+            lambda x: x["k"].isNotNull(),
+        )
+    )
+    step = 1 if last else -1
+    ends = let(
+        keyed,
+        lambda ks: F.filter(ks, lambda x, j: ~F.get(ks, j + step)["k"].eqNullSafe(x["k"])),
+    )
+    return F.transform(F.array_sort(F.transform(ends, lambda x: x["i"])), lambda i: rows[i])
+
+
 def strip(c: Column) -> Column:
     """From the first to the last character that is no white space; the class is tried at both ends only."""
     return F.regexp_extract(c, rf"(?s)\A[{WS}]*+(.*[^{WS}])", 1)

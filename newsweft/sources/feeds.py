@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from newsweft.functions.text import (
     blank_to_null,
     let,
+    one_per_key,
     post_title,
     strip,
     strip_tags,
@@ -86,15 +87,7 @@ def cut(c: Column, n: int) -> Column:
 
 def keep_first_url(items: Column) -> Column:
     """Drop later elements that repeat an earlier element's url."""
-    return let(
-        items,
-        lambda every: let(
-            F.transform(every, lambda e: e["url"]),
-            lambda urls: F.filter(
-                every, lambda e, i: F.array_position(urls, e["url"]) == i.cast("long") + 1
-            ),
-        ),
-    )
+    return let(items, lambda every: one_per_key(every, lambda e: e["url"]))
 
 
 def _rss(payload: Column) -> Column:

@@ -276,3 +276,23 @@ def test_summaries_end_at_breaks_and_at_named_concepts(spark):
     rows = [(i, head + body) for i, body in enumerate(cases)]
     got = {r.briefing_date: r.summary for r in briefing.parse_briefing(spark.createDataFrame(rows, "briefing_date int, md string")).collect()}
     assert got == dict(enumerate(cases.values()))
+
+
+def test_one_per_key_keeps_the_order(spark):
+    values = ["b", "a", None, "b", "c", "a", ""]
+    df = spark.createDataFrame([([(v, i) for i, v in enumerate(values)],), ([],)], "r array<struct<v string, i int>>")
+    kept = lambda last: text.let(F.col("r"), lambda r: text.one_per_key(r, lambda x: x["v"], last=last))
+    first, last = ([[(x.v, x.i) for x in r.k] for r in df.select(kept(side).alias("k")).collect()] for side in (False, True))
+    assert first == [[("b", 0), ("a", 1), ("c", 4), ("", 6)], []]
+    assert last == [[("b", 3), ("c", 4), ("a", 5), ("", 6)], []]
+
+
+def test_numbers_beyond_an_int_break_no_document(spark):
+    big = "9" * 30
+    md = f"### {big}. T\n**Source**: s | **Relevance**: {big}/10 | **Novelty**: 5%\ntext\n## Your Feedback\n- {big}: read=yes\n- 2: read=no\n- 2: read=yes, interest={big}"
+    df = spark.createDataFrame([(1, md)], "briefing_date int, md string")
+    (article,) = briefing.parse_briefing(df).collect()
+    assert (article.article_number, article.title, article.relevance_score, article.novelty_pct) == (None, "T", 0, 5)
+    (line,) = briefing.parse_feedback(df).collect()
+    assert (line.article_number, line.read, line.interest) == (2, True, None)
+    assert [r.title for r in briefing.feedback_with_articles(df).collect()] == [""]
