@@ -7,6 +7,11 @@ what all siblings together could not take stays with the ancestors. Within a lea
 the documents anew by a seeded hash: whole epochs are taken whole, the last one as the longest prefix
 whose tokens the budget covers.
 
+What prefixes leave unspent, because a leaf's next document is longer, is poured out again: first over the
+sources of the language, then over the languages of the domain, last over all domains, each time to the
+nodes furthest below their budgets first (ties by name), whose prefixes go on. In the end less than one
+document's tokens are unspent: those of the document at which the last round stopped.
+
 The cut of a leaf is found on sums over 4,096 hash ranges and then within one of these, so no task sees
 a whole leaf. The outcome is a hash to cut at for each leaf; documents are kept by comparing their own
 hash with it, joined to the small table of leaves only.
@@ -71,7 +76,8 @@ def share_out(children: DataFrame, parent: list[str], own: str, weight: Column)
 
 
 def budgets(leaves: DataFrame, share: tuple[int, int], max_epochs: int) -> DataFrame:
-    """_domain, _lang, _source, tokens, budget from the leaves' tokens."""
+    """_domain, _lang, _source, tokens, room, budget from the leaves' tokens, and the budgets above them:
+    of_root, of_domain, of_lang."""
     part, whole = share
     leaves = leaves.withColumn("room", F.col("tokens") * max_epochs)
     langs = leaves.groupBy("_domain", "_lang").agg(F.sum("room").alias("room"), F.sum("tokens").alias("tokens"))
@@ -79,22 +85,21 @@ def budgets(leaves: DataFrame, share: tuple[int, int], max_epochs: int) -> DataF
     total = F.sum("tokens").over(Window.partitionBy("_root"))
     domains = domains.withColumn("_all", total).withColumn("given", F.expr(f"(_all * {part}) div {whole}"))
     domains = share_out(domains, ["_root"], "_domain", _weight("_domain", DOMAIN_WEIGHTS))
-    langs = langs.join(domains.select("_domain", F.col("budget").alias("given")), "_domain")
+    langs = langs.join(domains.select("_domain", F.col("given").alias("of_root"), F.col("budget").alias("given")), "_domain")
     langs = share_out(langs, ["_domain"], "_lang", _weight("_lang", LANG_WEIGHTS))
-    leaves = leaves.join(langs.select("_domain", "_lang", F.col("budget").alias("given")), ["_domain", "_lang"])
+    of = [F.col("given").alias("of_domain"), F.col("budget").alias("given")]
+    leaves = leaves.join(langs.select("_domain", "_lang", "of_root", *of), ["_domain", "_lang"])
     leaves = share_out(leaves, ["_domain", "_lang"], "_source", F.lit(1).cast("long"))
-    return leaves.select(*NAMES, "tokens", "budget")
+    return leaves.select(*NAMES, "tokens", "room", "of_root", "of_domain", F.col("given").alias("of_lang"), "budget")
 
 
-def cuts(docs: DataFrame, domain: Column, share: tuple[int, int], seed: int, max_epochs: int) -> DataFrame:
-    """_domain, _lang, _source, tokens, budget, epochs (whole ones), cut (hash of the last document of
-    the epoch after them, null if none fits)."""
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = saved(_leaf(docs, domain).select("doc_id", *NAMES, words.alias("_n")).where("_n > 0"), "counted")
-    leaves = saved(budgets(rows.groupBy(*NAMES).agg(F.sum("_n").alias("tokens")), share, max_epochs), "budgets")
-    leaves = leaves.withColumns({"epochs": F.expr("budget div tokens"), "rest": F.expr("budget % tokens")})
+def _go_on(rows: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
+    """``leaves`` with ``epochs`` (whole ones), ``cut`` (hash of the last document of the epoch after them,
+    null if none fits) and ``spent`` once ``extra`` is added to what is spent."""
     names = list(NAMES)
-    placed = rows.join(leaves.where("rest > 0").select(*names, "epochs", "rest"), names).withColumn("key", _hash(F.col("epochs"), seed))
+    more = leaves.where("extra > 0").withColumn("_upto", F.col("spent") + F.col("extra"))
+    more = more.withColumns({"epochs": F.expr("_upto div tokens"), "rest": F.expr("_upto % tokens")}).drop("_upto", "cut", "spent", "extra")
+    placed = rows.join(more.where("rest > 0").select(*names, "epochs", "rest"), names).withColumn("key", _hash(F.col("epochs"), seed))
     placed = placed.withColumn("range", F.substring("key", 1, 3))
     ranges = placed.groupBy(*names, "rest", "range").agg(F.sum("_n").alias("n"))  # at most 4,096 a leaf
     upto = F.sum("n").over(Window.partitionBy(*names).orderBy("range"))
@@ -103,17 +108,51 @@ def cuts(docs: DataFrame, domain: Column, share: tuple[int, int], seed: int, max
     crossed = crossed.select(*names, F.col("c.range").alias("at"), F.col("c.before").alias("before"))
     inside = placed.join(crossed, names).where(F.col("range") == F.col("at"))
     spent = F.col("before") + F.sum("_n").over(Window.partitionBy(*names).orderBy("key"))
-    last = inside.withColumn("spent", spent).where("spent <= rest").groupBy(*names).agg(F.max("key").alias("last"))
+    last = inside.withColumn("_spent", spent).where("_spent <= rest").groupBy(*names).agg(F.max(F.struct("key", "_spent")).alias("last"))
     # a range in which nothing more fits is cut before its first hash
-    found = crossed.join(last, names, "left").select(*names, F.coalesce("last", F.when(F.col("before") > 0, F.col("at"))).alias("cut"))
-    return leaves.join(found, names, "left").drop("rest")
+    found = crossed.join(last, names, "left").select(
+        *names,
+        F.coalesce("last.key", F.when(F.col("before") > 0, F.col("at"))).alias("cut"),
+        F.coalesce("last._spent", "before").alias("_got"),
+    )
+    more = more.join(found, names, "left").withColumn("spent", F.expr("epochs * tokens + coalesce(_got, 0)"))
+    return leaves.where("extra = 0").drop("extra").unionByName(more.drop("rest", "_got"))
+
+
+def _pour(leaves: DataFrame, depth: int) -> DataFrame:
+    """Adds ``extra`` to ``leaves``: what the nodes of ``depth`` (0 root, 1 domain, 2 language) leave unspent,
+    down the tree to the children furthest below their budgets, each as far as its leaves can take it."""
+    path = ("_root", *NAMES)
+    given = F.max(("of_root", "of_domain", "of_lang")[depth]) - F.sum("spent")
+    leaves = leaves.withColumn("_root", F.lit(0))
+    pool = leaves.groupBy(*path[: depth + 1]).agg(given.alias("given"))
+    for level in range(depth + 1, len(path)):
+        parent, own = list(path[:level]), path[level]
+        nodes = leaves.groupBy(*parent, own).agg(F.sum(F.expr("budget - spent")).alias("short"), F.sum(F.expr("room - spent")).alias("left"))
+        first = Window.partitionBy(*parent).orderBy(F.desc("short"), own).rowsBetween(Window.unboundedPreceding, -1)
+        rest = F.col("given") - F.coalesce(F.sum("left").over(first), F.lit(0))
+        pool = nodes.join(pool, parent).select(*parent, own, F.greatest(F.lit(0), F.least("left", rest)).alias("given"))
+    return leaves.join(pool.withColumnRenamed("given", "extra"), list(path)).drop("_root")
+
+
+def cuts(docs: DataFrame, domain: Column, share: tuple[int, int], seed: int, max_epochs: int) -> DataFrame:
+    """_domain, _lang, _source, tokens, budget, epochs (whole ones), cut (hash of the last document of
+    the epoch after them, null if none fits), spent and more."""
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    rows = saved(_leaf(docs, domain).select("doc_id", *NAMES, words.alias("_n")).where("_n > 0"), "counted")
+    leaves = saved(budgets(rows.groupBy(*NAMES).agg(F.sum("_n").alias("tokens")), share, max_epochs), "budgets")
+    none = {"epochs": F.lit(0).cast("long"), "cut": F.lit(None).cast("string"), "spent": F.lit(0).cast("long")}
+    leaves = saved(_go_on(rows, leaves.withColumns(none).withColumn("extra", F.col("budget")), seed), "first")
+    for depth in (2, 1, 0):
+        leaves = saved(_go_on(rows, saved(_pour(leaves, depth), "poured"), seed), "cuts")
+    return leaves
 
 
 def mix(docs: DataFrame, domain: Column | None = None, share=SHARE, seed: int = SEED, max_epochs: int = 1) -> DataFrame:
     """The rows of ``docs`` that the budgets select, once for every epoch, with ``_domain``, ``_lang``,
     ``_source``, ``_n`` (tokens) and ``_epoch``."""
     domain = source_domain() if domain is None else domain
-    leaves = saved(cuts(docs, domain, share, seed, max_epochs), "cuts").where("budget > 0").drop("tokens", "budget")
+    leaves = cuts(docs, domain, share, seed, max_epochs).where("spent > 0").select(*NAMES, "epochs", "cut")
     leaves = leaves.withColumnsRenamed({"epochs": "_epochs", "cut": "_cut"})
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = _leaf(docs, domain).join(leaves, list(NAMES))
@@ -152,6 +191,36 @@ def _fill(source: str, parent: str, own: str) -> str:
       FROM ({source})))"""
 
 
+def _round(i: int, depth: int | None) -> str:
+    """spent{i} from spent{i - 1}: what nodes of ``depth`` leave is poured out; None: the first prefixes."""
+    path, before = ("root", "domain", "lang", "source"), f"spent{i - 1}"
+    parts = []
+    if depth is None:
+        poured = f"(SELECT *, budget AS extra FROM {before})"
+    else:
+        given = ("of_root", "of_domain", "of_lang")[depth]
+        keys = ", ".join(path[: depth + 1])
+        parts.append(f"pool{i}_{depth} AS (SELECT {keys}, (max({given}) - sum(spent))::BIGINT AS given FROM {before} GROUP BY {keys})")
+        for level in range(depth + 1, len(path)):
+            parent, own = ", ".join(path[:level]), path[level]
+            parts.append(f"""pool{i}_{level} AS (
+  SELECT {parent}, {own}, greatest(0, least(room, given - coalesce(sum(room) OVER (PARTITION BY {parent} ORDER BY short DESC, {own}
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS given
+  FROM (SELECT {parent}, {own}, sum(budget - spent)::BIGINT AS short, sum(room - spent)::BIGINT AS room FROM {before} GROUP BY {parent}, {own})
+  JOIN pool{i}_{level - 1} USING ({parent}))""")
+        poured = f"(SELECT {before}.*, given AS extra FROM {before} JOIN pool{i}_3 USING (root, domain, lang, source))"
+    parts.append(f"""got{i} AS (
+  SELECT domain, lang, source, max(cum)::BIGINT AS got FROM (
+    SELECT domain, lang, source, rest, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || epochs || ':' || doc_id)) AS cum
+    FROM d JOIN (SELECT domain, lang, source, (spent + extra) // tokens AS epochs, (spent + extra) % tokens AS rest FROM {poured})
+    USING (domain, lang, source) WHERE n > 0)
+  WHERE cum <= rest GROUP BY ALL)""")
+    parts.append(f"""spent{i} AS (
+  SELECT p.* EXCLUDE (spent, extra), ((spent + extra) // tokens * tokens + coalesce(got, 0))::BIGINT AS spent
+  FROM {poured} p LEFT JOIN got{i} USING (domain, lang, source))""")
+    return ",\n".join(parts)
+
+
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -160,11 +229,16 @@ WITH d AS (
   FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, 2 * sum(n)::BIGINT AS room FROM d WHERE n > 0 GROUP BY ALL),
 b1 AS ({_fill(f"SELECT 0 AS root, domain, sum(room)::BIGINT AS room, ((SELECT sum(tokens) FROM leaf) * {SHARE[0]} // {SHARE[1]})::BIGINT AS given, {_case('domain', DOMAIN_WEIGHTS)} AS w FROM leaf GROUP BY domain", "root", "domain")}),
-b2 AS ({_fill(f"SELECT x.*, b1.budget AS given FROM (SELECT domain, lang, sum(room)::BIGINT AS room, {_case('lang', LANG_WEIGHTS)} AS w FROM leaf GROUP BY domain, lang) x JOIN b1 USING (domain)", "domain", "lang")}),
-b3 AS ({_fill("SELECT leaf.*, b2.budget AS given, 1 AS w FROM leaf JOIN b2 USING (domain, lang)", "domain, lang", "source")}),
+b2 AS ({_fill(f"SELECT x.*, b1.given AS of_root, b1.budget AS given FROM (SELECT domain, lang, sum(room)::BIGINT AS room, {_case('lang', LANG_WEIGHTS)} AS w FROM leaf GROUP BY domain, lang) x JOIN b1 USING (domain)", "domain", "lang")}),
+b3 AS ({_fill("SELECT leaf.*, of_root, b2.given AS of_domain, b2.budget AS given, 1 AS w FROM leaf JOIN b2 USING (domain, lang)", "domain, lang", "source")}),
+spent0 AS (SELECT 0 AS root, domain, lang, source, tokens, room, of_root, of_domain, given AS of_lang, budget::BIGINT AS budget, 0::BIGINT AS spent FROM b3),
+{_round(1, None)},
+{_round(2, 2)},
+{_round(3, 1)},
+{_round(4, 0)},
 e AS (
-  SELECT d.*, budget // tokens AS epochs, budget % tokens AS rest, md5('{SEED}:' || (budget // tokens) || ':' || doc_id) AS key
-  FROM d JOIN b3 USING (domain, lang, source) WHERE n > 0),
+  SELECT d.*, spent // tokens AS epochs, spent % tokens AS rest, md5('{SEED}:' || (spent // tokens) || ':' || doc_id) AS key
+  FROM d JOIN spent4 USING (domain, lang, source) WHERE n > 0),
 t AS (
   SELECT *, epochs + CASE WHEN sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key) <= rest THEN 1 ELSE 0 END AS times FROM e)
 SELECT doc_id, domain, lang, source, n AS tokens, unnest(range(0, times::BIGINT))::INTEGER AS epoch FROM t

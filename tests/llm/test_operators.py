@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from hashlib import md5
 
 import numpy as np
 import public_tokenizers
@@ -190,6 +191,56 @@ def test_mixing_fills_siblings_first(spark):
     assert got["a"] == 100 and got["b"] == 217 and got["c"] == 237
 
 
+def _mixed(docs, share, max_epochs):
+    """The rule of mixing one document at a time, from the operator's first budgets: (doc_id, source, epoch)."""
+    domain = lambda s: "d" + (str(int(re.search("[0-9]+$", s).group()) % 4) if re.search("[0-9]+$", s or "") else "")
+    n, leaf = {}, {}
+    for r in docs.collect():
+        if words := len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")):
+            n[r.doc_id] = words
+            leaf.setdefault((domain(r.source or ""), r.lang or "", r.source or ""), []).append(r.doc_id)
+    rows = [(*k, sum(n[d] for d in ids)) for k, ids in leaf.items()]
+    sums = docs.sparkSession.createDataFrame(rows, "_domain string, _lang string, _source string, tokens long")
+    first = {(r._domain, r._lang, r._source): r for r in mixing.budgets(sums, share, max_epochs).collect()}
+    order = {k: [(e, d) for e in range(max_epochs) for d in sorted(ids, key=lambda d: md5(f"{mixing.SEED}:{e}:{d}".encode()).hexdigest())] for k, ids in leaf.items()}
+    taken, spent = dict.fromkeys(leaf, 0), dict.fromkeys(leaf, 0)
+
+    def go_on(k, extra):
+        upto = spent[k] + extra
+        while taken[k] < len(order[k]) and spent[k] + n[order[k][taken[k]][1]] <= upto:
+            spent[k] += n[order[k][taken[k]][1]]
+            taken[k] += 1
+
+    for k in leaf:
+        go_on(k, first[k].budget)
+    for depth, given in ((2, "of_lang"), (1, "of_domain"), (0, "of_root")):
+        before = dict(spent)
+        short = lambda node: sum(first[k].budget - before[k] for k in leaf if k[: len(node)] == node)
+        place = lambda k: [(-short(k[:i]), k[i - 1]) for i in range(depth + 1, 4)]
+        for node in {k[:depth] for k in leaf}:
+            below = sorted((k for k in leaf if k[:depth] == node), key=place)
+            pool = getattr(first[below[0]], given) - sum(before[k] for k in below)
+            for k in below:
+                extra = max(0, min(first[k].room - before[k], pool))
+                pool -= extra
+                go_on(k, extra)
+    return {(d, k[2], e) for k in leaf for e, d in order[k][: taken[k]]}, sum(spent.values()), max(n.values()), next(iter(first.values())).of_root
+
+
+def test_mixing_passes_on_what_prefixes_leave(spark):
+    docs = spark.createDataFrame([(1, "w " * 500, "en", "s0"), (2, "w " * 10, "en", "s4"), (3, "w " * 500, "en", "s8")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id for r in mixing.mix(docs, share=(3, 5)).collect()}  # a budget of 606
+    assert got == {1, 2}
+    rnd = random.Random(9)
+    rows = [(i, "w " * rnd.choice([0, 1, 3, 20, 400]), rnd.choice(["en", "de", None]), rnd.choice(["s0", "s1", "s4", "s5", None])) for i in range(150)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    for share, epochs in (((1, 7), 1), ((3, 5), 1), ((9, 10), 2), ((3, 2), 2)):
+        want, spent, longest, budget = _mixed(docs, share, epochs)
+        mixed = mixing.mix(docs, share=share, max_epochs=epochs).collect()
+        assert {(r.doc_id, r._source, r._epoch) for r in mixed} == want and len(mixed) == len(want)
+        assert 0 <= budget - spent < longest
+
+
 def test_mixing_on_awkward_rows(docs):
     kept = mixing.keep_mixed(docs)
     assert kept.columns == docs.columns and kept.where("text is null or trim(text) = ''").count() == 0
