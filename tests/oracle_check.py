@@ -64,7 +64,7 @@ def compare(spark, con, name, query, sql, sf_dir) -> str:
 
 
 def main() -> int:
-    from newsweft.catalog import QUERIES, ORACLE
+    import __spark_entry__ as entry
     from tests.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
@@ -72,19 +72,21 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     spark = local_session()
     con = connect(sf_dir)
-    failed = 0
-    for name, q in QUERIES.items():
+    failed = ran = 0
+    oracle = entry.oracle_sql()
+    for name, q in entry.queries().items():
         if not any(name.startswith(w) for w in wanted):
             continue
+        ran += 1
         t0 = time.time()
         try:
-            msg = compare(spark, con, name, q, ORACLE.get(name), sf_dir)
+            msg = compare(spark, con, name, q, oracle.get(name), sf_dir)
         except Exception as e:  # noqa: BLE001
             msg = f"FAIL {type(e).__name__}: {str(e)[:1500]}"
         failed += msg.startswith("FAIL")
         print(f"{name:34s} {time.time()-t0:6.2f}s {msg}", flush=True)
-    print("failed:", failed)
-    return failed
+    print("failed:", failed, "of", ran)
+    return failed if ran else 1
 
 
 if __name__ == "__main__":
