@@ -123,16 +123,20 @@ def _pour(leaves: DataFrame, depth: int) -> DataFrame:
     """Adds ``extra`` to ``leaves``: what the nodes of ``depth`` (0 root, 1 domain, 2 language) leave unspent,
     down the tree to the children furthest below their budgets, each as far as its leaves can take it."""
     path = ("_root", *NAMES)
-    given = F.max(("of_root", "of_domain", "of_lang")[depth]) - F.sum("spent")
-    leaves = leaves.withColumn("_root", F.lit(0))
-    pool = leaves.groupBy(*path[: depth + 1]).agg(given.alias("given"))
+    leaves = leaves.withColumn("_root", F.lit(0)).withColumn("_given", F.col(("of_root", "of_domain", "of_lang")[depth]))
+    pool = None
     for level in range(depth + 1, len(path)):
         parent, own = list(path[:level]), path[level]
-        nodes = leaves.groupBy(*parent, own).agg(F.sum(F.expr("budget - spent")).alias("short"), F.sum(F.expr("room - spent")).alias("left"))
+        sums = [F.sum(F.expr(e)).alias(n) for e, n in (("spent", "spent"), ("budget - spent", "short"), ("room - spent", "left"))]
+        nodes = leaves.groupBy(*parent, own).agg(F.max("_given").alias("_given"), *sums)
+        if pool is None:
+            nodes = nodes.withColumn("given", F.col("_given") - F.sum("spent").over(Window.partitionBy(*parent)))
+        else:
+            nodes = nodes.join(pool, parent)
         first = Window.partitionBy(*parent).orderBy(F.desc("short"), own).rowsBetween(Window.unboundedPreceding, -1)
         rest = F.col("given") - F.coalesce(F.sum("left").over(first), F.lit(0))
-        pool = nodes.join(pool, parent).select(*parent, own, F.greatest(F.lit(0), F.least("left", rest)).alias("given"))
-    return leaves.join(pool.withColumnRenamed("given", "extra"), list(path)).drop("_root")
+        pool = nodes.select(*parent, own, F.greatest(F.lit(0), F.least("left", rest)).alias("given"))
+    return leaves.join(pool.withColumnRenamed("given", "extra"), list(path)).drop("_root", "_given")
 
 
 def cuts(docs: DataFrame, domain: Column, share: tuple[int, int], seed: int, max_epochs: int) -> DataFrame:
