@@ -20,9 +20,12 @@ MAX_PIVOTS = 4096
 SAMPLE = 4096
 CELL_ROWS = 16384
 RINGS = 64
-SHARE_BITS = 32
-TILE = 512
-HEAD = 32
+BLOCK_BYTES = 1 << 25
+PART_ROWS = 65536
+MAX_TASKS = 16384
+TILE = 256
+CHUNK = 4096
+PAIRS = 65536
 DIGITS = 6
 _STEP = 10**DIGITS
 _SLACK = 2.0 / _STEP
@@ -39,68 +42,99 @@ def _round(sims: np.ndarray) -> np.ndarray:
     return np.floor(sims * _STEP + 0.5).astype(np.int64)
 
 
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of the k largest rounded similarities of each row; equal ones by column order."""
-    k = min(k, sims.shape[1])
-    rounded = _round(sims)
-    keys = -rounded * (1 << 32) + np.arange(sims.shape[1], dtype=np.int64)
-    cols = np.argpartition(keys, k - 1, axis=1)[:, :k]
-    return cols, np.take_along_axis(rounded, cols, axis=1) / _STEP
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
 
 
-class _Block:
-    """Store rows of one group, ordered by name, with a short sketch of each: the first coordinates,
-    and the length of the rest, which bounds what the rest can add to a product."""
+def _touched(angles: np.ndarray, kth: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Per query and ring: whether a row of ``kth`` similarity can lie there, by the angles to the rings' pivots."""
+    reach = np.arccos(np.clip(kth - _SLACK, -1.0, 1.0)) + 1e-7
+    return np.maximum(lo - angles, angles - hi) <= reach[:, None]
 
-    def __init__(self, frames: list[pd.DataFrame]) -> None:
-        pdf = pd.concat(frames, ignore_index=True)
-        self.names, self.unit = pdf["url"].to_numpy(), _unit(pdf["embedding"])
-        self.head, self.rest = self.sketch(self.unit)
 
-    @staticmethod
-    def sketch(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        head = unit[:, :HEAD]
-        return head, np.sqrt(np.maximum(0.0, np.square(unit).sum(axis=1) - np.square(head).sum(axis=1)))
+class _Block:
+    """Store rows of one block, ordered by group; of equal vectors the first ``k`` by name.
 
-    def search(self, names: np.ndarray, unit: np.ndarray, kth: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-        """The k nearest rows of every query that can still reach its ``kth`` similarity."""
+    Products in single precision, whose error is bounded, rule most rows out; the rest get exact ones.
+    """
+
+    def __init__(self, held: list[tuple], groups: np.ndarray, pivots: np.ndarray, k: int) -> None:
+        names, unit, group = (np.concatenate(x) for x in zip(*held))
+        by_name = np.argsort(names)
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[by_name] = np.arange(len(names))
+        same = pd.Series([unit[i].tobytes() for i in by_name])
+        kept = by_name[(same.groupby(same, sort=False).cumcount() < k).to_numpy()]
+        kept = kept[np.argsort(group[kept], kind="stable")]
+        self.k, self.names, self.unit, self.rank = k, names[kept], unit[kept], rank[kept]
+        self.single = self.unit.astype(np.float32)
+        self.error = _SLACK + (unit.shape[1] + 8) * 2.0**-23
+        present, self.begins = np.unique(group[kept], return_index=True)
+        self.ends = np.append(self.begins[1:], len(kept))
+        used, self.pivot = np.unique(groups[present, 0].astype(np.int64), return_inverse=True)
+        self.pivots, self.lo, self.hi = pivots[used], groups[present, 1], groups[present, 2]
+
+    def _rows(self, q: np.ndarray, least: np.ndarray) -> Iterator[slice | np.ndarray]:
+        """The rows of all groups that a query of the tile can reach, in chunks."""
+        met = _touched(_angles(q, self.pivots)[:, self.pivot], least, self.lo, self.hi).any(axis=0)
+        if met.all():
+            yield from (slice(at, min(at + CHUNK, len(self.unit))) for at in range(0, len(self.unit), CHUNK))
+        elif met.any():
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(self.begins[met], self.ends[met])])
+            yield from (rows[at : at + CHUNK] for at in range(0, len(rows), CHUNK))
+
+    def _able(self, single: np.ndarray, rows: slice | np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        products = single @ self.single[rows].T
+        able = products >= (least - self.error).astype(np.float32)[:, None]
+        if self.k < products.shape[1] and np.count_nonzero(able) > 8 * self.k * len(single):
+            kth = np.partition(products, -self.k, axis=1)[:, -self.k]
+            able &= products >= (kth - 2 * self.error)[:, None].astype(np.float32)
+        return np.nonzero(able)
+
+    def search(self, names: np.ndarray, unit: np.ndarray, kth: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The k nearest rows of every query that reach its ``kth`` similarity."""
         for at in range(0, len(names), TILE):
-            q, least = unit[at : at + TILE], kth[at : at + TILE] - _SLACK
-            head, rest = self.sketch(q)
-            able = head @ self.head.T + rest[:, None] * self.rest[None, :] >= least[:, None]
-            if able.mean() > 0.125:
-                cols, sims = _best(q @ self.unit.T, k)
-                rows = np.repeat(np.arange(len(q)), cols.shape[1])
-                cols, sims = cols.ravel(), sims.ravel()
-            else:
-                rows, cols = np.nonzero(able)
-                sims = _round(np.einsum("ij,ij->i", q[rows], self.unit[cols])) / _STEP
-                order = np.lexsort((cols, -sims, rows))
-                rows, cols, sims = rows[order], cols[order], sims[order]
-                begins = np.searchsorted(rows, np.arange(len(q)))
-                few = np.arange(len(rows)) - begins[rows] < k
-                rows, cols, sims = rows[few], cols[few], sims[few]
-            yield pd.DataFrame({"query": names[at + rows], "url": self.names[cols], "similarity": sims})
-
-
-def _meet(k: int):
-    """Streams the sorted rows of a task: a group's block is held, its queries pass by in batches."""
+            q, least = unit[at : at + TILE], kth[at : at + TILE].copy()
+            single = q.astype(np.float32)
+            best = [np.empty(0, dtype=np.int64)] * 3  # query, store row, rounded similarity
+            for rows in self._rows(q, least):
+                who, col = self._able(single, rows, least)
+                if not len(who):
+                    continue
+                col = col + rows.start if isinstance(rows, slice) else rows[col]
+                for i in range(0, len(who), PAIRS):
+                    w, c = who[i : i + PAIRS], col[i : i + PAIRS]
+                    sims = _round(np.einsum("ij,ij->i", q[w], self.unit[c]))
+                    best = self._first([np.concatenate(x) for x in zip(best, (w, c, sims))])
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) == self.k)
+                ends = np.searchsorted(best[0], full, side="right") - 1
+                least[full] = np.maximum(least[full], best[2][ends] / _STEP)
+            yield pd.DataFrame({"query": names[at + best[0]], "url": self.names[best[1]], "similarity": best[2] / _STEP})
+
+    def _first(self, found: list[np.ndarray]) -> list[np.ndarray]:
+        """The k best of each query, in order."""
+        order = np.lexsort((self.rank[found[1]], -found[2], found[0]))
+        who = found[0][order]
+        order = order[np.arange(len(who)) - np.searchsorted(who, who) < self.k]
+        return [x[order] for x in found]
+
+
+def _meet(k: int, groups, pivots):
+    """Streams the sorted rows of a task: a block is held, its queries pass by in batches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, held, block = None, [], None
+        task, held, block = None, [], None
         for frame in frames:
-            for key, part in frame.groupby(["group", "share", "part"], sort=False):
-                if key != group:
-                    group, held, block = key, [], None
-                stored = part[part["kind"] == 0]
+            for key, part in frame.groupby("task", sort=False):
+                if key != task:
+                    task, held, block = key, [], None
+                stored, asked = part[part["kind"] == 0], part[part["kind"] == 1]
                 if len(stored):
-                    held.append(stored[["url", "embedding"]])
-                asked = part[part["kind"] == 1]
+                    held.append((stored["url"].to_numpy(), _unit(stored["embedding"]), stored["group"].to_numpy()))
                 if len(asked) and (held or block):
-                    block, held = block or _Block(held), []
-                    yield from block.search(
-                        asked["url"].to_numpy(), _unit(asked["embedding"]), asked["kth"].to_numpy(), k
-                    )
+                    if held:
+                        block, held = _Block(held, groups.value, pivots.value, k), []
+                    yield from block.search(asked["url"].to_numpy(), _unit(asked["embedding"]), asked["kth"].to_numpy())
 
     return run
 
@@ -109,19 +143,18 @@ class VectorCells:
     """A store laid out for exact search, for any size of it and any number of queries.
 
     Rows go to the nearest of at most ``MAX_PIVOTS`` pivots, whose number grows with the store; a
-    pivot's cell is cut into rings by angle and these into hashed shares, so a group holds about
-    ``cell_rows`` rows however large the store is. An angle to the pivot outside a ring's range by
-    more than a query's reach rules the ring out.
-
-    A query's reach comes from a fixed sample of the store: its k-th best there is no better than
-    its k-th best of all. So each query visits its groups in one pass; there a short sketch bounds
-    each product before the exact one. The sample and the ranges of the groups are broadcast; both
-    are bounded by constants.
+    pivot's cell is cut into rings by angle, so a group holds about ``cell_rows`` rows. An angle to
+    the pivot outside a ring's range by more than a query's reach rules the ring out.
+
+    Groups are bundled into blocks of at most about ``BLOCK_BYTES`` of vectors (a larger group is
+    cut into hashed shares), and a query goes once to each block it can reach, however small the
+    groups are; there it meets the groups it can reach. A query's reach comes from a fixed sample of
+    the store: its k-th best there is no better than its k-th best of all. The sample and the ranges
+    of the groups are broadcast; both are bounded by constants.
     """
 
     def __init__(self, store: DataFrame, cell_rows: int = CELL_ROWS) -> None:
         self.spark = store.sparkSession
-        self.cell_rows = cell_rows
         self.scratch = Scratch(self.spark, "neighbours")
         rows = store.filter("embedding is not null").select("url", "embedding")
         drawn = rows.orderBy(F.xxhash64("url"), "url").limit(SAMPLE).select("embedding").collect()
@@ -137,91 +170,99 @@ class VectorCells:
 
         @F.pandas_udf("struct<cell:int,angle:double>")
         def assign(embedding: pd.Series) -> pd.DataFrame:
-            sims = np.clip(_unit(embedding) @ pivots.value.T, -1.0, 1.0)
-            cell = sims.argmax(axis=1)
-            angle = np.arccos(np.take_along_axis(sims, cell[:, None], axis=1)[:, 0])
-            return pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle})
+            cell, angle = [], []
+            for at in range(0, len(embedding), TILE):
+                sims = np.clip(_unit(embedding[at : at + TILE]) @ pivots.value.T, -1.0, 1.0)
+                cell.append(sims.argmax(axis=1).astype(np.int32))
+                angle.append(np.arccos(sims.max(axis=1)))
+            return pd.DataFrame({"cell": np.concatenate(cell), "angle": np.concatenate(angle)})
 
         placed = self.scratch.put(rows.withColumn("p", assign("embedding")))
         cuts = F.percentile_approx("p.angle", [i / RINGS for i in range(1, RINGS)], 1000)
-        per_cell = placed.groupBy("p.cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("p.angle").alias("lo"), F.max("p.angle").alias("hi"), cuts.alias("cuts")
-        )
-        groups, layout = [], []  # one row per pivot and ring at most
+        per_cell = placed.groupBy("p.cell").agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts"))
+        layout, total = [], 0
         for r in sorted(per_cell.collect()):
             rings = max(1, min(RINGS, r["n"] // cell_rows))
-            inner = [r["cuts"][RINGS * i // rings - 1] for i in range(1, rings)]
-            shares = math.ceil(r["n"] / rings / cell_rows)
-            layout.append((r["cell"], len(groups), inner, shares))
-            for lo, hi in zip([r["lo"], *inner], [*inner, r["hi"]]):
-                groups.append((r["cell"], lo, hi, shares))
-        self.groups = self.spark.sparkContext.broadcast(np.array(groups, dtype=np.float64))
-        where = F.broadcast(
-            self.spark.createDataFrame(layout, "cell int, first int, cuts array<double>, shares int")
-        )
+            layout.append((r["cell"], total, [r["cuts"][RINGS * i // rings - 1] for i in range(1, rings)]))
+            total += rings
+        where = F.broadcast(self.spark.createDataFrame(layout, "cell int, first int, cuts array<double>"))
         ring = F.size(F.filter("cuts", lambda c: F.col("p.angle") > c))
-        self.store = placed.withColumn("cell", F.col("p.cell")).join(where, "cell").select(
-            "url", "embedding", (F.col("first") + ring).alias("group"),
-            F.pmod(F.xxhash64("url"), F.col("shares")).cast("int").alias("share"),
+        grouped = placed.withColumn("cell", F.col("p.cell")).join(where, "cell").withColumn("group", F.col("first") + ring)
+        # one row per pivot and ring at most
+        found = grouped.groupBy("group").agg(
+            F.first("cell"), F.min("p.angle"), F.max("p.angle"), F.count(F.lit(1))
+        ).collect()
+        groups = np.array([(0, np.inf, -np.inf)] * total, dtype=np.float64)
+        block_rows = max(1, BLOCK_BYTES // (8 * sample.shape[1]))
+        blocks, shares, filled = [], [], block_rows
+        for group, cell, lo, hi, held in sorted(tuple(r) for r in found):
+            groups[group] = cell, lo, hi
+            cut = math.ceil(held / block_rows)
+            if cut > 1 or filled + held > block_rows:
+                first, filled = (blocks[-1][0] + 1 if blocks else 0), 0
+            filled = block_rows if cut > 1 else filled + held
+            shares.append((group, first, cut))
+            blocks.extend((first + i, group) for i in range(cut))
+        self.groups = self.spark.sparkContext.broadcast(groups)
+        self.owners = self.spark.sparkContext.broadcast(np.array(blocks, dtype=np.int64))
+        self.blocks = blocks[-1][0] + 1
+        dealt = F.broadcast(self.spark.createDataFrame(shares, "group int, block int, shares int"))
+        self.store = grouped.join(dealt, "group").select(
+            "url", "embedding", "group",
+            (F.col("block") + F.pmod(F.xxhash64("url"), F.col("shares"))).cast("int").alias("block"),
         )
 
     def reach(self, k: int):
-        """Per query: the k-th best similarity of the sample, and the groups' shares within reach, each as one number."""
-        pivots, sample, groups = self.pivots, self.sample, self.groups
+        """Per query: the k-th best similarity of the sample, its nearest pivot, and the blocks within reach."""
+        pivots, sample, groups, owners = self.pivots, self.sample, self.groups, self.owners
 
-        @F.pandas_udf("struct<kth:double,visits:array<bigint>>")
+        @F.pandas_udf("struct<kth:double,near:int,visits:array<int>>")
         def visits(embedding: pd.Series) -> pd.DataFrame:
-            unit, g = _unit(embedding), groups.value
-            shares = g[:, 3].astype(np.int64)
-            owner = np.repeat(np.arange(len(g)), shares)
-            code = (owner << SHARE_BITS) + np.arange(len(owner)) - np.repeat(np.cumsum(shares) - shares, shares)
-            cell, lo, hi = g[owner, 0].astype(np.int64), g[owner, 1], g[owner, 2]
-            kths, out = [], []
-            for at in range(0, len(unit), TILE):
-                q = unit[at : at + TILE]
+            block, group = owners.value.T
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            cell, lo, hi = groups.value[group].T
+            cell = cell.astype(np.int64)
+            kths, near, out = [], [], []
+            for at in range(0, len(embedding), TILE):
+                q = _unit(embedding[at : at + TILE])
                 if len(sample.value) < k:
                     kth = np.full(len(q), -2.0)
                 else:
-                    sims = q @ sample.value.T
-                    kth = _round(np.partition(sims, -k, axis=1)[:, -k]) / _STEP
-                limit = np.arccos(np.clip(kth - _SLACK, -1.0, 1.0)) + 1e-7
-                angle = np.arccos(np.clip(q @ pivots.value.T, -1.0, 1.0))
-                for row, most, least in zip(angle, limit, kth):
-                    a = row[cell]
-                    kths.append(least)
-                    out.append(code[np.maximum(lo - a, a - hi) <= most])
-            return pd.DataFrame({"kth": kths, "visits": out})
+                    kth = _round(np.partition(q @ sample.value.T, -k, axis=1)[:, -k]) / _STEP
+                angles = _angles(q, pivots.value)
+                met = np.logical_or.reduceat(_touched(angles[:, cell], kth, lo, hi), starts, axis=1)
+                kths.extend(kth)
+                near.extend(angles.argmin(axis=1))
+                out.extend(block[starts][m].astype(np.int32) for m in met)
+            return pd.DataFrame({"kth": kths, "near": near, "visits": out})
 
         return visits
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """``(query, url, similarity)``: the k most similar rows of each query of ``queries(query, embedding)``.
 
-        A group that more than ``4 * cell_rows`` queries visit is met in several parts, each with
-        that one block; elsewhere a block is sent once.
+        A block is met in parts, each with some of the queries that visit it: one for every
+        ``PART_ROWS`` queries, and enough for all cores.
         """
         if self.empty:
             return self.spark.createDataFrame([], StructType.fromDDL(_FOUND))
         asked = self.scratch.put(queries.withColumn("v", self.reach(k)("embedding")))
-        visits = asked.select(F.col("query").alias("url"), "embedding", "v.kth", F.explode("v.visits").alias("to")).select(
-            "url", "embedding", "kth", F.shiftright("to", SHARE_BITS).cast("int").alias("group"), F.col("to").bitwiseAND((1 << SHARE_BITS) - 1).cast("int").alias("share")
-        )
-        parts = visits.groupBy("group", "share").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(4 * self.cell_rows)).cast("int").alias("parts")
-        )
-        many = self.scratch.put(parts.filter("parts > 1"))
-        none = {"kth": F.lit(None).cast("double")}
-        key = ["group", "share"]
-        held = self.store.join(many, key, "left").withColumns(
-            {"part": F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)), "kind": F.lit(0), **none}
-        )
-        come = visits.join(many, key, "left").withColumns(
-            {"part": F.pmod(F.xxhash64("url"), F.coalesce("parts", F.lit(1))).cast("int"), "kind": F.lit(1)}
+        n = asked.count()
+        spread = math.ceil(2 * self.spark.sparkContext.defaultParallelism / self.blocks)
+        parts = max(1, math.ceil(n / PART_ROWS), min(spread, math.ceil(n / TILE)))
+        tasks = min(MAX_TASKS, self.blocks * parts)
+        task = F.col("block").cast("long") * parts + F.col("part")
+        none = {"kth": F.lit(None).cast("double"), "near": F.lit(0), "kind": F.lit(0)}
+        held = self.store.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), **none})
+        come = asked.select(
+            F.col("query").alias("url"), "embedding", "v.kth", "v.near", F.explode("v.visits").alias("block"),
+            F.lit(0).alias("group"), F.lit(1).alias("kind"),
+            F.pmod(F.xxhash64("query"), F.lit(parts)).alias("part"),
         )
-        columns = [*key, "part", "kind", "url", "embedding", "kth"]
+        columns = ["kind", "url", "embedding", "group", "kth", "near", task.alias("task")]
         rows = held.select(*columns).unionByName(come.select(*columns))
-        dealt = rows.repartition(*key, "part").sortWithinPartitions(*key, "part", "kind", "url")
-        return _keep_best(dealt.mapInPandas(_meet(k), _FOUND), k)
+        dealt = rows.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).sortWithinPartitions("task", "kind", "near")
+        return _keep_best(dealt.mapInPandas(_meet(k, self.groups, self.pivots), _FOUND), k)
 
 
 def _keep_best(found: DataFrame, k: int) -> DataFrame:

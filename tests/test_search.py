@@ -75,3 +75,23 @@ def test_one_layout_serves_any_number_of_queries(spark, monkeypatch, cell_rows):
     own = vectors.knn_cosine(rows(store, "v"), rows(store, "v"), 3, exclude_self=True, cell_rows=cell_rows)
     assert own.count() == 1200 and own.where("query = url").count() == 0
     assert vectors.knn_cosine(rows(asked, "q"), rows(store[:0], "v")).count() == 0
+
+
+def test_a_query_goes_once_to_a_block_however_small_the_groups_are(spark):
+    rng = np.random.default_rng(7)
+    store = rng.normal(size=(600, 16))
+    rows = spark.createDataFrame([(f"v{i}", r.tolist()) for i, r in enumerate(store)], "url string, embedding array<double>")
+    cells = vectors.VectorCells(rows, 4)
+    sent = rows.select(cells.reach(5)("embedding").alias("v")).agg(F.sum(F.size("v.visits"))).first()[0]
+    assert len(cells.groups.value) > 100 and sent <= 600 * cells.blocks == 600
+
+
+def test_a_block_bounds_its_rows_and_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 8 * 16 * 50)
+    rng = np.random.default_rng(8)
+    store = np.concatenate([rng.normal(size=(300, 16)), np.ones((200, 16))])
+    rows = spark.createDataFrame([(f"v{i}", r.tolist()) for i, r in enumerate(store)], "url string, embedding array<double>")
+    cells = vectors.VectorCells(rows, 8)
+    assert max(r["count"] for r in cells.store.groupBy("block").count().collect()) <= 100
+    ask = rows.withColumn("query", F.concat(F.lit("q"), F.substring("url", 2, 9))).select("query", "embedding")
+    assert {tuple(r) for r in cells.search(ask, 5).collect()} == plain_neighbours(store, store, 5)
