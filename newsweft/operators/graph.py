@@ -81,22 +81,23 @@ def article_pairs(
 ) -> DataFrame:
     """Concept pairs of each article with the type the article gives them.
 
-    Mentions are counted first, so a pair comes out once per article however often it is named;
-    a concept named twice is paired with itself. An article names a handful of concepts, so its
-    pairs are made in its own row; ``block_rows`` spreads the pairs of articles with very many.
+    A pair comes out once per article however often it is named; a concept named twice is paired
+    with itself. An article names a handful of concepts, so its mentions become one sorted list and
+    its pairs are made in its own row; ``block_rows`` spreads the pairs of articles with very many.
     """
-    per_article = occ.repartition("url").groupBy("url", "concept").agg(
-        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n")
-    )
     if block_rows is None:
-        named = F.array_sort(F.collect_list(F.struct("concept", "seq", "n"))).alias("c")
-        each = per_article.groupBy("url").agg(named).select("url", "c", F.posexplode("c").alias("i", "x"))
-        later = F.slice("c", F.col("i") + 2, F.size("c"))
-        itself = F.filter(F.array("x"), lambda x: x["n"] > 1)
-        every = each.select("url", "x", F.explode(F.concat(itself, later)).alias("y")).select(
-            "url", F.col("x.concept").alias("a"), F.col("y.concept").alias("b"), F.col("x.seq").alias("seq")
+        named = F.sort_array(F.collect_list(F.struct("concept", F.col("seq").isNull().alias("unknown"), "seq"))).alias("c")
+        each = occ.groupBy("url").agg(named).select("url", "c", F.posexplode("c").alias("i", "x"))
+        # a concept's first mention has its least seq; it is met with all names that follow
+        first = each.filter((F.col("i") == 0) | ~F.get("c", F.col("i") - 1)["concept"].eqNullSafe(F.col("x.concept")))
+        later = F.array_distinct(F.slice("c.concept", F.col("i") + 2, F.size("c")))
+        every = first.select(
+            "url", F.col("x.concept").alias("a"), F.explode(later).alias("b"), F.col("x.seq").alias("seq")
         )
     else:
+        per_article = occ.repartition("url").groupBy("url", "concept").agg(
+            F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n")
+        )
         pairs = pairs_within(per_article, "url", "concept", ["seq"], block_rows=block_rows).select(
             "url", "a", "b", F.col("a_seq").alias("seq")
         )
@@ -111,10 +112,15 @@ def article_pairs(
 
 
 def update_edges(edges: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
-    """The latest declared type wins; a pair never declared is a co-occurrence."""
-    seen = pairs.groupBy("a", "b").agg(
-        F.max_by("type", F.when(F.col("type").isNotNull(), F.col("seq"))).alias("new_type")
-    ).withColumn("hit", F.lit(True))
+    """The latest declared type wins; a pair never declared is a co-occurrence.
+
+    Pairs are many and few of them declared: the pairs are told apart by their hash table alone, as
+    an aggregate that holds strings would sort them all, and types are sought among the declared.
+    """
+    types = pairs.filter(F.col("type").isNotNull() & F.col("seq").isNotNull()).groupBy("a", "b").agg(
+        F.max_by("type", "seq").alias("new_type")
+    )
+    seen = pairs.select("a", "b").distinct().join(types, ["a", "b"], "left")
     return edges.join(seen, ["a", "b"], "full_outer").select(
         "a",
         "b",
@@ -145,35 +151,68 @@ def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """``(concept, degree)``: edge ends per concept; a loop counts twice."""
+    return both_ways(edges).groupBy(F.col("v").alias("concept")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def counted_ends(edges: DataFrame) -> DataFrame:
+    """``edge_ends`` written once, for several questions to one graph: the edges are computed once only."""
+    return Scratch(edges.sparkSession, "ends").put(edge_ends(edges))
+
+
+def edge_count(ends: DataFrame, of: str = "degree") -> Column:
+    """The number of edges, each of which has two ends."""
+    return ends.agg(F.coalesce(F.sum(of), F.lit(0)).alias("n")).select(F.expr("n div 2")).scalar()
+
+
+def with_degree(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    return nodes.join(ends.select("concept", "degree"), "concept", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edge ends per concept; a loop counts twice."""
-    ends = both_ways(edges).groupBy(F.col("v").alias("concept")).agg(F.count(F.lit(1)).alias("degree"))
-    return nodes.join(ends, "concept", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return with_degree(nodes, edge_ends(edges))
+
+
+def _most_connected(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    ranked = with_degree(nodes, ends).orderBy(F.desc("degree"), "first_seen", "concept")
+    return ranked.limit(1).select("concept", "degree")
 
 
 def most_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The concept with most edges; among equals the one seen first."""
-    return (
-        degree(nodes, edges)
-        .orderBy(F.desc("degree"), "first_seen", "concept")
-        .limit(1)
-        .select("concept", "degree")
-    )
+    return _most_connected(nodes, edge_ends(edges))
+
+
+def size_and_most_connected(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``graph_size`` and ``most_connected`` from edges that are computed once."""
+    ends = counted_ends(edges)
+    size = nodes.agg(F.count(F.lit(1)).alias("nodes")).withColumn("edges", edge_count(ends))
+    return size, _most_connected(nodes, ends)
 
 
 def graph_update_stats(
     nodes: DataFrame, edges: DataFrame, next_nodes: DataFrame, next_edges: DataFrame
 ) -> DataFrame:
     """One row: what an update added and how the graph looks now."""
-    added = lambda a, b, k: a.join(b.select(*k), k, "left_anti").agg(F.count(F.lit(1))).scalar()
-    top = most_connected(next_nodes, next_edges)
-    return graph_size(next_nodes, next_edges).select(
-        added(next_nodes, nodes, ["concept"]).alias("nodes_added"),
-        added(next_edges, edges, ["a", "b"]).alias("edges_added"),
+    was = edges.select("a", "b", F.lit(1).alias("was"))
+    marked = next_edges.select("a", "b").join(was, ["a", "b"], "left")
+    # one row per concept, from which all that is asked of the edges follows
+    ends = Scratch(nodes.sparkSession, "ends").put(
+        both_ways(marked, "was").groupBy(F.col("v").alias("concept")).agg(
+            F.count(F.lit(1)).alias("degree"), F.count_if(F.col("was").isNull()).alias("added")
+        )
+    )
+    fresh = next_nodes.join(nodes.select("concept"), "concept", "left_anti").agg(F.count(F.lit(1))).scalar()
+    top = _most_connected(next_nodes, ends).select(F.struct("concept", "degree")).scalar()
+    return next_nodes.agg(F.count(F.lit(1)).alias("nodes")).select(
+        fresh.alias("nodes_added"),
+        edge_count(ends, "added").alias("edges_added"),
         F.col("nodes").alias("total_nodes"),
-        F.col("edges").alias("total_edges"),
-        F.coalesce(top.select("concept").scalar(), F.lit("")).alias("most_connected"),
-        F.coalesce(top.select("degree").scalar(), F.lit(0)).alias("most_connected_edges"),
+        edge_count(ends).alias("total_edges"),
+        F.coalesce(top["concept"], F.lit("")).alias("most_connected"),
+        F.coalesce(top["degree"], F.lit(0)).alias("most_connected_edges"),
     )
 
 
@@ -272,18 +311,34 @@ def graph_view(nodes: DataFrame, edges: DataFrame, max_nodes: int = 200) -> tupl
 
 
 def top_concepts(nodes: DataFrame, edges: DataFrame, by: str = "familiarity", n: int = 20) -> DataFrame:
+    return top_of(degree(nodes, edges), by, n)
+
+
+def top_of(ranked: DataFrame, by: str, n: int) -> DataFrame:
+    """The first ``n`` of nodes that have their degree."""
     if by not in ("familiarity", "degree"):
         raise ValueError("by must be familiarity or degree")
-    return degree(nodes, edges).orderBy(F.desc(by), "first_seen", "concept").limit(n)
+    return ranked.orderBy(F.desc(by), "first_seen", "concept").limit(n)
 
 
 def concept_index(nodes: DataFrame) -> DataFrame:
     return nodes.select("concept", "encounter_count").orderBy("concept")
 
 
+def adjacent(edges: DataFrame) -> DataFrame:
+    """``(v, w)``: each neighbour of a concept once.
+
+    Edges are unique with ``a <= b``, so only a loop would come twice, and no shuffle is needed.
+    """
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")))).otherwise(
+        F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))
+    )
+    return edges.select(F.explode(ways).alias("e")).select("e.v", "e.w")
+
+
 def neighbour_rows(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``(concept, neighbour, first_seen)`` for all concepts or those in ``of``."""
-    pairs = both_ways(edges).distinct().select(F.col("v").alias("concept"), F.col("w").alias("neighbour"))
+    pairs = adjacent(edges).select(F.col("v").alias("concept"), F.col("w").alias("neighbour"))
     if of is not None:
         pairs = pairs.join(of.select("concept").distinct(), "concept", "left_semi")
     seen = nodes.select(F.col("concept").alias("neighbour"), "first_seen")
@@ -371,7 +426,7 @@ def related_concepts(
     """
     words = question_words(questions)
     hits = Scratch(nodes.sparkSession, "related").put(word_hits(words, nodes))
-    around = both_ways(edges).distinct().select(F.col("v").alias("concept"), F.col("w").alias("near"))
+    around = adjacent(edges).select(F.col("v").alias("concept"), F.col("w").alias("near"))
     around = around.join(hits.select("concept").distinct(), "concept", "left_semi")
     nearest = top_per_group(around, ["concept"], [F.col("near")], n)
     grown = hits.join(nearest, "concept").select("word", F.col("near").alias("concept"))

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 
 from newsweft.functions.concepts import UNCATEGORIZED, category_color
 from newsweft.functions.text import safe_filename
-from newsweft.operators.graph import degree, graph_size, neighbour_rows, node_sources, top_concepts
+from newsweft.operators.graph import (
+    counted_ends,
+    degree,
+    edge_count,
+    neighbour_rows,
+    node_sources,
+    top_of,
+    with_degree,
+)
 from newsweft.operators.skew import number_rows
 from newsweft.operators.stats import domain_table
 
@@ -162,13 +170,14 @@ def render_index(
         _percent(F.col("familiarity")), F.lit(" |"),
     )
     by = lambda c: [(-F.col(c)).alias("o"), F.col("first_seen")]
-    top_fam = _top_table(top_concepts(rows, edges, "familiarity", 20), fam, by("familiarity"))
-    top_deg = _top_table(top_concepts(rows, edges, "degree", 20), deg, by("degree"))
+    ends = counted_ends(edges)
+    ranked = with_degree(rows, ends)
+    top_fam = _top_table(top_of(ranked, "familiarity", 20), fam, by("familiarity"))
+    top_deg = _top_table(top_of(ranked, "degree", 20), deg, by("degree"))
     entry = F.concat(
         F.lit("- "), _link(F.col("concept")), F.format_string(" (%d encounters)", "encounter_count")
     )
     pages = _pages(rows.withColumn("all", F.lit(1)), ["all"], "concept", entry, "listed", page_size)
-    size = graph_size(nodes, edges)
     one = lambda df, c: df.select(c).scalar()
     head = F.concat(
         F.lit(f"---\ntags:\n  - {tag}/index\nupdated: {today}\n"),
@@ -184,8 +193,8 @@ def render_index(
     )
     return pages.withColumns(
         {
-            "n": one(size, "nodes"),
-            "m": one(size, "edges"),
+            "n": nodes.agg(F.count(F.lit(1))).scalar(),
+            "m": edge_count(ends),
             "domains": one(per_domain, "t"),
             "fams": one(top_fam, "t"),
             "degs": one(top_deg, "t"),

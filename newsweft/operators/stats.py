@@ -183,6 +183,7 @@ def kb_stats(
 ) -> DataFrame:
     """Everything the status page shows, in one row."""
     one = lambda df, c: df.select(c).scalar()
+    top = most_connected.select(F.struct("concept", "degree")).scalar()
     return url_stats(visited).select(
         F.col("total_urls").alias("urls_visited"),
         F.col("passed_relevance").alias("urls_passed_relevance"),
@@ -190,6 +191,6 @@ def kb_stats(
         vectors.agg(F.count(F.lit(1))).scalar().alias("article_embeddings"),
         one(graph_size, "nodes").alias("graph_nodes"),
         one(graph_size, "edges").alias("graph_edges"),
-        F.coalesce(one(most_connected, "concept"), F.lit("")).alias("most_connected_topic"),
-        F.coalesce(one(most_connected, "degree"), F.lit(0)).alias("most_connected_edges"),
+        F.coalesce(top["concept"], F.lit("")).alias("most_connected_topic"),
+        F.coalesce(top["degree"], F.lit(0)).alias("most_connected_edges"),
     )
