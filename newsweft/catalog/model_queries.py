@@ -361,6 +361,7 @@ def daily_inputs(t):
     vectors = models.embed(t.articles.select("url", "key_concepts", "summary", "title", "source_name")).select(
         "url", "embedding", "title", F.col("source_name").alias("source"), F.col("text").alias("document")
     )
+    vectors = Scratch(spark, "vectors").put(vectors)  # a table, as the state of a run is: a search reads it several times
     state = State(
         visited=t.visited, articles=t.articles, vectors=vectors,
         nodes=t.event_nodes.withColumns(

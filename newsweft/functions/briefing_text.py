@@ -223,7 +223,7 @@ def parse_feedback(md: Column) -> Column:
         none = F.array().cast("array<string>")
         body = F.when(start > 0, let(F.struct(ls.alias("ls"), start.alias("start")), to_end)).otherwise(none)
         parsed = F.filter(
-            F.transform(body, lambda x: parse_feedback_line(strip(x))), lambda f: f.isNotNull()
+            F.transform(F.transform(body, strip), parse_feedback_line), lambda f: f.isNotNull()
         )
         return let(F.coalesce(parsed, F.array().cast(_FEEDBACK_ROWS)), lambda rows: one_per_key(rows, lambda f: f["article_number"], last=True))
 

@@ -36,26 +36,31 @@ def parse_feedback(briefings: DataFrame) -> DataFrame:
 
 
 def feedback_with_articles(briefings: DataFrame) -> DataFrame:
-    """Filled-in feedback with the title and concepts of the article it numbers."""
-    rows = briefings.select(
-        "briefing_date",
-        B.heading_metadata(F.col("md")).alias("heads"),
-        F.explode(B.parse_feedback(F.col("md"))).alias("f"),
-    )
-    meta = B._last(F.filter("heads", lambda h: h["article_number"] == F.col("f.article_number")))
-    return (
-        rows.withColumn("m", meta)
-        .select(
-            "briefing_date",
-            "f.article_number",
-            F.coalesce("m.title", F.lit("")).alias("title"),
-            F.coalesce("m.concepts", F.array().cast("array<string>")).alias("concepts"),
-            "f.read",
-            "f.interest",
-            "f.quality",
+    """Filled-in feedback with the title and concepts of the article it numbers.
+
+    A document's headings are read once, not again for each of its rows.
+    """
+    given = lambda f: f["read"] | f["interest"].isNotNull() | f["quality"].isNotNull()
+
+    def about(heads: Column, f: Column) -> Column:
+        of = F.filter(heads, lambda h: h["article_number"] == f["article_number"])
+        return let(
+            B._last(of),
+            lambda m: F.struct(
+                f["article_number"].alias("article_number"),
+                F.coalesce(m["title"], F.lit("")).alias("title"),
+                F.coalesce(m["concepts"], F.array().cast("array<string>")).alias("concepts"),
+                f["read"].alias("read"),
+                f["interest"].alias("interest"),
+                f["quality"].alias("quality"),
+            ),
         )
-        .filter(F.col("read") | F.col("interest").isNotNull() | F.col("quality").isNotNull())
+
+    rows = lambda md: let(
+        B.heading_metadata(md),
+        lambda heads: F.transform(F.filter(B.parse_feedback(md), given), lambda f: about(heads, f)),
     )
+    return briefings.select("briefing_date", F.inline(let(F.col("md"), rows)))
 
 
 def unprocessed_briefings(briefings: DataFrame, feedback: DataFrame) -> DataFrame:

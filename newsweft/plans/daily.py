@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweft.functions.text import extract_body, usable_html
+from newsweft.lineage import Scratch
 from newsweft.operators import (
     briefing,
     checks,
@@ -89,6 +90,8 @@ def fold_feedback(run: Run) -> dict[str, DataFrame]:
         briefing.unprocessed_briefings(run.briefings, run.state.feedback)
     )
     day = F.datediff("briefing_date", F.lit("1970-01-01").cast("date")).cast("long")
+    # the forms are read once; the fold and the feedback table ask for their rows several times
+    rows = Scratch(rows.sparkSession, "forms").put(rows)
     ordered = rows.withColumn("seq", day * (1 << 32) + F.col("article_number"))
     nodes = feedback.apply_feedback(run.state.nodes, ordered, run.now)
     taken = rows.select(
@@ -116,7 +119,7 @@ def discover(landed: DataFrame, sources: DataFrame) -> DataFrame:
 
 def find_entries(run: Run) -> dict[str, DataFrame]:
     sources = chosen_sources(run)
-    entries = discover(run.landed, sources)
+    entries = Scratch(run.landed.sparkSession, "entries").put(discover(run.landed, sources))  # payloads are parsed once
     counts = (
         entries.groupBy("source_name")
         .agg(F.count(F.lit(1)).alias("articles_found"))
@@ -151,6 +154,7 @@ def rate(run: Run) -> dict[str, DataFrame]:
         failures = run.state.failures
     else:
         scored, failed = models.score_relevance(new, run.interests)
+        scored = Scratch(new.sparkSession, "scored").put(scored)  # rated once, asked for several times
         scored = select.split_relevance(scored, select.adaptive_threshold(new, params))
         roles = select.quota_select(scored, params)
         failures = upsert.upsert_failures(run.state.failures, _with_run(failed, run), run.now)
@@ -165,7 +169,11 @@ def rate(run: Run) -> dict[str, DataFrame]:
 def _read(rows: DataFrame, run: Run) -> tuple[DataFrame, DataFrame]:
     """Summaries of the rows whose page landed, and failure rows for the others: a page that never
     landed is another failure than one with too little text."""
-    html = run.pages.filter(usable_html(F.col("html"))).select(
+    # pages are many and large, the rows few: only their pages are looked into, and those once
+    scratch = Scratch(rows.sparkSession, "pages")
+    wanted = scratch.put(rows.select("url").distinct())
+    asked = scratch.put(run.pages.select("url", "html").join(wanted, "url", "left_semi"))
+    html = asked.filter(usable_html(F.col("html"))).select(
         "url", extract_body(F.col("html")).alias("body"), F.lit(True).alias("landed")
     )
     fetched = rows.join(html, "url", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsweft.catalog.core import Tables
 from newsweft.catalog.model_queries import INTERESTS, daily_inputs
-from newsweft.operators import merge, upsert
+from newsweft.operators import briefing, merge, upsert
 from newsweft.operators.documents import write_documents
 from newsweft.params import Params
 from newsweft.plans import daily
@@ -205,6 +205,26 @@ def test_documents_are_written_all_or_none(spark, tmp_path):
         assert not [d for d in os.listdir(root) if d.startswith(".writing")]
 
 
+def test_only_pages_of_the_rows_are_looked_into(spark, monkeypatch):
+    """Whatever the planner moves below the join would look into every page."""
+    looked = lambda c: F.when(F.contains(c, F.lit("unasked")), F.raise_error(F.lit("looked into")).cast("boolean")).otherwise(True)
+    monkeypatch.setattr(daily, "usable_html", looked)
+    body = " ".join(f"word{i} is here." for i in range(200))
+    pages = spark.createDataFrame([("a", f"<article>{body}</article>"), ("b", "<article>unasked</article>"), ("c", "<article>x</article>")], "url string, html string")
+    rows = spark.createDataFrame([("a", 1, "A", "s"), ("c", 2, "C", "s"), ("gone", 3, "G", "s")], "url string, seq long, title string, source_name string")
+    run = daily.Run(None, None, None, pages, None, INTERESTS, Params(), "2024-01-31", "r", now())
+    read, lost = daily._read(rows, run)
+    assert [r.url for r in read.collect()] == ["a"] and {r.url for r in lost.collect()} == {"c", "gone"}
+
+
+def test_headings_are_read_once_a_document(spark):
+    df = spark.range(3).selectExpr("id AS briefing_date", "concat('### 1. T', id, '\n## Your Feedback\n- 1: read=yes\n- 2: read=yes') AS md")
+    rows = briefing.feedback_with_articles(df)
+    assert sorted((r.briefing_date, r.article_number, r.title) for r in rows.collect()) == [(i, n, f"T{i}" if n == 1 else "") for i in range(3) for n in (1, 2)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "###" not in plan.split("Generate")[0]  # nothing is read again for each row that comes out
+
+
 # -- large JSON documents ------------------------------------------------------------------------
 
 
