@@ -32,7 +32,11 @@ def _inside(path: str | None) -> str:
 
 class _DocumentWriter(DataSourceArrowWriter):
     """Tasks write under a folder of the job and list what belongs where; the commit moves the files of
-    the tasks that count, the abort removes the folder. A task that fails leaves nothing in place."""
+    the tasks that count, the abort removes the folder. A task that fails leaves nothing in place.
+
+    The folder is there before the tasks are, and the abort first takes it out of their way: a task
+    that is still at work then finds no place to write to, and brings no folder back.
+    """
 
     def __init__(self, root: str) -> None:
         self.root = root
@@ -44,11 +48,15 @@ class _DocumentWriter(DataSourceArrowWriter):
         store, base = fs.FileSystem.from_uri(self.root)
         return store, base.rstrip("/")
 
+    def begin(self) -> None:
+        store, base = self._store()
+        store.create_dir(f"{base}/{self.stage}", recursive=True)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, base = self._store()
         task = uuid.uuid4().hex
         folder, n = f"{base}/{self.stage}/{task}", 0
-        store.create_dir(folder, recursive=True)
+        store.create_dir(folder, recursive=False)
         with store.open_output_stream(f"{folder}/list") as listed:
             for batch in iterator:
                 for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
@@ -82,7 +90,8 @@ class _DocumentWriter(DataSourceArrowWriter):
         from pyarrow import fs
 
         if store.get_file_info(f"{base}/{self.stage}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{base}/{self.stage}")
+            store.move(f"{base}/{self.stage}", f"{base}/{self.stage}-ended")
+            store.delete_dir(f"{base}/{self.stage}-ended")
 
 
 def _lines(stream, block: int = 1 << 20) -> Iterator[bytes]:
@@ -104,7 +113,9 @@ class DocumentSink(DataSource):
     def writer(self, schema, overwrite: bool) -> _DocumentWriter:
         if overwrite:
             raise ValueError("documents are added to a folder; use append")
-        return _DocumentWriter(self.options["path"])
+        made = _DocumentWriter(self.options["path"])
+        made.begin()
+        return made
 
 
 def write_documents(df: DataFrame, root: str) -> None:

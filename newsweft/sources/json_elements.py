@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsweft.lineage import qualified
+from newsweft.lineage import Scratch, qualified
 
 RANGE_BYTES = 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 ELEMENT_DEPTH = 2  # within the document and an array of it
 _ESCAPED = re.compile(rb"\\.", re.DOTALL)
 _OTHERS = bytes(sorted(set(range(256)) - set(b'"{}[]')))
@@ -98,25 +100,33 @@ def elements(file, start: int, end: int, inside: bool, depth: int, block: int =
                 opened = None
 
 
-def _frame(file: str, held: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"file": [file] * len(held), "element": held}, dtype=object)
+def _frame(files: list[str], held: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"file": files, "element": held}, dtype=object)
+
+
+def few_tasks(files: DataFrame) -> DataFrame:
+    """A folder of very many small files in a bounded number of tasks."""
+    return files.coalesce(32 * files.sparkSession.sparkContext.defaultParallelism)
 
 
 def json_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``(file, element)``: each object in an array of the document, as its text. ``path`` is a file or a folder of files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(qualified(spark, path)).select("path", "length")
-    starts, ranges = [], []  # files of one range start where every document does
-    for f in sorted(files.collect()):  # one row a file, without its content
-        file = re.sub(r"^(\w+):/(?!/)", r"\1:///", f.path)
-        if 0 < f.length <= range_bytes:
-            starts.append((file, 0, f.length, False, 0))
-        else:
-            ranges += [(file, s, min(f.length, s + range_bytes)) for s in range(0, f.length, range_bytes)]
-    if not starts and not ranges:
-        return spark.createDataFrame([], "file string, element string")
-    size = sum(r[2] - r[1] for r in starts + ranges)
+    """``(file, element)``: each object in an array of the document, as its text. ``path`` is a file or a folder of files.
+
+    The list of files is a table; only files of several ranges, which are few, are known to the driver.
+    """
+    found = few_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(qualified(spark, path)))
+    files = Scratch(spark, "files").put(
+        found.select(F.regexp_replace("path", r"^(\w+):/(?!/)", "$1:///").alias("file"), "length")
+    )
+    size = files.agg(F.sum("length")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
-    spread = lambda rows, ddl: spark.createDataFrame(rows, ddl).repartition(min(len(rows), tasks), "file", "first")
+    ranges = [
+        (f.file, s, min(f.length, s + range_bytes))
+        for f in sorted(files.filter(F.col("length") > range_bytes).collect())
+        for s in range(0, f.length, range_bytes)
+    ]
+    deal = lambda rows, n: rows.repartition(n, "file", "first")
+    spread = lambda rows, ddl: deal(spark.createDataFrame(rows, ddl), min(len(rows), tasks))
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -128,22 +138,32 @@ def json_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     ddl = "file string, first long, last long"
     found = spread(ranges, ddl).mapInPandas(sums, f"{ddl}, quotes long, outside long, inside long").collect() if ranges else []
     at: dict[str, tuple[bool, int]] = {}
+    starts = []
     for r in sorted(found):
         inside, depth = at.get(r.file, (False, 0))
         starts.append((r.file, r.first, r.last, inside, depth))
         at[r.file] = (inside ^ bool(r.quotes % 2), depth + (r.inside if inside else r.outside))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names: list[str] = []
+        held: list[str] = []
+        size = 0
         for frame in frames:
             for file, first, last, inside, depth in zip(*(frame[c] for c in ("file", "first", "last", "inside", "depth"))):
                 with _open(file) as opened:
-                    held: list[str] = []
                     for element in elements(opened, first, last, bool(inside), depth):
+                        names.append(file)
                         held.append(element.decode("utf-8", "replace"))
-                        if len(held) >= 1000:
-                            yield _frame(file, held)
-                            held = []
-                    if held:
-                        yield _frame(file, held)
-
-    return spread(starts, f"{ddl}, inside boolean, depth int").mapInPandas(read, "file string, element string")
+                        size += len(element)
+                        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                            yield _frame(names, held)
+                            names, held, size = [], [], 0
+        if held:
+            yield _frame(names, held)
+
+    # files of one range start where every document does
+    whole = files.filter((F.col("length") > 0) & (F.col("length") <= range_bytes)).select(
+        "file", F.lit(0).cast("long").alias("first"), F.col("length").alias("last"), F.lit(False).alias("inside"), F.lit(0).alias("depth")
+    )
+    begin = whole.unionByName(spark.createDataFrame(starts, f"{ddl}, inside boolean, depth int"))
+    return deal(begin, tasks).mapInPandas(read, "file string, element string")

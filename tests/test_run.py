@@ -5,6 +5,7 @@ import os
 import random
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from newsweft.catalog.core import Tables
 from newsweft.catalog.model_queries import INTERESTS, daily_inputs
 from newsweft.operators import briefing, merge, upsert
-from newsweft.operators.documents import write_documents
+from newsweft.operators.documents import DocumentSink, write_documents
 from newsweft.params import Params
 from newsweft.plans import daily
 from newsweft.plans.staging import StageStore
@@ -205,6 +206,47 @@ def test_documents_are_written_all_or_none(spark, tmp_path):
         assert not [d for d in os.listdir(root) if d.startswith(".writing")]
 
 
+def test_a_task_that_outlives_the_abort_leaves_nothing(tmp_path):
+    sink = DocumentSink({"path": f"file://{tmp_path}"})
+    writer = sink.writer(None, False)
+    batch = pa.RecordBatch.from_pylist([{"path": "a.md", "content": "x"}])
+
+    def late():
+        yield batch
+        writer.abort([])
+        yield batch
+
+    for rows in (late(), iter([batch])):  # one at work when the abort comes, one that starts after it
+        with pytest.raises(OSError):
+            writer.write(rows)
+    assert os.listdir(tmp_path) == []
+
+
+def test_many_small_briefings_are_read_by_few_tasks(spark, tmp_path):
+    n = 32 * spark.sparkContext.defaultParallelism + 20
+    for i in range(n):
+        (tmp_path / f"2024-01-{i:04d}.md").write_text("é\n")
+    (tmp_path / "2024-02-03.md").write_bytes(b"a\r\n\xef\xbb\xbfb")
+    (tmp_path / "other.txt").write_text("x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1)
+    try:
+        rows = files.read_briefings(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() < n
+        got = rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == n + 1 and [r.md for r in got if r.briefing_date is not None and r.md != "é\n"] == ["a\r\n\ufeffb"]
+
+
+def test_a_graph_is_read_from_its_files_once(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"nodes": [{"id": f"n{i}"}], "links": [{"source": f"n{i}", "target": "x"}]}))
+    nodes, edges = files.read_graph_json(spark, str(tmp_path))
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text("{}")
+    assert nodes.count() == 3 and edges.count() == 3
+
+
 def test_only_pages_of_the_rows_are_looked_into(spark, monkeypatch):
     """Whatever the planner moves below the join would look into every page."""
     looked = lambda c: F.when(F.contains(c, F.lit("unasked")), F.raise_error(F.lit("looked into")).cast("boolean")).otherwise(True)
