@@ -393,10 +393,26 @@ def word_hits(words: DataFrame, nodes: DataFrame) -> DataFrame:
     return in_name.unionByName(in_word).join(names, "name").select("word", "concept")
 
 
-def match_concepts(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Concepts that contain a longer word of the question or are contained in one."""
+def match_concepts(questions: DataFrame, nodes: DataFrame, *, most_words: int = 256) -> DataFrame:
+    """Concepts that contain a longer word of the question or are contained in one.
+
+    The pairs are by far the largest table here, so they are not made word by word and shuffled to
+    be told apart: concepts that the same words hit share their questions, which are sought once for
+    each set of words. Concepts with more than ``most_words`` words, short ones as a rule, are left
+    to the plain way, as a set that large has few that share it.
+    """
     words = question_words(questions)
-    return words.join(word_hits(words, nodes), "word").select("question_id", "concept").distinct()
+    scratch = Scratch(nodes.sparkSession, "matches")
+    hits = scratch.put(word_hits(words, nodes))
+    many = scratch.put(hits.groupBy("concept").count().filter(F.col("count") > most_words).select("concept"))
+    few = hits.join(many, "concept", "left_anti").groupBy("concept").agg(F.sort_array(F.collect_set("word")).alias("words"))
+    held = scratch.put(few)
+    sets = held.select("words").distinct()
+    asked = scratch.put(
+        sets.select("words", F.explode("words").alias("word")).join(words, "word").select("words", "question_id").distinct()
+    )
+    plain = words.join(hits.join(many, "concept", "left_semi"), "word").select("question_id", "concept").distinct()
+    return held.join(asked, "words").select("question_id", "concept").unionByName(plain)
 
 
 def first_matches(

@@ -27,6 +27,19 @@ def test_contained_pairs_equal_all_pairs(spark, share_rows):
     assert contained_pairs(spark.createDataFrame([("abcd",)], "inner string"), none).count() == 0
 
 
+@pytest.mark.parametrize("most_words", [0, 2, 256])
+def test_questions_and_concepts_meet_by_sets_of_words(spark, most_words):
+    """Each pair once, for concepts of few words and of many; pairs of the first are not shuffled to be told apart."""
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["green ring", "ring greenring", "gree bolt", "hot rods"])], "question_id long, question string")
+    names = [f"{x}ring{i}" for x in ("green", "hot") for i in range(30)] + ["r", "ring", "gree"]
+    rows = graph.match_concepts(q, spark.createDataFrame([(c,) for c in names], "concept string"), most_words=most_words)
+    asked = {i: {w for w in t.split() if len(w) > 3} for i, t in enumerate(["green ring", "ring greenring", "gree bolt", "hot rods"])}
+    want = sorted((i, c) for i, ws in asked.items() for c in names if any(w in c or c in w for w in ws))
+    assert sorted(map(tuple, rows.collect())) == want
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "Aggregate" not in plan.split("\n+- ")[0]
+
+
 def test_first_matches_and_related_equal_a_full_scan(spark):
     rnd = random.Random(2)
     concepts = sorted({"".join(rnd.choice(["Graph", "node", "ab", "Z", "xy"]) for _ in range(rnd.randrange(1, 5))) for _ in range(150)})
