@@ -24,6 +24,7 @@ from newsweft.operators.containment import contained_pairs
 from newsweft.operators.skew import pairs_within, top_per_group
 
 CO_OCCURRENCE = "co_occurrence"
+LOW_NAMES = 1024
 
 
 def occurrences(summaries: DataFrame) -> DataFrame:
@@ -111,9 +112,12 @@ def article_pairs(
     return typed.withColumn("type", F.when(F.col("type") != CO_OCCURRENCE, F.col("type")))
 
 
-def update_edges(edges: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
+def update_edges(edges: DataFrame | None, pairs: DataFrame, now: Column) -> DataFrame:
     """The latest declared type wins; a pair never declared is a co-occurrence.
 
+    Without ``edges`` the graph begins with these pairs; then what is asked of its ends reaches them
+    before they are told apart.
+
     Pairs are many and few of them declared: the pairs are told apart by their hash table alone, as
     an aggregate that holds strings would sort them all, and types are sought among the declared.
     """
@@ -121,6 +125,10 @@ def update_edges(edges: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
         F.max_by("type", "seq").alias("new_type")
     )
     seen = pairs.select("a", "b").distinct().join(types, ["a", "b"], "left")
+    if edges is None:
+        return seen.select(
+            "a", "b", F.coalesce("new_type", F.lit(CO_OCCURRENCE)).alias("relationship_type"), now.alias("first_seen")
+        )
     return edges.join(seen, ["a", "b"], "full_outer").select(
         "a",
         "b",
@@ -336,11 +344,24 @@ def adjacent(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(ways).alias("e")).select("e.v", "e.w")
 
 
+def adjacent_to(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """``adjacent`` for the concepts in ``of`` alone, which is a table, as it is read for either end.
+
+    The edges are cut by each end before they are laid out both ways; when ``of`` is small enough to
+    be broadcast, also before whatever aggregate they come from.
+    """
+    ends = of.select("concept").distinct()
+    forth = edges.join(ends.select(F.col("concept").alias("a")), "a", "left_semi")
+    back = edges.filter(F.col("a") != F.col("b")).join(ends.select(F.col("concept").alias("b")), "b", "left_semi")
+    return forth.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(
+        back.select(F.col("b").alias("v"), F.col("a").alias("w"))
+    )
+
+
 def neighbour_rows(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """``(concept, neighbour, first_seen)`` for all concepts or those in ``of``."""
-    pairs = adjacent(edges).select(F.col("v").alias("concept"), F.col("w").alias("neighbour"))
-    if of is not None:
-        pairs = pairs.join(of.select("concept").distinct(), "concept", "left_semi")
+    """``(concept, neighbour, first_seen)`` for all concepts or those in ``of``, which is read twice."""
+    pairs = adjacent(edges) if of is None else adjacent_to(edges, of)
+    pairs = pairs.select(F.col("v").alias("concept"), F.col("w").alias("neighbour"))
     seen = nodes.select(F.col("concept").alias("neighbour"), "first_seen")
     return pairs.join(seen, "neighbour").select("concept", "neighbour", "first_seen")
 
@@ -416,15 +437,16 @@ def match_concepts(questions: DataFrame, nodes: DataFrame, *, most_words: int =
 
 
 def first_matches(
-    questions: DataFrame, nodes: DataFrame, order: list[Column], n: int, carry: list[str]
+    questions: DataFrame, nodes: DataFrame, order: list[Column], n: int, carry: list[str], *, hits: DataFrame | None = None
 ) -> DataFrame:
     """The first ``n`` matched concepts of each question in ``order`` over ``concept`` and ``carry``.
 
     A question's first ``n`` are among the first ``n`` of its words, so hits are cut for each word
-    before any question sees them, however many concepts a word has.
+    before any question sees them, however many concepts a word has. ``hits`` are the questions'
+    ``word_hits``, where they are at hand.
     """
     words = question_words(questions)
-    hits = word_hits(words, nodes)
+    hits = word_hits(words, nodes) if hits is None else hits
     if carry:
         hits = hits.join(nodes.select("concept", *carry), "concept")
     of_word = top_per_group(hits, ["word"], order, n)
@@ -433,30 +455,61 @@ def first_matches(
 
 
 def related_concepts(
-    questions: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 15
+    questions: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 15, *, hits: DataFrame | None = None
 ) -> DataFrame:
     """Matched concepts and their neighbours, the first ``n`` in sort order.
 
-    Only the first ``n`` neighbours of a concept can be among a question's first ``n``, and only the
-    first ``n`` of a word among those of its questions: both are cut before they meet.
+    Only the first ``n`` of a word can be among those of its questions, so both are cut for each word
+    before a question sees them. ``hits`` are the questions' ``word_hits``, where they are a table.
     """
     words = question_words(questions)
-    hits = Scratch(nodes.sparkSession, "related").put(word_hits(words, nodes))
-    around = adjacent(edges).select(F.col("v").alias("concept"), F.col("w").alias("near"))
-    around = around.join(hits.select("concept").distinct(), "concept", "left_semi")
-    nearest = top_per_group(around, ["concept"], [F.col("near")], n)
-    grown = hits.join(nearest, "concept").select("word", F.col("near").alias("concept"))
+    if hits is None:
+        hits = Scratch(nodes.sparkSession, "related").put(word_hits(words, nodes))
     order = [F.col("concept")]
     own = top_per_group(hits, ["word"], order, n)
+    grown = first_neighbours(hits, nodes, edges, n)
     of_word = top_per_group(own.unionByName(grown).distinct(), ["word"], order, n)
     rows = words.join(of_word, "word").select("question_id", "concept").distinct()
     return top_per_group(rows, ["question_id"], order, n)
 
 
-def graph_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def first_neighbours(
+    hits: DataFrame, nodes: DataFrame, edges: DataFrame, n: int, *, low_names: int = LOW_NAMES
+) -> DataFrame:
+    """``(word, concept)``: the first ``n`` in sort order of all neighbours that a word's hits have.
+
+    A word with very many hits finds them among the first names of all, so first only edges with an
+    end up to the ``low_names``-th name are looked at. A word that has ``n`` neighbours there has no
+    earlier ones elsewhere; all edges of the other words' hits are looked at after that.
+    """
+    scratch = Scratch(nodes.sparkSession, "neighbours")
+    order = [F.col("concept")]
+    cut = nodes.select("concept").orderBy("concept").limit(low_names).agg(F.max("concept")).scalar()
+    low = scratch.put(adjacent(edges.filter(F.least("a", "b") <= cut)).filter(F.col("w") <= cut))
+
+    def of(hits: DataFrame, around: DataFrame) -> DataFrame:
+        near = around.select(F.col("v").alias("concept"), F.col("w").alias("near"))
+        met = hits.join(near, "concept").select("word", F.col("near").alias("concept"))
+        return top_per_group(met.distinct(), ["word"], order, n)
+
+    found = scratch.put(of(hits, low))
+    full = found.groupBy("word").count().filter(F.col("count") >= n)
+    opened = scratch.put(hits.select("word").distinct().join(full, "word", "left_anti"))
+    if opened.isEmpty():
+        return found
+    left = scratch.put(hits.join(opened, "word", "left_semi"))
+    # only the first n neighbours of a concept can be among the first n of a word
+    around = top_per_group(adjacent_to(edges, left), ["v"], [F.col("w")], n)
+    return found.join(opened, "word", "left_anti").unionByName(of(left, around))
+
+
+def graph_context(
+    questions: DataFrame, nodes: DataFrame, edges: DataFrame, *, hits: DataFrame | None = None
+) -> DataFrame:
     """Up to eight matched concepts per question, described line by line."""
     about = ["first_seen", "encounter_count", "familiarity"]
-    first = first_matches(questions, nodes, [F.col("first_seen"), F.col("concept")], 8, about)
+    first = first_matches(questions, nodes, [F.col("first_seen"), F.col("concept")], 8, about, hits=hits)
+    first = Scratch(nodes.sparkSession, "context").put(first)
     near = neighbours_of(nodes, edges, 5, first)
     line = F.format_string(
         "- %s: encountered %d time(s), familiarity %.1f, connected to [%s]",
@@ -492,6 +545,7 @@ def suggest_explorations(nodes: DataFrame, edges: DataFrame, n: int = 5) -> Data
         .orderBy(F.desc("degree"), "rule", "first_seen", "concept")
         .limit(n)
     )
+    best = Scratch(nodes.sparkSession, "explorations").put(best)
     near = neighbours_of(nodes, edges, 3, best)
     hub_text = F.format_string(
         "Connected to %s, but you have only %d article(s) on it.",

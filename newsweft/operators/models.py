@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweft.functions.text import chunk_text, embed_text, estimate_tokens, let, strip
+from newsweft.lineage import Scratch
 from newsweft.operators.checks import failure_columns
-from newsweft.operators.graph import graph_context, related_concepts
+from newsweft.operators.graph import graph_context, question_words, related_concepts, word_hits
 from newsweft.operators.skew import top_per_group
 from newsweft.operators.vectors import knn_cosine
 from newsweft.params import Params
@@ -242,13 +243,17 @@ def retrieve_context(
             F.coalesce("title", F.lit("Unknown")), "similarity", F.coalesce("document", F.lit("")),
         ).alias("snippet"),
     )
+    # both looks at the graph read its nodes and the words' hits from one table
+    scratch = Scratch(questions.sparkSession, "retrieval")
+    nodes = scratch.put(nodes.select("concept", "first_seen", "encounter_count", "familiarity"))
+    hits = scratch.put(word_hits(question_words(questions), nodes))
     # at most k rows per question
     ordered = F.array_sort(F.collect_list(F.struct("rank", "snippet", "article")))
     per_question = found.groupBy("qid").agg(
         F.array_join(F.transform(ordered, lambda x: x["snippet"]), "\n\n").alias("articles"),
         F.transform(ordered, lambda x: x["article"]).alias("sources"),
     )
-    related = related_concepts(questions, nodes, edges, 15).groupBy("question_id").agg(
+    related = related_concepts(questions, nodes, edges, 15, hits=hits).groupBy("question_id").agg(
         F.array_sort(F.collect_list("concept")).alias("related_concepts")
     )
     text = F.concat(
@@ -267,7 +272,7 @@ def retrieve_context(
         questions.drop("embedding")
         .withColumn("qid", F.col("question_id").cast("string"))
         .join(per_question, "qid", "left")
-        .join(graph_context(questions, nodes, edges), "question_id", "left")
+        .join(graph_context(questions, nodes, edges, hits=hits), "question_id", "left")
         .join(related, "question_id", "left")
         .select(
             "question_id",

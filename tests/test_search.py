@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsweft.lineage import Scratch
 from newsweft.operators import graph, vectors
 from newsweft.operators.containment import contained_pairs
 
@@ -62,6 +63,36 @@ def test_first_matches_and_related_equal_a_full_scan(spark):
     assert {(r.question_id, r.concept) for r in graph.related_concepts(q, n, e, 4).collect()} == {(i, c) for i in around for c in around[i][:4]}
 
 
+@pytest.mark.parametrize("low_names", [1, 6, 1024])
+def test_first_neighbours_are_sought_among_the_first_names_and_then_everywhere(spark, low_names):
+    """Names sort as their numbers; ends that are no nodes, loops, a word of one hit and words without any."""
+    rnd = random.Random(3)
+    names = [f"{i:03d}{'ring' if i % 2 else 'bolt'}" for i in range(60)] + ["999rare"]
+    edges = sorted({tuple(sorted(rnd.sample(names + ["000aaa", "998zzz"], 2))) for _ in range(250)} | {("001ring", "001ring")})
+    edges = [e for e in edges if "999rare" not in e] + [("059ring", "999rare"), ("058bolt", "999rare")]
+    hits = [(w, c) for w in ("ring", "bolt", "rare", "lonely") for c in names if w in c] + [("lonely", "no edges")]
+    got = graph.first_neighbours(
+        spark.createDataFrame(hits, "word string, concept string"), spark.createDataFrame([(c,) for c in names], "concept string"),
+        spark.createDataFrame(edges, "a string, b string"), 4, low_names=low_names,
+    ).select("word", "concept").collect()
+    near = {c: {b if a == c else a for a, b in edges if c in (a, b)} for c in names}
+    want = {(w, c) for w in ("ring", "bolt", "rare") for c in sorted(set().union(*[near[h] for v, h in hits if v == w]))[:4]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_few_concepts_reach_the_pairs_before_they_are_told_apart(spark):
+    occ = spark.createDataFrame([(f"u{i}", i, f"c{i % 7}{j}") for i in range(40) for j in range(4)], "url string, seq long, concept string")
+    edges = graph.update_edges(None, graph.article_pairs(occ, None), F.current_timestamp())
+    few = Scratch(spark, "few").put(spark.createDataFrame([("c10",), ("c31",)], "concept string"))
+    near = graph.adjacent_to(edges, few)
+    want = {(r.v, r.w) for r in graph.adjacent(edges).collect() if r.v in ("c10", "c31")}
+    assert len(want) == 6 and sorted(map(tuple, near.collect())) == sorted(want)
+    lines = near._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = lambda text: [i for i, x in enumerate(lines) if text in x]
+    told = [i for i in at("Aggregate [a#") if "AS v#" in lines[i]]
+    assert len(told) == 2 and len(at("Join LeftSemi")) == 2 and all(t < j for t, j in zip(told, at("Join LeftSemi")))
+
+
 def plain_neighbours(queries, store, k):
     unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
     sims = np.floor(unit(queries) @ unit(store).T * 1e6 + 0.5) / 1e6
