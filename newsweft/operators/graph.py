@@ -77,6 +77,16 @@ def update_nodes(nodes: DataFrame, occ: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def _first_mentions(occ: DataFrame) -> DataFrame:
+    """``(url, c, i, x)``: an article's mentions as one sorted list ``c``, and each concept's first mention ``x`` at ``i``.
+
+    A concept's first mention has its least seq.
+    """
+    named = F.sort_array(F.collect_list(F.struct("concept", F.col("seq").isNull().alias("unknown"), "seq"))).alias("c")
+    each = occ.groupBy("url").agg(named).select("url", "c", F.posexplode("c").alias("i", "x"))
+    return each.filter((F.col("i") == 0) | ~F.get("c", F.col("i") - 1)["concept"].eqNullSafe(F.col("x.concept")))
+
+
 def article_pairs(
     occ: DataFrame, relationships: DataFrame | None, *, block_rows: int | None = None
 ) -> DataFrame:
@@ -87,12 +97,9 @@ def article_pairs(
     its pairs are made in its own row; ``block_rows`` spreads the pairs of articles with very many.
     """
     if block_rows is None:
-        named = F.sort_array(F.collect_list(F.struct("concept", F.col("seq").isNull().alias("unknown"), "seq"))).alias("c")
-        each = occ.groupBy("url").agg(named).select("url", "c", F.posexplode("c").alias("i", "x"))
-        # a concept's first mention has its least seq; it is met with all names that follow
-        first = each.filter((F.col("i") == 0) | ~F.get("c", F.col("i") - 1)["concept"].eqNullSafe(F.col("x.concept")))
+        # a first mention is met with all names that follow
         later = F.array_distinct(F.slice("c.concept", F.col("i") + 2, F.size("c")))
-        every = first.select(
+        every = _first_mentions(occ).select(
             "url", F.col("x.concept").alias("a"), F.explode(later).alias("b"), F.col("x.seq").alias("seq")
         )
     else:
@@ -112,6 +119,19 @@ def article_pairs(
     return typed.withColumn("type", F.when(F.col("type") != CO_OCCURRENCE, F.col("type")))
 
 
+def article_ends(occ: DataFrame) -> DataFrame:
+    """``(concept, url, seq)``: each concept of an article's pairs once, with the least seq of its pairs.
+
+    What both ends of ``article_pairs`` fold to, without pairs: a concept is in pairs with all
+    before it, whose seq they have, and gives its own seq to those with names that follow.
+    """
+    before = F.array_min(F.slice("c.seq", 1, F.col("i")))
+    own = F.when(F.col("i") < F.size("c") - 1, F.col("x.seq"))
+    return _first_mentions(occ).filter(F.size("c") > 1).select(
+        F.col("x.concept").alias("concept"), "url", F.least(before, own).alias("seq")
+    )
+
+
 def update_edges(edges: DataFrame | None, pairs: DataFrame, now: Column) -> DataFrame:
     """The latest declared type wins; a pair never declared is a co-occurrence.
 
@@ -379,10 +399,16 @@ def neighbours_of(
 
 
 def node_sources(sources: DataFrame, n: int = 20) -> DataFrame:
-    """The first ``n`` articles on the edges of each concept."""
-    rows = both_ways(sources, "url", "seq").groupBy(F.col("v").alias("concept"), "url").agg(
-        F.min("seq").alias("seq")
-    )
+    """The first ``n`` articles on the edges of each concept.
+
+    ``sources`` are ``edge_sources``, whose rows of an article are folded in a hash table, or the
+    ``article_ends`` of the mentions they come from, which need none.
+    """
+    rows = sources
+    if "concept" not in sources.columns:
+        rows = both_ways(sources, "url", "seq").groupBy(F.col("v").alias("concept"), "url").agg(
+            F.min("seq").alias("seq")
+        )
     return top_per_group(rows, ["concept"], [F.col("seq"), F.col("url")], n)
 
 
