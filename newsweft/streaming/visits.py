@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from newsweft.lineage import exists
 from newsweft.operators.upsert import upsert_failures
@@ -16,25 +16,37 @@ from newsweft.params import Params
 from newsweft.schemas import FAILURES
 
 DAY_MS = 86_400_000
+DAY_US = 1000 * DAY_MS
+CHUNK = 10_000
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _WINDOW = "first_seen timestamp, was_briefed boolean"
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _OUT = StructType(
     [
         StructField("url", StringType()),
-        StructField("ts", TimestampType()),
-        StructField("seq", LongType()),
+        StructField("us", ArrayType(LongType())),
+        StructField("seq", ArrayType(LongType())),
     ]
 )
 
 
+def _us(t: datetime) -> int:
+    return (t.astimezone(timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+
+
 class VisitWindows(StatefulProcessor):
     """Per url: when its window began and whether it was briefed since.
 
     Within one micro-batch every entry of a url sees the state the batch started with, as a batch
     run would. ``kind`` is ``entry`` for candidates and ``briefed`` for urls put into a briefing.
     With ``dedup_days`` of 0 no window ever ends, as in a batch run; then state is kept for ever.
-    A timer drops a window that can hold nothing back any more.
+    A timer drops a window that can hold nothing back any more. A window has one timer; if it has
+    moved on by the time that fires, it gets its next one then, not at each move.
+
+    Urls are many and have few rows each, so what a url costs is kept low: rows instead of a data
+    frame of each url, times in microseconds, entries that pass in lists of at most ``CHUNK``, and
+    no call to the state for what has not changed.
     """
 
     def __init__(self, params: Params) -> None:
@@ -44,50 +56,64 @@ class VisitWindows(StatefulProcessor):
         self.handle = handle
         self.window = handle.getValueState("window", _WINDOW)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        rows = initialState.dropna(subset=["first_seen"])
-        if len(rows):
-            last = rows.sort_values("first_seen").iloc[-1]
-            self._keep(last["first_seen"], bool(last["was_briefed"]), timerValues)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        began, briefed = self.window.get() or (None, False)
-        began = None if began is None else pd.Timestamp(began)
-        span = pd.Timedelta(days=self.briefed_days if briefed else self.days)
-        restart, marked = None, None
-        for pdf in rows:
-            entries = pdf[pdf["kind"] == "entry"]
-            if began is not None:
-                entries = entries[entries["ts"] - span >= began] if self.days > 0 else entries[:0]
-            if len(entries):
-                last = entries["ts"].max()
-                restart = last if restart is None else max(restart, last)
-                yield entries[["url", "ts", "seq"]].reset_index(drop=True)
-            marks = pdf.loc[pdf["kind"] == "briefed", "ts"]
-            if len(marks):
-                marked = marks.max() if marked is None else max(marked, marks.max())
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        if initialState["us"] is None:
+            return
+        held = self._held()
+        if held is None or held[0] < initialState["us"]:
+            self._keep(held, (initialState["us"], bool(initialState["was_briefed"])), timerValues)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self._held()
+        began, briefed = held or (None, False)
+        span = DAY_US * (self.briefed_days if briefed else self.days)
+        restart, marked, times, seqs = None, None, [], []
+        for row in rows:
+            us, kind = row["us"], row["kind"]
+            if kind == "entry":
+                if began is not None and (self.days <= 0 or us is None or us - span < began):
+                    continue
+                times.append(us)
+                seqs.append(row["seq"])
+                if us is not None and (restart is None or us > restart):
+                    restart = us
+                if len(times) == CHUNK:
+                    yield Row(url=key[0], us=times, seq=seqs)
+                    times, seqs = [], []
+            elif kind == "briefed" and us is not None and (marked is None or us > marked):
+                marked = us
+        if times:
+            yield Row(url=key[0], us=times, seq=seqs)
         if restart is not None:
             began, briefed = restart, False
         if marked is not None and began is not None and marked >= began:
             briefed = True
         if began is not None:
-            self._keep(began, briefed, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.window.clear()
+            self._keep(held, (began, briefed), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self._held()
+        if held is not None and self._ends(held) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._ends(held))
+        else:
+            self.window.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
-    def _keep(self, began: pd.Timestamp, briefed: bool, timerValues) -> None:
-        self.window.update((pd.Timestamp(began).to_pydatetime(), briefed))
-        if self.days <= 0:
-            return
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        ends = int(pd.Timestamp(began).timestamp() * 1000) + max(self.days, self.briefed_days) * DAY_MS
-        self.handle.registerTimer(max(ends, timerValues.getCurrentWatermarkInMs() + 1))
+    def _held(self) -> tuple[int, bool] | None:
+        window = self.window.get()
+        return None if window is None else (_us(window[0]), window[1])
+
+    def _ends(self, window: tuple[int, bool]) -> int:
+        return window[0] // 1000 + max(self.days, self.briefed_days) * DAY_MS
+
+    def _keep(self, held: tuple[int, bool] | None, window: tuple[int, bool], timerValues) -> None:
+        if window != held:
+            self.window.update((_EPOCH + timedelta(microseconds=window[0]), window[1]))
+        if held is None and self.days > 0:
+            self.handle.registerTimer(max(self._ends(window), timerValues.getCurrentWatermarkInMs() + 1))
 
 
 def stream_filter_new(rows: DataFrame, params: Params, visited: DataFrame | None = None) -> DataFrame:
@@ -101,12 +127,16 @@ def stream_filter_new(rows: DataFrame, params: Params, visited: DataFrame | None
     """
     rows.sparkSession.conf.set(STATE_STORE, ROCKS)
     longest = max(params.dedup_days, params.briefed_dedup_days)
-    seeded = None if visited is None else visited.select("url", "first_seen", "was_briefed").groupBy("url")
-    return (
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("us")
+    seeded = None if visited is None else visited.select("url", us("first_seen"), "was_briefed").groupBy("url")
+    passed = (
         rows.withWatermark("ts", f"{longest} days")
+        .select("url", "ts", us("ts"), "seq", "kind")
         .groupBy("url")
-        .transformWithStateInPandas(VisitWindows(params), _OUT, "append", "EventTime", seeded)
+        .transformWithState(VisitWindows(params), _OUT, "append", "EventTime", seeded)
     )
+    each = passed.select("url", F.explode(F.arrays_zip("us", "seq")).alias("e"))
+    return each.select("url", F.timestamp_micros("e.us").alias("ts"), F.col("e.seq").alias("seq"))
 
 
 def stream_dedup_week(rows: DataFrame, days: int = 7) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from newsweft.operators.select import filter_new
@@ -51,6 +52,80 @@ def test_seeded_stream_equals_batch_runs(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(want) < seq
 
 
+class _Handle:
+    """A url's state by hand, with every call to it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.append(at)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_url_costs_few_calls_and_passes_its_entries_in_chunks(monkeypatch):
+    monkeypatch.setattr(visits, "CHUNK", 3)
+    day, handle = visits.DAY_US, _Handle()
+    windows = visits.VisitWindows(Params(dedup_days=2, briefed_dedup_days=5))
+    windows.init(handle)
+
+    def batch(*rows, watermark=0):
+        handle.calls.clear()
+        given = (Row(url="u", us=us, seq=i, kind=kind) for i, (us, kind) in enumerate(rows))
+        return [r.seq for r in windows.handleInputRows(("u",), given, _Watermark(watermark))], list(handle.calls)
+
+    entries = [(10 * day + i, "entry") for i in range(7)]
+    assert batch(*entries) == ([[0, 1, 2], [3, 4, 5], [6]], ["update", "register"])
+    assert batch((11 * day, "entry")) == ([], [])  # inside the window: nothing to write
+    assert batch((13 * day, "entry"), (None, "entry")) == ([[0]], ["update"])  # moves on, keeps its timer
+    assert batch((13 * day, "briefed"), (17 * day, "entry")) == ([[1]], ["update"])
+    assert batch((20 * day, "briefed")) == ([], ["update"]) and batch((21 * day, "entry")) == ([], [])
+    fired = handle.timers.pop()
+    assert fired == 15 * visits.DAY_MS  # the window began at the last of the first entries, on day 10
+    windows.handleExpiredTimer(("u",), _Watermark(16 * visits.DAY_MS), None)
+    assert handle.value is not None and handle.timers == [22 * visits.DAY_MS]
+    windows.handleExpiredTimer(("u",), _Watermark(22 * visits.DAY_MS), None)
+    assert handle.value is None
+
+
+def test_windows_that_move_on_outlive_their_first_timer_and_others_go(spark, tmp_path):
+    params, root, want, began = Params(dedup_days=1, briefed_dedup_days=2), str(tmp_path), [], {}
+    days = {1: "abz", 2: "cz", 3: "az", 4: "cz", 5: "abz", 6: "z", 7: "az", 8: "z"}
+    for seq, (day, urls) in enumerate(days.items()):
+        frame = spark.createDataFrame([(u, f"2024-01-{day:02d} 06:00:00", seq, "entry") for u in urls], "url string, ts string, seq long, kind string")
+        frame.withColumn("ts", _ts("ts")).write.mode("append").parquet(f"{root}/in")
+        stream = visits.stream_filter_new(spark.readStream.schema(ROWS).parquet(f"{root}/in"), params)
+        stream.writeStream.option("checkpointLocation", f"{root}/c").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+        fresh = [u for u in urls if u not in began or day - began[u] >= 1]
+        want += [(u, seq, day) for u in fresh]
+        began |= {u: day for u in fresh}
+    got = spark.read.schema("url string, ts timestamp, seq long").parquet(f"{root}/out")
+    assert sorted((r.url, r.seq, r.ts.day) for r in got.collect()) == sorted(want)
+    held = spark.read.format("statestore").option("path", f"{root}/c").option("stateVarName", "window").load()
+    assert {r.url for r in held.select("key.url").collect()} == {u for u, day in began.items() if day + 2 > 6}
+
+
 def _failures(spark, rows):
     full = [(u, p, "t", "s", "timeout", f"m{i}", None, "r", i) for i, (u, p) in enumerate(rows)]
     return spark.createDataFrame(full, FAILURES.replace(", retry_count bigint", "") + ", seq long")
