@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 PIECE = 4
 SHARE_ROWS = 4096
+PLACES = 2**31
 
 
 def pieces(c: Column, n: int) -> Column:
@@ -39,16 +40,21 @@ def contained_pairs(
     possible = inner.filter(~short).withColumn("piece", F.left("inner", F.lit(piece))).join(
         sizes.select("piece"), "piece", "left_semi"
     )
+    # a count and a place in one number, as a least struct would sort all pieces of all strings
+    places = F.sequence(F.lit(1), F.length("inner") - piece + 1)
     rarest = (
-        possible.select("inner", F.explode(pieces(F.col("inner"), piece)).alias("piece"))
+        possible.select("inner", F.explode(places).alias("place"))
+        .withColumn("piece", F.substr("inner", F.col("place"), F.lit(piece)))
         .join(sizes, "piece", "left")
         .groupBy("inner")
-        .agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "piece")).alias("at"))
-        .filter("at.held > 0")
+        .agg(F.min(F.coalesce("held", F.lit(0)) * PLACES + F.col("place")).alias("at"))
+        .filter(F.col("at") >= PLACES)
     )
-    shares = F.ceil(F.col("at.held") / F.lit(share_rows)).cast("int")
+    shares = F.ceil(F.expr(f"at div {PLACES}") / F.lit(share_rows)).cast("int")
     waiting = rarest.select(
-        "inner", "at.piece", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")
+        "inner",
+        F.substr("inner", (F.col("at") % PLACES).cast("int"), F.lit(piece)).alias("piece"),
+        F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"),
     )
     many = sizes.filter(F.col("held") > share_rows).select(
         "piece", F.ceil(F.col("held") / F.lit(share_rows)).cast("int").alias("shares")

@@ -28,6 +28,13 @@ def test_contained_pairs_equal_all_pairs(spark, share_rows):
     assert contained_pairs(spark.createDataFrame([("abcd",)], "inner string"), none).count() == 0
 
 
+def test_the_rarest_piece_is_found_without_sorting_every_piece(spark):
+    one = lambda c, x: spark.createDataFrame([(x,)], f"{c} string")
+    rows = contained_pairs(one("inner", "abcdabcd"), one("outer", "xabcdabcdx"))
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in rows.collect()] == [("abcdabcd", "xabcdabcdx")]
+
+
 @pytest.mark.parametrize("most_words", [0, 2, 256])
 def test_questions_and_concepts_meet_by_sets_of_words(spark, most_words):
     """Each pair once, for concepts of few words and of many; pairs of the first are not shuffled to be told apart."""
