@@ -115,7 +115,8 @@ def _letter(first: str, n: Column) -> Column:
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, not for each element of the arrays in ``use``."""
+    """``use(value)`` with the value worked out once, not for each element of the arrays in ``use``,
+    and written once in the plan, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
@@ -177,13 +178,17 @@ def _remapped(value: Column, digest: Column, keep: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """The checksum of a card number, 0 (modulo 10) if it is valid."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int") * (1 + (n - i) % 2)
-        return total + d.cast("int") - F.when(d > 9, 9).otherwise(0)
+    def checksum(digits: Column) -> Column:
+        n = F.length(digits)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
+        def add(total: Column, i: Column) -> Column:
+            d = F.substring(digits, i, F.lit(1)).cast("int") * (1 + (n - i) % 2)
+            return total + d.cast("int") - F.when(d > 9, 9).otherwise(0)
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
+
+    return _once(digits, checksum)
 
 
 def _bare(value: Column) -> Column:
@@ -191,24 +196,31 @@ def _bare(value: Column) -> Column:
 
 
 def _card(value: Column, digest: Column) -> Column:
-    new = _remapped(value, digest, F.lit(1))
-    head = F.substring(new, F.lit(1), F.length(new) - 1)
-    check = (10 - _luhn(F.concat(_bare(head), F.lit("0")))) % 10
-    return F.when(_luhn(_bare(value)) == 0, F.concat(head, check.cast("string"))).otherwise(new)
+    def checked(new: Column) -> Column:
+        head = F.substring(new, F.lit(1), F.length(new) - 1)
+        check = (10 - _luhn(F.concat(_bare(head), F.lit("0")))) % 10
+        return F.when(_luhn(_bare(value)) == 0, F.concat(head, check.cast("string"))).otherwise(new)
+
+    return _once(_remapped(value, digest, F.lit(1)), checked)
 
 
 def _account(value: Column, digest: Column) -> Column:
     """Country as it was, other characters by class, check digits by the modulo-97 rule."""
-    new = _remapped(value, digest, F.lit(4))
-    bare = F.concat(F.substring(_bare(new), F.lit(5), F.length(new)), F.substring(new, 1, 2), F.lit("00"))
 
-    def add(rest: Column, i: Column) -> Column:
-        c = F.substring(bare, i, F.lit(1))
-        n = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-        return ((rest * F.when(n > 9, 100).otherwise(10) + n) % 97).cast("int")
+    def rest(bare: Column) -> Column:
+        def add(rest: Column, i: Column) -> Column:
+            c = F.substring(bare, i, F.lit(1))
+            n = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+            return ((rest * F.when(n > 9, 100).otherwise(10) + n) % 97).cast("int")
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(bare)), F.lit(0), add)
+
+    def checked(new: Column) -> Column:
+        bare = F.concat(F.substring(_bare(new), F.lit(5), F.length(new)), F.substring(new, 1, 2), F.lit("00"))
+        check = F.lit(98) - _once(bare, rest)
+        return F.concat(F.substring(new, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(new, F.lit(5), F.length(new)))
 
-    check = F.lit(98) - F.aggregate(F.sequence(F.lit(1), F.length(bare)), F.lit(0), add)
-    return F.concat(F.substring(new, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(new, F.lit(5), F.length(new)))
+    return _once(_remapped(value, digest, F.lit(4)), checked)
 
 
 def _more(digest: Column, n: Column, letters: bool) -> Column:
@@ -234,7 +246,7 @@ def _name(value: Column, digest: Column, extra: Column, gender: Column) -> Colum
 
     def invented(script: str) -> Column:
         syllables, endings = SYLLABLES[script]
-        pick = lambda d, i: F.element_at(F.array(*map(F.lit, syllables)), 1 + _byte(d, i) % len(syllables))
+        pick = lambda d, i: F.element_at(F.split(F.lit(" ".join(syllables)), " "), 1 + _byte(d, i) % len(syllables))
         given = reduce(lambda out, g: F.when(gender == g, endings[g]).otherwise(out), ("f", "m"), F.lit(endings["n"]))
         word = lambda d, i: F.concat(pick(d, i * 3), pick(d, i * 3 + 1), pick(d, i * 3 + 2), F.when(i == 0, F.concat(longer(d), given)).otherwise(""))
         longer = lambda d: F.when(extra > 0, F.array_join(F.transform(F.sequence(F.lit(1), extra), lambda j: pick(F.sha2(d, 256), j)), "")).otherwise("")
@@ -249,26 +261,32 @@ def surrogate(kind: Column, value: Column, canon: Column, gender: Column, attemp
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), canon, gender), 256)
     label = F.regexp_extract(value, LABEL, 0)
     keep = F.when((kind == "secret") & (label != ""), F.length(label)).when(value.startswith("AKIA"), 4).when(value.rlike(r"^\+1 "), 2).when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0))).otherwise(0)
-    # letters of other scripts in an address become Latin ones, as no letter may stay
-    latin = F.when(kind == "email", F.regexp_replace(value, OTHER_SCRIPT, "a")).otherwise(value)
-    remapped = _remapped(latin, digest, keep)
     extra = F.greatest(attempt - (OWN_FORMAT - 1), F.lit(0))
-    letters, digits = _more(digest, extra, True), _more(digest, extra, False)
-    top = F.regexp_extract(value, r"\.[\p{L}\p{M}\p{N}-]+$", 0)  # the top-level domain stays
-    return (
-        F.when(kind == "secret", F.concat(F.substring(value, F.lit(1), keep), letters, _secret(value, digest, keep)))
-        .when(kind == "email", F.concat(letters, F.substring(remapped, F.lit(1), F.length(value) - F.length(top)), top))
-        .when(kind == "card", _card(value, digest))
-        .when(kind == "account", _account(value, digest))
-        .when(kind == "ip", _ip(value, digest, extra))
-        .when(kind == "name", _name(value, digest, extra, gender))
-        .otherwise(F.concat(remapped, digits))
-    )
+
+    def of_kind(parts: Column) -> Column:
+        digest, keep, extra = parts["digest"], parts["keep"], parts["extra"]
+        # letters of other scripts in an address become Latin ones, as no letter may stay
+        latin = F.when(kind == "email", F.regexp_replace(value, OTHER_SCRIPT, "a")).otherwise(value)
+        remapped = _remapped(latin, digest, keep)
+        letters, digits = _more(digest, extra, True), _more(digest, extra, False)
+        top = F.regexp_extract(value, r"\.[\p{L}\p{M}\p{N}-]+$", 0)  # the top-level domain stays
+        return (
+            F.when(kind == "secret", F.concat(F.substring(value, F.lit(1), keep), letters, _secret(value, digest, keep)))
+            .when(kind == "email", F.concat(letters, F.substring(remapped, F.lit(1), F.length(value) - F.length(top)), top))
+            .when(kind == "card", _card(value, digest))
+            .when(kind == "account", _account(value, digest))
+            .when(kind == "ip", _ip(value, digest, extra))
+            .when(kind == "name", _name(value, digest, extra, gender))
+            .otherwise(F.concat(remapped, digits))
+        )
+
+    return _once(F.struct(digest.alias("digest"), keep.alias("keep"), extra.alias("extra")), of_kind)
 
 
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
     new = surrogate(F.col("kind"), F.col("shown"), F.col("canon"), F.col("gender"), F.col("attempt"), key)
-    return entities.withColumn("new_canon", canonical(F.col("kind"), new))
+    # a column of its own, as ``canonical`` names it many times and the plan would hold all of it each time
+    return entities.withColumn("new", new).withColumn("new_canon", canonical(F.col("kind"), F.col("new"))).drop("new")
 
 
 def attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
