@@ -28,6 +28,12 @@ def stamp(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def day_text(c):
+    """A date as SQL writes it, whose years after 9999 have no sign and whose years before 1 are counted back."""
+    before = F.format_string("%04d-%s (BC)", 1 - F.year(c), F.date_format(c, "MM-dd"))
+    return F.when(F.year(c) > 0, F.ltrim(c.cast("string"), F.lit("+"))).when(c.isNotNull(), before)
+
+
 class Tables:
     """The given tables and the views derived from them."""
 

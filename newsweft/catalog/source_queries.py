@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from newsweft.catalog.core import VIEW_SQL, query, sql_strip, sql_strip_tags
+from newsweft.catalog.core import VIEW_SQL, day_text, query, sql_strip, sql_strip_tags
 from newsweft.lineage import Scratch
-from newsweft.operators.documents import write_documents
+from newsweft.operators.documents import apart, write_documents
 from newsweft.sources import feeds, files, html, registry
 
 VIEW_SQL["line"] = (
@@ -438,14 +438,16 @@ def s15(t):
 )
 def s16(t):
     root = Scratch(t.spark, "briefings").root
-    name = F.date_add(F.lit("1990-01-01").cast("date"), F.col("doc_id").cast("int"))
-    rows = t.documents.select(
-        F.concat(name.cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content")
-    )
-    write_documents(rows, root)
-    return files.read_briefings(t.spark, root).select(
-        F.col("briefing_date").cast("string").alias("briefing_date"), F.md5("md").alias("md")
+    docs = t.documents.select(
+        F.date_add(F.lit("1990-01-01").cast("date"), F.col("doc_id").cast("int")).alias("briefing_date"),
+        F.col("text").alias("md"),
     )
+    name = F.coalesce(F.col("briefing_date").cast("string"), F.lit("undated"))
+    rows = docs.filter("md IS NOT NULL").select(F.concat(name, F.lit(".md")).alias("path"), F.col("md").alias("content"))
+    write_documents(apart(rows), root)
+    # a file cannot tell a missing text from an empty one, so what has none is no file
+    out = files.read_briefings(t.spark, root, nested=True).unionByName(docs.filter("md IS NULL"))
+    return out.select(day_text(F.col("briefing_date")).alias("briefing_date"), F.md5("md").alias("md"))
 
 
 @query(

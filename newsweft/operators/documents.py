@@ -10,9 +10,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from newsweft.lineage import qualified
+from newsweft.lineage import Scratch, qualified
+from newsweft.operators.skew import number_rows
 
 FORMAT = "newsweft_documents"
 
@@ -118,6 +120,20 @@ class DocumentSink(DataSource):
         return made
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``(path, content)`` rows with a path each: of those that share one, the second goes to a folder ``again-2``, and so on.
+
+    ``write_documents`` would leave one file of them. Only paths are counted for all rows; contents
+    are moved where a path comes again.
+    """
+    again = Scratch(df.sparkSession, "paths").put(df.groupBy("path").count().filter(F.col("count") > 1).select("path"))
+    if again.isEmpty():
+        return df
+    shared = number_rows(df.join(again, "path", "left_semi"), ["path"], [F.col("content")], "n")
+    own = F.when(F.col("n") == 1, F.col("path")).otherwise(F.concat(F.lit("again-"), "n", F.lit("/"), "path"))
+    return df.join(again, "path", "left_anti").unionByName(shared.select(own.alias("path"), "content"))
+
+
 def write_documents(df: DataFrame, root: str) -> None:
     """Write each ``(path, content)`` row to ``root/path``, all of them or none.
 

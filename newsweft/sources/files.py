@@ -2,27 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweft.functions.concepts import assign_category
-from newsweft.lineage import Scratch
+from newsweft.lineage import Scratch, qualified
 from newsweft.schemas import EDGE_SOURCES, EDGES, NODES
-from newsweft.sources.json_elements import RANGE_BYTES, few_tasks, json_elements
+from newsweft.sources.json_elements import BATCH_ROWS, RANGE_BYTES, few_tasks, json_elements
+
+
+def _empty_files(spark: SparkSession, path: str, nested: bool) -> DataFrame:
+    """``(name)`` of the Markdown files without a byte, which Spark's readers leave out; one task lists the folder."""
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
+        for frame in frames:
+            for uri in frame["uri"]:
+                store, base = fs.FileSystem.from_uri(uri)
+                below = len(base.rstrip("/")) + 1
+                found = (f for f in store.get_file_info(fs.FileSelector(base, recursive=nested)) if f.size == 0)
+                seen = (f for f in found if not any(p.startswith((".", "_")) for p in f.path[below:].split("/")))
+                names = [f.base_name for f in seen if f.is_file and f.base_name.endswith(".md")]
+                for i in range(0, len(names), BATCH_ROWS):
+                    yield pd.DataFrame({"name": names[i : i + BATCH_ROWS]}, dtype=object)
 
-def read_briefings(spark: SparkSession, path: str) -> DataFrame:
-    """Every Markdown file of a folder, dated by its name.
+    return spark.createDataFrame([(qualified(spark, path),)], "uri string").mapInPandas(listed, "name string")
+
+
+def read_briefings(spark: SparkSession, path: str, *, nested: bool = False) -> DataFrame:
+    """Every Markdown file of a folder, and of the folders in it if ``nested``, dated by its name.
 
     Files are many and small: whole contents open faster than text, and the tasks of 32 files that
-    Spark would start are put together.
+    Spark would start are put together. Empty files are found by their sizes.
     """
+    found = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", nested)
+    held = few_tasks(found.format("binaryFile").load(path)).select(
+        F.col("_metadata.file_name").alias("name"), F.col("content").cast("string").alias("md")
+    )
     return (
-        few_tasks(spark.read.option("pathGlobFilter", "*.md").format("binaryFile").load(path))
-        .select(
-            F.regexp_replace(F.col("_metadata.file_name"), r"\.md\z", "").alias("stem"),
-            F.col("content").cast("string").alias("md"),
-        )
+        held.unionByName(_empty_files(spark, path, nested).withColumn("md", F.lit("")))
+        .select(F.regexp_replace("name", r"\.md\z", "").alias("stem"), "md")
         .select(F.expr("try_cast(stem AS date)").alias("briefing_date"), "md")
     )
 

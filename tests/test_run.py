@@ -238,6 +238,16 @@ def test_many_small_briefings_are_read_by_few_tasks(spark, tmp_path):
     assert len(got) == n + 1 and [r.md for r in got if r.briefing_date is not None and r.md != "é\n"] == ["a\r\n\ufeffb"]
 
 
+def test_empty_briefings_are_read_too(spark, tmp_path):
+    (tmp_path / "2024-01-01.md").write_text("x")
+    for f in ("2024-01-02.md", "2024-01-03.txt", ".2024-01-04.md", "in/2024-01-05.md", "in/_x/2024-01-06.md"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("")
+    got = lambda **k: sorted((str(r.briefing_date), r.md) for r in files.read_briefings(spark, str(tmp_path), **k).collect())
+    assert got() == [("2024-01-01", "x"), ("2024-01-02", "")]
+    assert got(nested=True) == [*got(), ("2024-01-05", "")]
+
+
 def test_a_graph_is_read_from_its_files_once(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"{i}.json").write_text(json.dumps({"nodes": [{"id": f"n{i}"}], "links": [{"source": f"n{i}", "target": "x"}]}))
