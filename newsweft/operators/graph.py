@@ -8,7 +8,7 @@ one wide one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweft.functions.concepts import (
@@ -132,6 +132,18 @@ def article_ends(occ: DataFrame) -> DataFrame:
     )
 
 
+def article_neighbours(occ: DataFrame) -> DataFrame:
+    """``(concept, near)``: for each concept of an article's pairs, in order, the concepts it is in pairs with there.
+
+    What ``adjacent`` tells of the edges that the mentions make, without pairs. A concept that its
+    article names twice is among its own neighbours.
+    """
+    others = F.concat(F.slice("c.concept", 1, F.col("i")), F.slice("c.concept", F.col("i") + 2, F.size("c")))
+    return _first_mentions(occ).filter(F.size("c") > 1).select(
+        F.col("x.concept").alias("concept"), F.array_distinct(others).alias("near")
+    )
+
+
 def update_edges(edges: DataFrame | None, pairs: DataFrame, now: Column) -> DataFrame:
     """The latest declared type wins; a pair never declared is a co-occurrence.
 
@@ -398,6 +410,37 @@ def neighbours_of(
     )
 
 
+def mentioned_neighbours(occ: DataFrame) -> DataFrame:
+    """``(concept, near)``: all neighbours of a concept, in no order, in the graph that the mentions make."""
+    near = article_neighbours(occ).select("concept", F.explode("near").alias("near"))
+    return near.groupBy("concept").agg(F.collect_set("near").alias("near"))
+
+
+def mentioned_neighbours_of(nodes: DataFrame, occ: DataFrame, k: int) -> DataFrame:
+    """``neighbours_of`` in the graph that the mentions make; ``nodes`` are the concepts they name.
+
+    Nodes are numbered in order of appearance, so that numbers meet in the articles and are sorted,
+    and only the first ``k`` of each concept become names again.
+    """
+    ordered = nodes.select("concept", "first_seen").orderBy("first_seen", "concept")
+    # the ids increase from one range of the order to the next
+    numbered = Scratch(nodes.sparkSession, "places").put(
+        ordered.select("concept", F.monotonically_increasing_id().alias("place"))
+    )
+    mentions = occ.select("url", "concept").join(numbered, "concept").select(
+        "url", F.col("place").alias("concept"), F.lit(None).cast("long").alias("seq")
+    )
+    near = article_neighbours(mentions).select("concept", F.explode(F.slice("near", 1, k)).alias("near"))
+    rank = F.dense_rank().over(Window.partitionBy("concept").orderBy("near"))
+    first = near.withColumn("__rank", rank).filter(F.col("__rank") <= k).select("concept", "near").distinct()
+    named = first.join(numbered.select(F.col("place").alias("near"), F.col("concept").alias("name")), "near")
+    listed = F.array_sort(F.collect_list(F.struct("near", "name")))
+    lists = named.groupBy(F.col("concept").alias("place")).agg(
+        F.transform(listed, lambda x: x["name"]).alias("neighbours")
+    )
+    return numbered.join(lists, "place").select("concept", "neighbours")
+
+
 def node_sources(sources: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` articles on the edges of each concept.
 
