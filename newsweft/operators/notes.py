@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from newsweft.functions.concepts import UNCATEGORIZED, category_color
 from newsweft.functions.text import safe_filename
 from newsweft.operators.graph import (
+    article_ends,
+    article_neighbours,
     counted_ends,
     degree,
     edge_count,
+    mentioned_neighbours,
     neighbour_rows,
     node_sources,
     top_of,
@@ -49,6 +52,10 @@ def _link(name: Column) -> Column:
     return F.concat(F.lit("[["), safe_filename(name), F.lit("|"), name, F.lit("]]"))
 
 
+def _link_line(name: Column) -> Column:
+    return F.concat(F.lit("- "), _link(name))
+
+
 def _table_link(name: Column) -> Column:
     return F.concat(F.lit("[["), safe_filename(name), F.lit(r"\|"), name, F.lit("]]"))
 
@@ -66,9 +73,32 @@ def render_concept_notes(
 ) -> DataFrame:
     """``(path, page, content)`` of the concept pages."""
     near = neighbour_rows(nodes, edges).drop("first_seen")
-    links = _pages(
-        near, ["concept"], "neighbour", F.concat(F.lit("- "), _link(F.col("neighbour"))), "links", page_size
-    )
+    links = _pages(near, ["concept"], "neighbour", _link_line(F.col("neighbour")), "links", page_size)
+    return _concept_pages(degree(nodes, edges).join(links, "concept", "left"), sources, tag)
+
+
+def render_mentioned_notes(
+    nodes: DataFrame, occ: DataFrame, *, tag: str = "newsweft", page_size: int | None = None
+) -> DataFrame:
+    """``render_concept_notes`` of the graph that the mentions make; ``nodes`` are the concepts they name.
+
+    A concept's neighbours and articles come from the rows of its mentions, without pairs or edges.
+    """
+    if page_size is None:
+        links = F.array_join(F.transform(F.sort_array("near"), _link_line), "\n").alias("links")
+        ends = F.size("near") + F.array_contains("near", F.col("concept")).cast("int")
+        linked = mentioned_neighbours(occ).select("concept", ends.alias("degree"), F.lit(0).alias("page"), links)
+    else:
+        near = article_neighbours(occ).select("concept", F.explode("near").alias("neighbour")).distinct()
+        ends = near.groupBy("concept").agg(F.sum(F.when(F.col("neighbour") == F.col("concept"), 2).otherwise(1)).alias("degree"))
+        links = _pages(near, ["concept"], "neighbour", _link_line(F.col("neighbour")), "links", page_size)
+        linked = ends.join(links, "concept")
+    rows = nodes.join(linked, "concept", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return _concept_pages(rows, article_ends(occ), tag)
+
+
+def _concept_pages(nodes: DataFrame, sources: DataFrame, tag: str) -> DataFrame:
+    """The pages of nodes that have their degree and, for each ``page``, their ``links``."""
     urls = node_sources(sources, 20).groupBy("concept").agg(
         F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("u")
     )
@@ -94,8 +124,7 @@ def render_concept_notes(
     )
     cited = F.coalesce(F.concat(F.lit("\n## Source Articles\n\n"), "urls", F.lit("\n")), F.lit(""))
     return (
-        _with_category(degree(nodes, edges))
-        .join(links, "concept", "left")
+        _with_category(nodes)
         .join(urls, "concept", "left")
         .withColumn("page", F.coalesce("page", F.lit(0)))
         .select(
